@@ -17,6 +17,12 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.col("text").alias("text"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.mixing import mixing_query
+
+    return mixing_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.language_id import language_query
 
