@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
     while open_edges.take(1):
         ends = open_edges.select("a", "b", F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(open_edges.select("a", "b", F.col("cb").alias("c"), F.col("ca").alias("d")))
         # every component tries its candidates towards the smallest neighbours, one in each of a few slots
-        best = ends.groupBy("c", F.pmod(F.xxhash64("d"), F.lit(tries)).alias("slot")).agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        best = ends.groupBy("c", F.pmod(F.xxhash64("a", "b"), F.lit(tries)).alias("slot")).agg(F.min(F.struct("d", "a", "b")).alias("e"))
         verdict = written(confirmed(best.select("e.a", "e.b").distinct(), texts, similarity), "verdicts")
         judged = open_edges.join(verdict, ["a", "b"], "left")
         new = judged.where("linked").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
