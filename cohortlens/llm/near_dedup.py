@@ -48,7 +48,7 @@ from cohortlens.llm.hashing import run_hashes, word_hashes
 SHINGLE, HASHES, ORDERS, DEPTH, MIN_DEPTH = 5, 128, 32, 16, 3
 #: Neighbours looked at on one side, by how many leading values are shared.
 WINDOWS = ((3, 16), (8, 6), (12, 3))
-#: Candidates a component tries in the first round; four times as many in each later one.
+#: Candidates a component tries in the first round; eight times as many in each later one.
 TRIES = 4
 #: Rows of one id are dealt to so many groups where stars are joined.
 SALTS = 16
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
             labels = written(fresh, "labels")
             for c in ("ca", "cb"):
                 rest = rest.join(merged.select(F.col("id").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        open_edges, tries = written(rest.where("ca <> cb"), "open"), 4 * tries
+        open_edges, tries = written(rest.where("ca <> cb"), "open"), 8 * tries
     roots = classes.select("digest", F.col("id").alias("class_id"))
     if labels is not None:
         roots = roots.join(labels.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("digest", F.coalesce("root", "class_id").alias("component"))
