@@ -18,6 +18,10 @@
    thousands of copies costs a few links for each member, not all pairs, and
    nothing is capped: every candidate is either tested or lies within one
    component.
+5. In a dense region the window shows a document only some of its neighbours.
+   So a document with a failed candidate in a large component is contested: it
+   is compared with every member of that component on full sets, in blocks of
+   bounded size.
 
 Rounds are cut by tables in the shared folder. Nothing but counts comes to the
 driver.
@@ -50,6 +54,10 @@ SHINGLE, HASHES, ORDERS, DEPTH, MIN_DEPTH = 5, 128, 32, 16, 3
 WINDOWS = ((3, 16), (8, 6), (12, 3))
 #: Candidates a component tries in the first round; eight times as many in each later one.
 TRIES = 4
+#: Components from this size on can hold more neighbours than a window shows.
+LARGE = 12
+#: Documents and bytes of text in a block of contested documents and of members.
+CONTESTED, MEMBERS, BLOCK_BYTES = 64, 256, 2 << 20
 #: Rows of one id are dealt to so many groups where stars are joined.
 SALTS = 16
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
@@ -189,6 +197,62 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def contested_links(failed: DataFrame, labels: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) between components, from comparing contested documents with whole components.
+
+    ``failed`` holds tested pairs that are not linked, ``labels`` (id, root) of all ids in components.
+    """
+    sizes = labels.groupBy("root").count().where(F.col("count") >= LARGE)
+    one = failed.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(failed.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    one = one.join(labels.select(F.col("id").alias("y"), F.col("root").alias("target")), "y").join(labels.select(F.col("id").alias("x"), F.col("root").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
+    one = one.where("own <> target").select("x", "own", "target").distinct()
+    one = one.join(sizes.select(F.col("root").alias("target"), F.col("count").alias("n")), "target").join(sizes.select(F.col("root").alias("own"), F.col("count").alias("m")), "own", "left")
+    contested = written(one.where("m is null or m < n or (m = n and own > target)").select("x", "own", "target"), "contested")
+
+    def blocked(rows: DataFrame, limit: int) -> DataFrame:
+        """(target, ids, owns, raws) of bounded size; rows: target, id, own, raw."""
+        many = rows.groupBy("target").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum(F.octet_length("raw")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+        slot = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        return rows.join(many, "target").groupBy("target", slot.alias("slot")).agg(F.collect_list(F.struct("id", "own", "raw")).alias("held"))
+
+    queries = contested.select(F.col("x").alias("id"), "own", "target").join(texts, "id")
+    members = labels.select("id", F.col("root").alias("target")).join(contested.select("target").distinct(), "target", "left_semi").join(texts, "id").withColumn("own", F.col("target"))
+    both = blocked(queries, CONTESTED).select("target", F.col("held").alias("left")).join(blocked(members, MEMBERS).select("target", F.col("held").alias("right")), "target")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = [], []
+            for target, left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                mine, theirs = [shingle_set(r["raw"]) for r in left], [shingle_set(r["raw"]) for r in right]
+                every = np.unique(np.concatenate(mine))
+                for at in range(0, len(every), 4096):  # the sets side by side, a stretch of shingles at a time
+                    part = every[at : at + 4096]
+                    x, y = (np.zeros((len(sets), len(part)), dtype=np.float32) for sets in (mine, theirs))
+                    for sets, m in ((mine, x), (theirs, y)):
+                        for i, s in enumerate(sets):
+                            own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                            place = np.searchsorted(part, own)
+                            m[i, place[part[place] == own]] = 1
+                    common = x @ y.T if at == 0 else common + x @ y.T
+                n, m = (np.array([len(s) for s in sets], dtype=np.float64) for sets in (mine, theirs))
+                linked = (100 * common >= similarity * (n[:, None] + m[None, :] - common)).any(axis=1)
+                for i in np.flatnonzero(linked).tolist():
+                    u.append(left[i]["own"])
+                    v.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return map_batches(both, compared, "u long, v long").distinct()
+
+
+def relabelled(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """(id, root) after the components of ``merged`` (id, root) over old roots."""
+    if labels is None:
+        return merged.unionByName(merged.select(F.col("root").alias("id"), "root").distinct())
+    older = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    fresh = merged.unionByName(merged.select(F.col("root").alias("id"), "root").distinct())
+    return older.unionByName(fresh.join(labels.select("id"), "id", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
     rows = written(signatures(docs, text, doc_id), "signatures")
@@ -199,26 +263,28 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
     members = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text).alias("raw")).join(members, "id", "left_semi"), "texts")
 
-    labels = None  # id -> component, for the ids that have links
+    labels, failed = None, None  # (id, root) of the ids in components; tested pairs that are not linked
     open_edges, tries = edges.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), TRIES
     while open_edges.take(1):
         ends = open_edges.select("a", "b", F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(open_edges.select("a", "b", F.col("cb").alias("c"), F.col("ca").alias("d")))
         # every component tries its candidates towards the smallest neighbours, one in each of a few slots
         best = ends.groupBy("c", F.pmod(F.xxhash64("a", "b"), F.lit(tries)).alias("slot")).agg(F.min(F.struct("d", "a", "b")).alias("e"))
         verdict = written(confirmed(best.select("e.a", "e.b").distinct(), texts, similarity), "verdicts")
+        lost = verdict.where("not linked").select("a", "b")
+        failed = lost if failed is None else failed.unionByName(lost)
         judged = open_edges.join(verdict, ["a", "b"], "left")
         new = judged.where("linked").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
         rest = judged.where(F.col("linked").isNull()).drop("linked")
         if new.take(1):
             merged = written(components(new), "components")
-            fresh = merged.select("id", "root")
-            if labels is not None:
-                older = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-                fresh = older.unionByName(fresh.join(labels.select("id"), "id", "left_anti"))
-            labels = written(fresh, "labels")
+            labels = written(relabelled(labels, merged), "labels")
             for c in ("ca", "cb"):
                 rest = rest.join(merged.select(F.col("id").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         open_edges, tries = written(rest.where("ca <> cb"), "open"), 8 * tries
+    if labels is not None:
+        more = written(contested_links(failed, labels, texts, similarity), "contested")
+        if more.take(1):
+            labels = written(relabelled(labels, components(more)), "labels")
     roots = classes.select("digest", F.col("id").alias("class_id"))
     if labels is not None:
         roots = roots.join(labels.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("digest", F.coalesce("root", "class_id").alias("component"))
