@@ -117,7 +117,7 @@ class Model:
         vectors = [self.vector(x) for x in self.examples]
         # examples of the same label and terms stand together, so that blocks have tight bounds
         order = sorted(range(len(vectors)), key=lambda i: (self.labels[i], sorted(vectors[i], key=lambda t: -vectors[i][t])[:3], i))
-        self.labels, self.stands = self.labels[order], self.stands[order] / self.stands.mean()
+        self.labels, self.stands = self.labels[order], self.stands[order] / (self.stands.mean() if order else 1)
         vectors = [vectors[i] for i in order]
         self.index = BlockMaxIndex(vectors, len(self.number))
         if 0 < self.prior < 1:
