@@ -12,16 +12,16 @@
 3. Pairs whose signatures agree too little are put aside (the margin is over
    four standard errors below the threshold).
 4. Links are confirmed on the full shingle sets. Only links that matter for the
-   components are looked at: in each round every component tries candidates
-   towards its smallest neighbours, confirmed links merge components, and rounds
-   go on until no untested candidate joins two components. So a group of
-   thousands of copies costs a few links for each member, not all pairs, and
-   nothing is capped: every candidate is either tested or lies within one
-   component.
+   components are looked at: in each round every component tries its
+   likeliest candidates, confirmed links merge components, and rounds go on
+   until no untested candidate joins two components. So a group of thousands of
+   copies costs a few links for each member, not all pairs, and nothing is
+   capped: every candidate is tested, or lies within one component, or falls
+   to the last step.
 5. In a dense region the window shows a document only some of its neighbours.
-   So a document with a failed candidate in a large component is contested: it
-   is compared with every member of that component on full sets, in blocks of
-   bounded size.
+   So a document with a candidate in a large component that it is not in is
+   contested: it is compared with every member of that component on full sets,
+   in blocks of bounded size.
 
 Rounds are cut by tables in the shared folder. Nothing but counts comes to the
 driver.
@@ -51,15 +51,15 @@ from cohortlens.llm.hashing import run_hashes, word_hashes
 
 SHINGLE, HASHES, ORDERS, DEPTH, MIN_DEPTH = 5, 128, 32, 16, 3
 #: Neighbours looked at on one side, by how many leading values are shared.
-WINDOWS = ((3, 16), (8, 4), (12, 1))
-#: Of the DEPTH values at hand so many must agree: at 0.75, of 13 beyond the prefix 6 do but once in 180 orders.
-AGREE = 9
+WINDOWS = ((3, 16), (8, 3), (12, 1))
+#: Of the DEPTH values at hand so many must agree; of two sets at 0.75 that share a prefix of 3, 97 in 100 orders do.
+AGREE = 10
 #: Candidates a component tries in the first round; eight times as many in each later one.
 TRIES = 4
 #: Components from this size on can hold more neighbours than a window shows.
 LARGE = 12
 #: Documents and bytes of text in a block of contested documents and of members.
-CONTESTED, MEMBERS, BLOCK_BYTES = 64, 256, 2 << 20
+CONTESTED, MEMBERS, BLOCK_BYTES = 256, 1024, 4 << 20
 #: Rows of one id are dealt to so many groups where stars are joined.
 SALTS = 16
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
@@ -85,19 +85,34 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Per row: id, size of its set, digest of the set, signature."""
+    """Per row: id, size of its set, digest of the set, signature, and the low byte of each of its values."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, sketches = [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).astype(">u2").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "digest", "sig"])
+                sig = signature(s) if len(s) else None
+                sigs.append(sig.astype(">u2").tobytes() if len(s) else None)
+                sketches.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, sigs, sketches)]], names=["id", "n_shingles", "digest", "sig", "sketch"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text)), signed, "id long, n_shingles long, digest binary, sig binary")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text)), signed, "id long, n_shingles long, digest binary, sig binary, sketch binary")
+
+
+def joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``least`` rows, the last one excepted."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
@@ -111,7 +126,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old_ids, old_keys = np.empty(0, dtype=np.int64), np.empty((0, 1 + DEPTH), dtype=np.uint16)
-        for b in batches:
+        for b in joined(batches, 16_000):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=">u2").reshape(len(ids), 1 + DEPTH)
             n_old = len(old_ids)
@@ -141,12 +156,12 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in at least the share ``least``, with the agreement."""
-    sig = classes.select("id", "sig")
-    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    a, b = (classes.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
 
     def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for i in (2, 3))
             share = (x == y).mean(axis=1)
             ok = pa.array(share >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(share).filter(ok)], names=["a", "b", "share"])
@@ -156,7 +171,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def confirmed(edges: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Each edge (a, b, ...) with ``linked``: 100 * intersection >= similarity * union on full sets."""
-    ends = edges.select("a", "b", F.explode(F.array(F.col("a"), F.col("b"))).alias("id")).join(texts, "id")
+    ends = edges.select("a", "b", F.col("a").alias("id")).unionByName(edges.select("a", "b", F.col("b").alias("id"))).join(texts.hint("merge"), "id")
     both = ends.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("raw"))).alias("ra"), F.max(F.when(F.col("id") == F.col("b"), F.col("raw"))).alias("rb"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
 def contested_links(failed: DataFrame, labels: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Links (u, v) between components, from comparing contested documents with whole components.
 
-    ``failed`` holds tested pairs that are not linked, ``labels`` (id, root) of all ids in components.
+    ``failed`` holds candidate pairs that are not linked (yet), ``labels`` (id, root) of all ids in components.
     """
     sizes = labels.groupBy("root").count().where(F.col("count") >= LARGE)
     one = failed.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(failed.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -211,39 +226,39 @@ def contested_links(failed: DataFrame, labels: DataFrame, texts: DataFrame, simi
     one = one.join(sizes.select(F.col("root").alias("target"), F.col("count").alias("n")), "target").join(sizes.select(F.col("root").alias("own"), F.col("count").alias("m")), "own", "left")
     contested = written(one.where("m is null or m < n or (m = n and own > target)").select("x", "own", "target"), "contested")
 
-    def blocked(rows: DataFrame, limit: int) -> DataFrame:
-        """(target, ids, owns, raws) of bounded size; rows: target, id, own, raw."""
-        many = rows.groupBy("target").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum(F.octet_length("raw")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-        slot = F.pmod(F.xxhash64("id"), F.col("blocks"))
-        return rows.join(many, "target").groupBy("target", slot.alias("slot")).agg(F.collect_list(F.struct("id", "own", "raw")).alias("held"))
+    def dealt(rows: DataFrame, limit: int, slot: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (target, id, own, raw) with a slot of bounded size, and the number of slots of each target."""
+        many = rows.groupBy("target").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum(F.octet_length("raw")) / BLOCK_BYTES)).cast("int").alias(f"{slot}s"))
+        return rows.join(many, "target").withColumn(slot, F.pmod(F.xxhash64("id"), F.col(f"{slot}s")).cast("int")).drop(f"{slot}s"), many
 
-    queries = contested.select(F.col("x").alias("id"), "own", "target").join(texts, "id")
+    queries, n_queries = dealt(contested.select(F.col("x").alias("id"), "own", "target").join(texts, "id"), CONTESTED, "q")
     members = labels.select("id", F.col("root").alias("target")).join(contested.select("target").distinct(), "target", "left_semi").join(texts, "id").withColumn("own", F.col("target"))
-    both = blocked(queries, CONTESTED).select("target", F.col("held").alias("left")).join(blocked(members, MEMBERS).select("target", F.col("held").alias("right")), "target")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v = [], []
-            for target, left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                mine, theirs = [shingle_set(r["raw"]) for r in left], [shingle_set(r["raw"]) for r in right]
-                every = np.unique(np.concatenate(mine))
-                for at in range(0, len(every), 4096):  # the sets side by side, a stretch of shingles at a time
-                    part = every[at : at + 4096]
-                    x, y = (np.zeros((len(sets), len(part)), dtype=np.float32) for sets in (mine, theirs))
-                    for sets, m in ((mine, x), (theirs, y)):
-                        for i, s in enumerate(sets):
-                            own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
-                            place = np.searchsorted(part, own)
-                            m[i, place[part[place] == own]] = 1
-                    common = x @ y.T if at == 0 else common + x @ y.T
-                n, m = (np.array([len(s) for s in sets], dtype=np.float64) for sets in (mine, theirs))
-                linked = (100 * common >= similarity * (n[:, None] + m[None, :] - common)).any(axis=1)
-                for i in np.flatnonzero(linked).tolist():
-                    u.append(left[i]["own"])
-                    v.append(target)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return map_batches(both, compared, "u long, v long").distinct()
+    members, n_members = dealt(members, MEMBERS, "m")
+    # each block of queries meets each block of members of its target in a group of its own
+    queries = queries.join(n_members, "target").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))).select(*[F.col(c).alias(c) for c in ("target", "q", "m", "own", "raw")])
+    members = members.join(n_queries, "target").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select(*[F.col(c).alias(c) for c in ("target", "q", "m", "raw")])
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine, theirs = ([shingle_set(r) for r in t["raw"].to_pylist()] for t in (left, right))
+        linked = np.zeros(len(mine), dtype=bool)
+        if mine and theirs:
+            common, every = np.zeros((len(mine), len(theirs)), dtype=np.float32), np.unique(np.concatenate(mine))
+            for at in range(0, len(every), 2048):  # the sets side by side, a stretch of shingles at a time
+                part = every[at : at + 2048]
+                x, y = (np.zeros((len(sets), len(part)), dtype=np.float32) for sets in (mine, theirs))
+                for sets, m in ((mine, x), (theirs, y)):
+                    for i, s in enumerate(sets):
+                        own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                        place = np.searchsorted(part, own)
+                        m[i, place[part[place] == own]] = 1
+                common += x @ y.T
+            n, m = (np.array([len(s) for s in sets], dtype=np.float32) for sets in (mine, theirs))
+            linked = (100 * common >= similarity * (n[:, None] + m[None, :] - common)).any(axis=1)
+        keep = pa.array(linked)
+        return pa.table({"u": left["own"].filter(keep).cast(pa.int64()), "v": left["target"].filter(keep).cast(pa.int64())})
+
+    both = queries.groupBy("target", "q", "m").cogroup(members.groupBy("target", "q", "m"))
+    return both.applyInArrow(compared, "u long, v long").distinct()
 
 
 def relabelled(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
@@ -259,18 +274,19 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
     rows = written(signatures(docs, text, doc_id), "signatures")
     ids = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    classes = written(ids.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = written(ids.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     margin = similarity / 100 - 4.3 * (similarity / 100 * (1 - similarity / 100) / HASHES) ** 0.5
     edges = written(likely(candidate_pairs(classes), classes, margin), "candidates")
-    members = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text).alias("raw")).join(members, "id", "left_semi"), "texts")
+    # what these joins meet grows with the input: they are never broadcast
+    members = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text).alias("raw")).join(members.hint("merge"), "id", "left_semi"), "texts")
 
-    labels, failed = None, None  # (id, root) of the ids in components; tested pairs that are not linked
-    open_edges, tries = edges.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), TRIES
+    labels, failed = None, None  # (id, root) of the ids in components; candidates that are not linked
+    open_edges, tries = edges.select("a", "b", "share", F.col("a").alias("ca"), F.col("b").alias("cb")), TRIES
     while open_edges.take(1):
-        ends = open_edges.select("a", "b", F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(open_edges.select("a", "b", F.col("cb").alias("c"), F.col("ca").alias("d")))
-        # every component tries its candidates towards the smallest neighbours, one in each of a few slots
-        best = ends.groupBy("c", F.pmod(F.xxhash64("a", "b"), F.lit(tries)).alias("slot")).agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        ends = open_edges.select("a", "b", "share", F.col("ca").alias("c")).unionByName(open_edges.select("a", "b", "share", F.col("cb").alias("c")))
+        # every component tries its likeliest candidates, one in each of a few slots
+        best = ends.groupBy("c", F.pmod(F.xxhash64("a", "b"), F.lit(tries)).alias("slot")).agg(F.min(F.struct((-F.col("share")).alias("s"), "a", "b")).alias("e"))
         verdict = written(confirmed(best.select("e.a", "e.b").distinct(), texts, similarity), "verdicts")
         lost = verdict.where("not linked").select("a", "b")
         failed = lost if failed is None else failed.unionByName(lost)
@@ -280,8 +296,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
         if new.take(1):
             merged = written(components(new), "components")
             labels = written(relabelled(labels, merged), "labels")
+            large = labels.groupBy("root").count().where(F.col("count") >= LARGE)
             for c in ("ca", "cb"):
                 rest = rest.join(merged.select(F.col("id").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+                rest = rest.join(large.select(F.col("root").alias(c), F.lit(True).alias(f"{c}_large")), c, "left")
+            rest = written(rest.where("ca <> cb"), "rest")
+            meets = F.coalesce("ca_large", "cb_large").isNotNull()  # left to the last step
+            failed = failed.unionByName(rest.where(meets).select("a", "b"))
+            rest = rest.where(~meets).drop("ca_large", "cb_large")
         open_edges, tries = written(rest.where("ca <> cb"), "open"), 8 * tries
     if labels is not None:
         more = written(contested_links(failed, labels, texts, similarity), "contested")
