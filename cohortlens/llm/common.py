@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import make_importable
 
 #: Rows handed to a worker function at once stay below this many bytes (one row may be larger).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,9 +52,16 @@ def sized(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterat
             yield batch.slice(at, step)
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """A session whose Arrow batches suit rows that hold whole texts, unless it sets their size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return make_importable(spark)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches limited in bytes."""
-    make_importable(df.sparkSession)
+    text_batches(df.sparkSession)
     return df.mapInArrow(lambda batches: fn(sized(batches)), schema)
 
 

@@ -58,7 +58,7 @@ def in_terms(words: Counter, number: dict[str, int], place: dict[str, tuple[int,
     for w, n in words.items():
         hit = place.get(w)
         if hit is None:
-            if len(place) > 500_000:
+            if len(place) > 150_000:
                 place.clear()
             hit = place[w] = tuple(number[s] for s in stems(w) if s in number)
         for t in hit:
@@ -243,13 +243,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, max_
                 counts = in_terms(terms_of(t), model.number, place)
                 key = tuple(sorted(counts.items()))
                 if key not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > 3_000:
                         seen.clear()
                     score, near = model.score(counts)
-                    seen[key] = score, [{"label": int(model.labels[i]), "cosine": c} for i, c in near]
+                    seen[key] = score, [(int(model.labels[i]), c) for i, c in near]
                 score, near = seen[key]
                 scores.append(score)
-                evidence.append(near)
+                evidence.append([{"label": y, "cosine": c} for y, c in near])
             kind = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc", "score", "evidence"])
 
