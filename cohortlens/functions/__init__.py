@@ -1 +1 @@
-
+"""Scalar functions and distribution functions."""
