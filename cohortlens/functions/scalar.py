@@ -60,7 +60,7 @@ def family(text: Column) -> Column:
 
 def subset_key(text: Column) -> Column:
     """Layer names of a subset in a fixed order: ``z+x`` becomes ``x+z``."""
-    return F.array_join(F.array_sort(F.transform(F.split(text, r"\+"), F.trim)), "+")
+    return F.array_join(F.array_sort(F.transform(F.split(text, r"\+"), lambda x: F.trim(x))), "+")
 
 
 def pair_key(text: Column) -> Column:

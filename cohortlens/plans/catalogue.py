@@ -824,9 +824,9 @@ def selection_bias(spark, d):
     return spark.createDataFrame(L.selection_bias((2, 4, 8, 16)), "k int, expected_max double")
 
 
-@query(""", e AS (SELECT * FROM events) SELECT w AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM (SELECT time_bucket(INTERVAL 1 day, ts) AS w, event_type, value FROM e) GROUP BY ALL""".replace(", e AS", "WITH e AS", 1))
+@query(""", e AS (SELECT * FROM events) SELECT w AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT time_bucket(INTERVAL 1 day, ts) AS w, event_type, value FROM e) GROUP BY ALL""".replace(", e AS", "WITH e AS", 1))
 def daily_event_profile(spark, d):
     t = table(spark, d, "events")
-    return t.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), r4(F.avg("value"), "mean_value")).select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
+    return t.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean_value")).select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
 
 

@@ -1 +1 @@
-
+"""Readers and writers of matrices, maps, records and configuration."""

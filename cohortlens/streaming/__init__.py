@@ -1 +1 @@
-
+"""Streaming forms of the batch operators that have one."""
