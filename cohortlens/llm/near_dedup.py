@@ -296,10 +296,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
         if new.take(1):
             merged = written(components(new), "components")
             labels = written(relabelled(labels, merged), "labels")
-            large = labels.groupBy("root").count().where(F.col("count") >= LARGE)
+            large = labels.groupBy("root").count().where(F.col("count") >= LARGE).select("root", F.lit(True).alias("is_large"))
+            # old roots that moved, and large ones that stayed
+            moves = merged.unionByName(large.select(F.col("root").alias("id"), "root").join(merged.select("id"), "id", "left_anti"))
+            moves = written(moves.join(large, "root", "left"), "moves")
             for c in ("ca", "cb"):
-                rest = rest.join(merged.select(F.col("id").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-                rest = rest.join(large.select(F.col("root").alias(c), F.lit(True).alias(f"{c}_large")), c, "left")
+                rest = rest.join(moves.select(F.col("id").alias(c), F.col("root").alias("to"), F.col("is_large").alias(f"{c}_large")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
             rest = written(rest.where("ca <> cb"), "rest")
             meets = F.coalesce("ca_large", "cb_large").isNotNull()  # left to the last step
             failed = failed.unionByName(rest.where(meets).select("a", "b"))
