@@ -13,6 +13,7 @@ from cohortlens.operators import matrix as M
 from cohortlens.operators import rank as R
 from cohortlens.operators import relational as J
 from cohortlens.operators import scorers as T
+from cohortlens.operators import verify as V
 from cohortlens.plans import experiment as B
 from cohortlens.plans import fixtures as X
 from cohortlens.session import table
@@ -715,6 +716,55 @@ def expected_values_missing(spark, d):
     return expected.join(number_extraction(spark, d).select("num"), "num", "left_anti")
 
 
+@query(""", a AS (SELECT method AS artefact, ari AS value FROM records WHERE domain = 'F') SELECT r.pair, r.method, r.subset, r.ari AS value, count(DISTINCT a.artefact) AS n_artefacts, count(a.artefact) > 0 AS traced
+  FROM records r LEFT JOIN a ON round(a.value, 4) = round(r.ari, 4) WHERE r.domain = 'O' GROUP BY r.pair, r.method, r.subset, r.ari""", "records")
+def value_provenance(spark, d):
+    r = X.records(spark, d)
+    out = V.provenance(r.where("domain = 'O'").select("pair", "method", "subset", F.col("ari").alias("value")), r.where("domain = 'F'").select(F.col("method").alias("artefact"), F.col("ari").alias("value")))
+    return out.select("pair", "method", "subset", "value", "n_artefacts", "traced")
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id % 9 AS ref FROM documents WHERE doc_id % 9 <> 4), d AS (SELECT DISTINCT item_id % 7 AS ref FROM benchmark)
+SELECT CAST(ref AS VARCHAR) AS ref, 'not defined' AS problem FROM c WHERE ref NOT IN (SELECT ref FROM d) UNION ALL SELECT CAST(ref AS VARCHAR), 'not cited' FROM d WHERE ref NOT IN (SELECT ref FROM c)""")
+def cross_references(spark, d):
+    cited = table(spark, d, "documents").select((F.col("doc_id") % 9).alias("ref")).where("ref <> 4")
+    return V.cross_references(cited, table(spark, d, "benchmark").select((F.col("item_id") % 7).alias("ref"))).select(F.col("ref").cast("string").alias("ref"), "problem")
+
+
+@query("WITH u AS (SELECT DISTINCT doc_id % 20 AS ref FROM documents WHERE doc_id % 20 NOT IN (3, 11)) SELECT CAST(r AS INTEGER) AS ref FROM (SELECT unnest(range(1, CAST((SELECT max(ref) FROM u) AS BIGINT) + 1)) AS r) WHERE r NOT IN (SELECT ref FROM u)")
+def reference_numbering(spark, d):
+    return V.numbering_gaps(table(spark, d, "documents").select((F.col("doc_id") % 20).alias("ref")).where("ref not in (3, 11)"))
+
+
+@query("""SELECT p_name AS key, CASE WHEN count(*) FILTER (hit) = 1 THEN min(CASE WHEN hit THEN name END) END AS name FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part), LATERAL (SELECT list_contains(string_split(lower(p_name), ' '), name) AS hit) GROUP BY p_name""")
+def fuzzy_domain_key(spark, d):
+    p = table(spark, d, "part").select("p_name").distinct()
+    return V.fuzzy_key(p.select(F.col("p_name").alias("key")), p.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name")).distinct())
+
+
+@query(""", h AS (SELECT sample, list(DISTINCT layer) AS l FROM presence WHERE cohort = 'A' GROUP BY sample)
+SELECT 1 AS step, 'q1' AS layer, count(*) AS n_samples FROM h WHERE list_has_all(l, ['q1']) UNION ALL SELECT 2, 'q2', count(*) FROM h WHERE list_has_all(l, ['q1', 'q2']) UNION ALL SELECT 4, 'q3', count(*) FROM h WHERE list_has_all(l, ['q1', 'q2', 'q3'])""", "presence")
+def core_set_sizes(spark, d):
+    p = X.presence(spark, d).where("cohort = 'A'").select("sample", "layer")
+    return V.core_set(p, ["q1", "q2", "q9", "q3"])
+
+
+@query(""", c AS (SELECT a.sample AS i, b.sample AS j, corr(a.v, b.v) AS r, any_value(a.label) AS la, any_value(b.label) AS lb FROM emb a JOIN emb b USING (pos) WHERE a.sample < b.sample GROUP BY a.sample, b.sample)
+SELECT least(la, lb) AS family_a, greatest(la, lb) AS family_b, count(*) AS n_pairs, round(avg(r), 4) AS mean_r FROM c GROUP BY ALL""", "emb")
+def family_spectra_correlation(spark, d):
+    v = X.vectors(spark, d)
+    pairs = M.correlation_network(v.select(F.col("sample").alias("unit"), F.posexplode("features").alias("pos", "value")), by=[], feature="unit", sample="pos")
+    return V.family_correlation(pairs, v.select(F.col("sample").alias("unit"), F.col("label").alias("family"))).select("family_a", "family_b", "n_pairs", r4("mean_r"))
+
+
+@query(""", e AS (SELECT domain AS artefact, concat(pair, method, subset) AS key, ari AS value FROM records WHERE nlay < 3), c AS (SELECT domain AS artefact, concat(pair, method, subset) AS key, CASE WHEN method = 'PROMO' THEN ari + 0.5 ELSE ari END AS value FROM records)
+SELECT artefact, key, CASE WHEN e.value IS NULL THEN 'no evidence' WHEN abs(c.value - e.value) <= 1e-4 THEN 'agrees' ELSE 'differs' END AS verdict FROM c LEFT JOIN e USING (artefact, key)""", "records")
+def evidence_ledger(spark, d):
+    r = X.records(spark, d).withColumn("key", F.concat("pair", "method", "subset")).withColumn("artefact", F.col("domain"))
+    claims = r.select("artefact", "key", F.when(F.col("method") == "PROMO", F.col("ari") + 0.5).otherwise(F.col("ari")).alias("value"))
+    return V.ledger(claims, r.where("nlay < 3").select("artefact", "key", F.col("ari").alias("value"))).select("artefact", "key", "verdict")
+
+
 # ---------- learned: rows only
 
 
