@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import written
+
 #: Precision of the sketches (2^12 registers: 1.6 % standard error) and the width of the exact band.
 LG_K, BAND = 12, 0.1
 
@@ -56,7 +58,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 16
 
     Columns of those two names in the input are replaced.
     """
-    boiler = line_spread(docs, min_sites, min_chars, text, site, doc_id).select("_h", "_g", "_first")
+    # as a table of known size it is broadcast only if small, and a line that a third of all documents hold can be split
+    boiler = written(line_spread(docs, min_sites, min_chars, text, site, doc_id).select("_h", "_g", "_first"), "lines")
     hits = _lines(docs, text, site, doc_id, min_chars).join(boiler, ["_h", "_g"])
     gone = hits.where(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first"))).groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
     gone = gone.select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_gone")
