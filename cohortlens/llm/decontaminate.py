@@ -19,7 +19,6 @@ treated alike; extra columns are ignored (or pass through in
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -151,22 +150,23 @@ class Automaton:
         return [(a, b) for a, b in spans], items
 
 
-def blocks_of(benchmark: DataFrame, window: int, text: str, item_id: str, max_words: int) -> list[Automaton]:
-    """Automata over the items, each of at most ``max_words`` words (or one item)."""
-    out, held, n = [], [], 0
+def blocks_of(benchmark: DataFrame, window: int, text: str, item_id: str, max_words: int) -> Iterator[tuple[Automaton, bool]]:
+    """One automaton after the other, each of at most ``max_words`` words (or one item), and whether it is the last."""
+    held, n, ready = [], 0, None
     rows = benchmark.select(F.col(item_id).cast("string"), raw_text(text)).toLocalIterator()
     for item, raw in rows:
         words = words_of(bytes(raw)) if raw is not None else []
         if not words:
             continue
         if held and n + len(words) > max_words:
-            out.append(Automaton(held, window))
-            held, n = [], 0
+            if ready is not None:
+                yield ready, False
+            ready, held, n = Automaton(held, window), [], 0
         held.append((item, words))
         n += len(words)
-    if held or not out:
-        out.append(Automaton(held, window))
-    return out
+    if ready is not None:
+        yield ready, False
+    yield Automaton(held, window), True
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,8 +187,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     spark = docs.sparkSession
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), raw_text(text).alias("raw"))
     held = held.select("doc", "raw", F.lit(0).cast("long").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit_at", "int"), ("hit_end", "int"), ("items", "string"))])
-    automata = blocks_of(benchmark, window, item_text, item_id, max_words)
-    for k, automaton in enumerate(automata):
+    for automaton, last in blocks_of(benchmark, window, item_text, item_id, max_words):
         shared = spark.sparkContext.broadcast(automaton)
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -207,8 +206,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(end, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc", "raw", "n_words", "hit_at", "hit_end", "items"])
 
         held = map_batches(held, matched, held.schema)
-        if k < len(automata) - 1:
+        if not last:
             held = written(held, "decontaminate")
+            shared.unpersist()
     return held
 
 
@@ -230,7 +230,7 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join(x for x in (p.strip() for p in out) if x)
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, text: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Stretches that reach the length limit (a window, or a whole shorter item)
@@ -239,23 +239,33 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
     Clean documents stay byte for byte.
     """
     spark, names = docs.sparkSession, docs.columns
-    hits = with_hits(docs, benchmark, window, text)
+    hits = with_hits(docs, benchmark, window, text, max_words=max_words)
     n_hit = F.aggregate(F.zip_with("hit_end", "hit_at", lambda e, a: (e - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    hits = hits.where(n_hit <= max_coverage * F.col("n_words"))
-    automata = spark.sparkContext.broadcast(blocks_of(benchmark, window, "text", "item_id", MAX_WORDS))
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automata.value
-        for b in batches:
-            out = []
-            for raw, at, end in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                spans = list(zip(at, end, strict=True))
-                while spans:
-                    raw = cut(raw, spans)
-                    words = words_of(raw)
-                    spans = _union([s for a in own for s in a.match(words)[0]])
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "raw"])
-
-    plain = map_batches(hits.select("doc", "raw", "hit_at", "hit_end"), cleaned, hits.select("doc", "raw").schema)
-    return plain.select(*[F.col("raw").cast("string").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names])
+    hits = hits.where(n_hit <= max_coverage * F.col("n_words")).select("doc", "raw", "hit_at", "hit_end", (F.size("hit_at") > 0).alias("touched"), F.lit(0).alias("cuts"))
+    while True:  # one pass where one automaton holds the benchmark, else rounds of passes until one cuts nothing
+        blocks = 0
+        for automaton, last in blocks_of(benchmark, window, "text", "item_id", max_words):
+            shared, blocks = spark.sparkContext.broadcast(automaton), blocks + 1
+
+            def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                own = shared.value
+                for b in batches:
+                    out, cuts = [], []
+                    for raw, at, end, touched, n in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                        spans = list(zip(at, end, strict=True)) if at else own.match(words_of(raw))[0] if touched else []
+                        while spans:
+                            raw, n = cut(raw, spans), n + 1
+                            spans = own.match(words_of(raw))[0]
+                        out.append(raw)
+                        cuts.append(n)
+                    none = pa.array([[]] * b.num_rows, pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), none, none, b.column(4), pa.array(cuts, pa.int32())], names=["doc", "raw", "hit_at", "hit_end", "touched", "cuts"])
+
+            hits = map_batches(hits, cleaned, hits.schema)
+            if not last or blocks > 1:
+                hits = written(hits, "decontaminate")
+                shared.unpersist()
+        if blocks == 1 or not hits.where("cuts > 0").take(1):
+            break
+        hits = hits.withColumn("cuts", F.lit(0))
+    return hits.select(*[F.col("raw").cast("string").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names])

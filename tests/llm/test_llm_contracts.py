@@ -288,6 +288,13 @@ def test_decontamination_digest_and_removal(spark, sf_dir, docs, texts):
             assert out[i]["n_hit"] > 0.5 * out[i]["n_words"]
 
 
+def test_removal_with_a_benchmark_in_blocks(spark, sf_dir, docs):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    sample = docs.orderBy("doc_id").limit(80)
+    whole, parts = ({r["doc_id"]: r["text"] for r in decontaminate.remove_passages(sample, bench, max_words=n).collect()} for n in (200_000, 500))
+    assert whole == parts
+
+
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog", "z"), (1, None, "z"), (None, "one", "z")], "item_id long, text string, doc_id string")
     rows = decontaminate.contamination(odd, bench).collect()
