@@ -51,7 +51,7 @@ from cohortlens.llm.hashing import run_hashes, word_hashes
 
 SHINGLE, HASHES, ORDERS, DEPTH, MIN_DEPTH = 5, 128, 32, 16, 3
 #: Neighbours looked at on one side, by how many leading values are shared.
-WINDOWS = ((3, 16), (8, 3), (12, 1))
+WINDOWS = ((3, 12), (6, 4), (9, 1))
 #: Of the DEPTH values at hand so many must agree; of two sets at 0.75 that share a prefix of 3, 97 in 100 orders do.
 AGREE = 10
 #: Candidates a component tries in the first round; eight times as many in each later one.
