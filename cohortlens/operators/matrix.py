@@ -53,7 +53,7 @@ def eb_location_scale(cells: DataFrame, feature: str = "feature", batch: str = "
     std = cells.withColumn("_sd", F.when(sd > FLAT, sd).otherwise(1.0)).withColumn("_mean", F.avg(value).over(w)).withColumn("_s", (F.col(value) - F.col("_mean")) / F.col("_sd"))
     local = std.groupBy(feature, batch).agg(F.avg("_s").alias("g"), F.coalesce(F.var_samp("_s"), F.lit(0.0)).alias("d2"), F.count("_s").alias("n"))
     prior = local.groupBy(batch).agg(F.avg("g").alias("g0"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("t2"))
-    both = local.join(F.broadcast(prior), batch)  # one row for each batch
+    both = local.join(prior, batch)
     total = F.col("n") * F.col("t2") + F.col("d2")
     star = F.when(total > 0, (F.col("n") * F.col("t2") * F.col("g") + F.col("d2") * F.col("g0")) / total).otherwise(F.col("g"))
     return std.join(both.select(feature, batch, star.alias("_star")), [feature, batch]).withColumn(out, (F.col("_s") - F.col("_star")) * F.col("_sd") + F.col("_mean")).drop("_sd", "_mean", "_s", "_star")
@@ -121,7 +121,7 @@ def knn_affinity(distances: DataFrame, k: int, by: Sequence[str] = ()) -> DataFr
     """
     sigma = distances.where("distance > 0").groupBy(*by).agg(F.median("distance").alias("sigma"))
     near = nearest(distances, k - 1, by)
-    joined = near.join(F.broadcast(sigma), list(by)) if by else near.crossJoin(F.broadcast(sigma))  # one row for each unit
+    joined = near.join(sigma, list(by)) if by else near.crossJoin(F.broadcast(sigma))  # one row
     kept = joined.select(*by, "i", "j", F.exp(-(F.col("distance") ** 2) / (2 * F.col("sigma") ** 2)).alias("v"))
     own = distances.select(*by, "i").distinct().select(*by, "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
     kept = kept.unionByName(own)

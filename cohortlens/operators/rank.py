@@ -50,7 +50,7 @@ def quantile_normalise_gaps(cells: DataFrame, by: Sequence[str] = ("cohort", "la
     place = (F.col("r") - 1) / (F.col("n") - 1) * (points - 1)
     low = F.least(F.floor(place), F.lit(points - 2)).cast("int")
     a, b = F.col("ref")[low], F.col("ref")[low + 1]
-    out = ranked.join(F.broadcast(reference), list(by), "left")  # one short array for each cohort and layer
+    out = ranked.join(reference, list(by), "left")
     return out.withColumn("normalised", F.when(F.col("n") < least, F.col(value)).otherwise(a + (b - a) * (place - low))).drop("ref", "n", "r")
 
 
@@ -69,6 +69,6 @@ def top_mad(cells: DataFrame, n: int, by: Sequence[str] = ("cohort", "layer"), f
 def quartile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartile 1 to 4 by interpolated edges, closed on the right, the lowest value in the first."""
     edges = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))
-    out = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))  # edges: one row for each group
+    out = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row
     v = F.col(value)
     return out.withColumn("quartile", F.when(v <= F.col("_e")[0], 1).when(v <= F.col("_e")[1], 2).when(v <= F.col("_e")[2], 3).otherwise(4)).drop("_e")

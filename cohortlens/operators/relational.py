@@ -167,7 +167,7 @@ def leave_one_out(presence: DataFrame, cohort: str = "cohort", layer: str = "lay
     One pass over samples: each contributes to the full count or to the one layer it lacks.
     """
     layers = presence.groupBy(cohort).agg(F.collect_set(layer).alias("every"))
-    held = presence.groupBy(cohort, sample).agg(F.collect_set(layer).alias("held")).join(F.broadcast(layers), cohort)  # a row for each cohort
+    held = presence.groupBy(cohort, sample).agg(F.collect_set(layer).alias("held")).join(layers, cohort)
     lacks = F.array_except("every", "held")
     full = held.groupBy(cohort).agg(F.sum(F.when(F.size(lacks) == 0, 1).otherwise(0)).alias("n_all"))
     one = held.where(F.size(lacks) == 1).groupBy(cohort, F.get(lacks, F.lit(0)).alias("left_out")).agg(F.count("*").alias("gain"))

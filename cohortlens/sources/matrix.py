@@ -39,8 +39,8 @@ def read_matrix(spark: SparkSession, path: str, sep: str = "\t", id_pattern: str
     """
     lines, head = raw_lines(spark, path), headers(spark, path, sep)
     first = lines.groupBy("file").agg(F.min("_at").alias("_first"))
-    body = lines.join(F.broadcast(first), "file").where("_at <> _first")  # a row for each file
-    cells = body.join(F.broadcast(head), "file").withColumn("v", F.split("line", sep))  # a header for each file
+    body = lines.join(first, "file").where("_at <> _first")
+    cells = body.join(head, "file").withColumn("v", F.split("line", sep))
     if drop_ragged:
         cells = cells.where(F.size("v") == F.col("width"))
     cells = cells.withColumn("feature", S.clean_id(F.get("v", F.lit(0)))).where(F.col("feature").rlike(id_pattern))
@@ -64,7 +64,7 @@ def feature_ids(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """The id column of each file, as written, in order."""
     lines = raw_lines(spark, path)
     first = lines.groupBy("file").agg(F.min("_at").alias("_first"))
-    body = lines.join(F.broadcast(first), "file").where("_at <> _first")  # a row for each file
+    body = lines.join(first, "file").where("_at <> _first")
     return body.select("file", S.clean_id(F.split_part("line", F.lit(sep), F.lit(1))).alias("feature"), "_at").orderBy("file", "_at").drop("_at")
 
 
@@ -104,7 +104,7 @@ def read_rows(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Rows of wide text tables as maps from column name to text; rows of another width go."""
     lines, head = raw_lines(spark, path), headers(spark, path, sep)
     first = lines.groupBy("file").agg(F.min("_at").alias("_first"))
-    body = lines.join(F.broadcast(first), "file").where("_at <> _first").join(F.broadcast(head), "file").withColumn("v", F.split("line", sep, -1))  # a row for each file
+    body = lines.join(first, "file").where("_at <> _first").join(head, "file").withColumn("v", F.split("line", sep, -1))
     return body.where(F.size("v") == F.col("width")).select("file", F.map_from_arrays("names", "v").alias("row"))
 
 
