@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +18,24 @@ from cohortlens.session import make_importable
 BATCH_BYTES = 4 << 20
 
 
+_held: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far; frames that read them are void then."""
+    while _held:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_held.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _discard_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            discard(spark)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path in the shared folder that the cluster names.
 
@@ -27,7 +47,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="cohortlens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _held.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _held[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
