@@ -39,7 +39,7 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 PRUNED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "note", "status"}
 #: Words of class and id that mark templates.
-TEMPLATE = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted sidebar sidebars rail aside nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs footer foot colophon masthead header comment comments commentlist discussion disqus reply replies respond responses notice notices cookie cookies consent gdpr alert warning popup modal overlay dialog newsletter subscribe subscription signup login register form search related recommended recommendations share sharing social follow widget widgets tags tagcloud pagination pager copyright legal disclaimer skip hidden outbrain taboola paywall teaser shoutbox feedback rating ratings".split())
+TEMPLATE = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted sidebar sidebars rail aside nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs footer foot colophon masthead header comment comments commentlist discussion disqus leaderboard skyscraper mpu reply replies respond responses notice notices cookie cookies consent gdpr alert warning popup modal overlay dialog newsletter subscribe subscription signup login register form search related recommended recommendations share sharing social follow widget widgets tags tagcloud pagination pager copyright legal disclaimer skip hidden outbrain taboola paywall teaser shoutbox feedback rating ratings".split())
 #: Words that keep a block although a template word stands beside them.
 BODY = set("article articlebody main content post entry story body text page wrapper container layout".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -135,7 +135,7 @@ def parse(page: str) -> Node:
             if tag == "a":
                 flush()
                 link = 0 if closing else 1
-            if not closing and m[3] and re.search(r"hidden|none", m[3]) and is_template(tag, m[3]):
+            if not closing and m[3] and is_template(tag, m[3]):
                 flush()
                 at = Node(tag, at, True)
                 at.up.down.append(at)
@@ -152,6 +152,8 @@ def parse(page: str) -> Node:
                 at = node.up
             continue
         link = 0
+        while at.tag in INLINE:  # a block ends inline parts that were left open
+            at = at.up
         if tag in ("html", "body"):
             if at is not root and at.tag != "html" and at.tag != "head":
                 continue
@@ -181,6 +183,11 @@ def inside(node: Node | None, tag: str) -> bool:
     return False
 
 
+def is_menu(node: Node) -> bool:
+    """A list of links that nobody marked as a menu."""
+    return node.tag in ("ul", "ol") and node.chars > 0 and node.linked > 0.9 * node.chars and sum(isinstance(x, Node) for x in node.down) >= 3
+
+
 def blocks_of(node: Node) -> list[str]:
     """The texts of the runs of a block and of all below it, in page order."""
     out: list[str] = []
@@ -204,7 +211,7 @@ def blocks_of(node: Node) -> list[str]:
             run.append(x[0])
         elif not (x.pruned and x.tag in INLINE):
             end()
-            if not x.pruned:
+            if not x.pruned and not is_menu(x):
                 stack.append((x, 0))
     return out
 

@@ -224,6 +224,7 @@ def test_html_extracts_articles(spark, sf_dir):
         ("<div><p>Hello, world &amp; co <a href='x>y'>link</a> more, here</p></div><div class=sidebar><p>side, bar, text</p></div>", "Hello, world & co link more, here"),
         ("<body><div class='cookie-notice'>We use cookies, many, many.</div><div id=c><p>Real &#233; &lt;b&gt; text, ok.</p>tail<br>after</div>", "Real é <b> text, ok.\ntail after"),
         ("<main><div class='post-content'><h2>T</h2><p>One, two, three.</p><ul><li>a<li>b</ul></div><section id=comments><p>User says, hello, there, everyone</p></section></main>", "T\nOne, two, three.\na\nb"),
+        ("<article><p>Text, <span class='ad'>buy</span> more.<p>Then <span class=share>left open<p>on.</p><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul></article>", "Text, more.\nThen\non."),
         ("<article><p>First, part.</p><aside><p>Ad, ad, ad.</p></aside><p>Second\n  part.</p></article><form><p>enter, here, now</p></form>", "First, part.\nSecond part."),
     ],
 )
