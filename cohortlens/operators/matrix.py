@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +102,32 @@ def residualise(cells: DataFrame, covariate: DataFrame, association: DataFrame,
     return cells.join(known, sample).join(association.select(*by, "slope"), list(by)).withColumn("residual", F.col(value) - (F.col(x) - F.col("_mean")) * F.col("slope")).drop("slope", "_mean")
 
 
-def pair_distances(blocks: DataFrame, by: Sequence[str] = (), vector: str = "features", sample: str = "sample") -> DataFrame:
-    """Euclidean distance of every two samples of a unit, both ways; a unit is a bounded matrix."""
-    a = blocks.select(*by, F.col(sample).alias("i"), F.col(vector).alias("_a"))
-    b = blocks.select(*by, F.col(sample).alias("j"), F.col(vector).alias("_b"))
-    pairs = a.join(b, list(by)) if by else a.join(b, F.col("i") != F.col("j"))
-    return pairs.where("i <> j").withColumn("distance", F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))).drop("_a", "_b")
+def pair_distances(blocks: DataFrame, by: Sequence[str] = (), vector: str = "features", sample: str = "sample", size: int = 256) -> DataFrame:
+    """Euclidean distance of every two samples of a unit, both ways.
+
+    The samples of a unit are dealt to blocks of about ``size``; each two blocks
+    meet in a group of their own and are compared by a matrix product.
+    """
+    rows = blocks.select(*by, F.col(sample).alias("s"), F.col(vector).alias("v"))
+    counts = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias("n"))
+    dealt = (rows.join(counts, list(by)) if by else rows.crossJoin(F.broadcast(counts))).withColumn("own", F.pmod(F.xxhash64("s"), F.col("n")).cast("int"))  # one row without units
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = dealt.withColumn("p", F.col("own")).withColumn("q", other).select(*[F.col(c).alias(c) for c in (*by, "p", "q", "s", "v")])
+    right = dealt.withColumn("q", F.col("own")).withColumn("p", other).select(*[F.col(c).alias(c) for c in (*by, "p", "q", "s", "v")])
+    names = list(by)
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    id_type = rows.schema["s"].dataType.simpleString()
+
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (np.array(t["v"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1) for t in (a, b))
+        i, j = (t["s"].to_numpy() for t in (a, b))
+        d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) and len(y) else np.zeros((len(x), len(y)))
+        at, to = np.nonzero(i[:, None] != j[None, :])
+        out = {c: pa.array([a[c][0].as_py()] * len(at), a.schema.field(c).type) for c in names}
+        return pa.table(out | {"i": pa.array(i[at]), "j": pa.array(j[to]), "distance": pa.array(d[at, to])})
+
+    keys = [*names, "p", "q"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, f"{types}{', ' if types else ''}i {id_type}, j {id_type}, distance double")
 
 
 def nearest(distances: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:

@@ -230,9 +230,9 @@ def map_explode_first(spark, d):
     return table(spark, d, "part").select("p_partkey", S.first_of(genes).alias("first_name"), F.size(F.split(genes, ";")).cast("long").alias("n_names"))
 
 
-@query("SELECT gene, count(*) AS n, round(avg(CAST(l_extendedprice AS DECIMAL(18,2))), 4) AS mean_value FROM (SELECT coalesce(p_brand, '') AS gene, l_extendedprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 4 <> 0) WHERE gene <> '' GROUP BY gene")
+@query("SELECT gene, count(*) AS n, round(avg(CAST(l_extendedprice AS DECIMAL(18,2))), 4) AS mean_value FROM (SELECT coalesce(p_brand, '') AS gene, l_extendedprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size >= 10) WHERE gene <> '' GROUP BY gene")
 def left_map_repair(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
+    p = table(spark, d, "part").where("p_size >= 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
     out = J.lookup(table(spark, d, "lineitem"), p, "l_partkey", "gene", F.lit("")).where("gene <> ''")
     return out.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), 4).alias("mean_value"))
 
@@ -481,10 +481,10 @@ def platform_ladder(spark, d):
     return T.platform_ladder(_pairs(spark, d), BY).select(*BY, "n", *[r4(c) for c in ("spearman", "pearson", "sign_concordance", "slope")])
 
 
-@query(""", s AS (SELECT * FROM cells WHERE feature < 12), c AS (SELECT a.cohort, a.layer, a.feature AS feature_a, b.feature AS feature_b, corr(a.value, b.value) AS r, count(*) AS n FROM s a JOIN s b USING (cohort, layer, sample) WHERE a.feature < b.feature GROUP BY ALL)
+@query(""", c AS (SELECT a.cohort, a.layer, a.feature AS feature_a, b.feature AS feature_b, corr(a.value, b.value) AS r, count(*) AS n FROM cells a JOIN cells b USING (cohort, layer, sample) WHERE a.feature < b.feature GROUP BY ALL)
 SELECT cohort, layer, feature_a, feature_b, n, round(r, 4) AS r FROM c""", "cells")
 def pair_network_correlation(spark, d):
-    return M.correlation_network(X.cells(spark, d).where("feature < 12")).select("cohort", "layer", "feature_a", "feature_b", "n", r4("r"))
+    return M.correlation_network(X.cells(spark, d)).select("cohort", "layer", "feature_a", "feature_b", "n", r4("r"))
 
 
 # ---------- records and gates
@@ -665,13 +665,13 @@ def doi_extraction(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(text, F.lit(S.DOI), 0)).alias("doi"))
 
 
-@query("""WITH used AS (SELECT doc_id, unnest(regexp_extract_all(body, '\\[([0-9]+)\\]', 1)) AS ref FROM (SELECT doc_id, concat('see [', CAST(doc_id % 7 AS VARCHAR), '] and [', CAST(doc_id % 5 AS VARCHAR), ']') AS body FROM documents)),
-known AS (SELECT CAST(item_id AS VARCHAR) AS ref FROM benchmark WHERE item_id < 5)
+@query("""WITH used AS (SELECT doc_id, unnest(regexp_extract_all(body, '\\[([0-9]+)\\]', 1)) AS ref FROM (SELECT doc_id, concat('see [', CAST(doc_id % 70 AS VARCHAR), '] and [', CAST(doc_id % 50 AS VARCHAR), ']') AS body FROM documents)),
+known AS (SELECT CAST(item_id AS VARCHAR) AS ref FROM benchmark)
 SELECT ref, count(*) AS n_cited, ref IN (SELECT ref FROM known) AS defined FROM used GROUP BY ref""")
 def citation_map(spark, d):
-    body = F.concat(F.lit("see ["), (F.col("doc_id") % 7).cast("string"), F.lit("] and ["), (F.col("doc_id") % 5).cast("string"), F.lit("]"))
+    body = F.concat(F.lit("see ["), (F.col("doc_id") % 70).cast("string"), F.lit("] and ["), (F.col("doc_id") % 50).cast("string"), F.lit("]"))
     used = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(body, F.lit(r"\[([0-9]+)\]"), 1)).alias("ref"))
-    known = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").cast("string").alias("ref"), F.lit(True).alias("defined"))
+    known = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("ref"), F.lit(True).alias("defined"))
     return J.lookup(used.groupBy("ref").agg(F.count("*").alias("n_cited")), known, "ref", "defined", F.lit(False)).select("ref", "n_cited", "defined")
 
 
@@ -694,11 +694,11 @@ def survival_summary(spark, d):
     return B.survival_summary(t, ["event_type"], "days", F.col("user_id") % 4 == 0).select("event_type", "n", "n_events", r4("median_years"), r4("frac_under_3y"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, p_size % 5 AS sheet, p_partkey % 97 AS x0, p_partkey % 89 AS y0, p_partkey % 97 + 5 + p_size % 7 AS x1, p_partkey % 89 + 4 + p_size % 6 AS y1 FROM part WHERE p_partkey < 400)
+@query("""WITH b AS (SELECT p_partkey AS id, p_size % 5 AS sheet, p_partkey % 97 AS x0, p_partkey % 89 AS y0, p_partkey % 97 + 5 + p_size % 7 AS x1, p_partkey % 89 + 4 + p_size % 6 AS y1 FROM part)
 SELECT sheet, a_id, b_id, round(share, 4) AS share FROM (SELECT a.sheet, a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * 1.0::DOUBLE / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS share
 FROM b a JOIN b ON a.sheet = b.sheet AND a.id < b.id WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) WHERE share > 0.12""")
 def box_overlap(spark, d):
-    p, k = table(spark, d, "part").where("p_partkey < 400"), F.col("p_partkey")
+    p, k = table(spark, d, "part"), F.col("p_partkey")
     boxes = p.select(k.alias("id"), (F.col("p_size") % 5).alias("sheet"), (k % 97).alias("x0"), (k % 89).alias("y0"), (k % 97 + 5 + F.col("p_size") % 7).alias("x1"), (k % 89 + 4 + F.col("p_size") % 6).alias("y1"))
     return J.boxes_overlap(boxes, ["sheet"]).select("sheet", "a_id", "b_id", r4("share"))
 
@@ -724,16 +724,16 @@ def value_provenance(spark, d):
     return out.select("pair", "method", "subset", "value", "n_artefacts", "traced")
 
 
-@query("""WITH c AS (SELECT DISTINCT doc_id % 9 AS ref FROM documents WHERE doc_id % 9 <> 4), d AS (SELECT DISTINCT item_id % 7 AS ref FROM benchmark)
+@query("""WITH c AS (SELECT DISTINCT doc_id % 30 * 2 AS ref FROM documents), d AS (SELECT DISTINCT item_id AS ref FROM benchmark)
 SELECT CAST(ref AS VARCHAR) AS ref, 'not defined' AS problem FROM c WHERE ref NOT IN (SELECT ref FROM d) UNION ALL SELECT CAST(ref AS VARCHAR), 'not cited' FROM d WHERE ref NOT IN (SELECT ref FROM c)""")
 def cross_references(spark, d):
-    cited = table(spark, d, "documents").select((F.col("doc_id") % 9).alias("ref")).where("ref <> 4")
-    return V.cross_references(cited, table(spark, d, "benchmark").select((F.col("item_id") % 7).alias("ref"))).select(F.col("ref").cast("string").alias("ref"), "problem")
+    cited = table(spark, d, "documents").select((F.col("doc_id") % 30 * 2).alias("ref"))
+    return V.cross_references(cited, table(spark, d, "benchmark").select(F.col("item_id").alias("ref"))).select(F.col("ref").cast("string").alias("ref"), "problem")
 
 
-@query("WITH u AS (SELECT DISTINCT doc_id % 20 AS ref FROM documents WHERE doc_id % 20 NOT IN (3, 11)) SELECT CAST(r AS INTEGER) AS ref FROM (SELECT unnest(range(1, CAST((SELECT max(ref) FROM u) AS BIGINT) + 1)) AS r) WHERE r NOT IN (SELECT ref FROM u)")
+@query("WITH u AS (SELECT DISTINCT (doc_id % 20) * (doc_id % 20) AS ref FROM documents) SELECT CAST(r AS INTEGER) AS ref FROM (SELECT unnest(range(1, CAST((SELECT max(ref) FROM u) AS BIGINT) + 1)) AS r) WHERE r NOT IN (SELECT ref FROM u)")
 def reference_numbering(spark, d):
-    return V.numbering_gaps(table(spark, d, "documents").select((F.col("doc_id") % 20).alias("ref")).where("ref not in (3, 11)"))
+    return V.numbering_gaps(table(spark, d, "documents").select((F.col("doc_id") % 20 * (F.col("doc_id") % 20)).alias("ref")))
 
 
 @query("""SELECT p_name AS key, CASE WHEN count(*) FILTER (hit) = 1 THEN min(CASE WHEN hit THEN name END) END AS name FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part), LATERAL (SELECT list_contains(string_split(lower(p_name), ' '), name) AS hit) GROUP BY p_name""")
@@ -791,12 +791,12 @@ def kmeans_transfer(spark, d):
 
 @query()
 def benchmark_grid(spark, d):
-    return B.benchmark(X.blocks(spark, d, 120), "cohort", ["kmeans", "pca", "mcca_lite"], (3, 4))
+    return B.benchmark(X.blocks(spark, d), "cohort", ["kmeans", "pca", "mcca_lite"], (3, 4))
 
 
 @query()
 def stability_pac(spark, d):
-    labels = L.bootstrap_labels(X.blocks(spark, d, 120), ["cohort"], "kmeans", 4)
+    labels = L.bootstrap_labels(X.blocks(spark, d), ["cohort"], "kmeans", 4)
     return T.pac(labels, by=["cohort"]).select("cohort", "n_pairs", *[r4(c) for c in ("pac", "strong", "weak", "median_consensus")])
 
 
@@ -851,17 +851,17 @@ def first_component_loading(spark, d):
 
 @query()
 def split_half(spark, d):
-    return L.resampled_ari(X.blocks(spark, d, 120), ["cohort"], 3, "split", 20)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "split", 20)
 
 
 @query()
 def bootstrap_ceiling(spark, d):
-    return L.resampled_ari(X.blocks(spark, d, 120), ["cohort"], 3, "bootstrap", 20)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "bootstrap", 20)
 
 
 @query()
 def null_ari(spark, d):
-    return L.resampled_ari(X.blocks(spark, d, 120), ["cohort"], 3, "null", 200)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "null", 200)
 
 
 @query()

@@ -47,21 +47,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap labels with absent samples."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("sample"), "label")
-    r = table(spark, sf_dir, "benchmark").where("item_id < 12").select(F.col("item_id").alias("replicate"))
-    both = e.crossJoin(F.broadcast(r))  # 12 replicates
+    both = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("replicate"))
     return both.where((F.col("sample") * (2 * F.col("replicate") + 3) + F.col("replicate")) % 5 != 0).select("replicate", "sample", ((F.col("label") + (F.col("sample") * F.col("replicate")) % 2) % 4).alias("label"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, limit: int = 200) -> DataFrame:
-    """Samples with a vector of doubles, batch, condition and cohort; a bounded unit."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < limit)
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with a vector of doubles, batch, condition and cohort."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("label") % 2).alias("batch"), (F.floor(F.col("label") / 2) % 2).cast("int").alias("cond"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("cohort"), "label")
 
 
-def blocks(spark: SparkSession, sf_dir: str, limit: int = 200) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors as two layers of 32 features."""
-    v = vectors(spark, sf_dir, limit).withColumn("domain", F.lit("D"))
+    v = vectors(spark, sf_dir).withColumn("domain", F.lit("D"))
     halves = F.explode(F.array(F.struct(F.lit("first").alias("layer"), F.slice("features", 1, 32).alias("features")), F.struct(F.lit("second").alias("layer"), F.slice("features", 33, 32).alias("features"))))
     return v.select("domain", "cohort", "sample", "batch", "cond", halves.alias("h")).select("domain", "cohort", "sample", "batch", "cond", "h.layer", "h.features")
 
@@ -78,9 +76,9 @@ SQL = {
   CASE WHEN min(l_linenumber) + max(l_partkey) % 9 = 1 THEN 1 ELSE 0 END AS degen, count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_linestatus, l_returnflag, p_type, p_size % 3""",
     "boot": """SELECT r AS replicate, vec_id AS sample, (label + (vec_id * r) % 2) % 4 AS label
-  FROM embeddings CROSS JOIN (SELECT item_id AS r FROM benchmark WHERE item_id < 12) b WHERE vec_id < 60 AND (vec_id * (2 * r + 3) + r) % 5 <> 0""",
+  FROM embeddings CROSS JOIN (SELECT unnest(range(0, 12)) AS r) b WHERE (vec_id * (2 * r + 3) + r) % 5 <> 0""",
     "emb": """SELECT vec_id AS sample, label, label % 2 AS batch, CAST(floor(label / 2) AS BIGINT) % 2 AS cond,
-  CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS cohort, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 200""",
+  CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS cohort, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings""",
     "profile": "SELECT cohort, layer, feature, round(avg(value), 6) AS value FROM cells GROUP BY ALL",
     "pairs": """SELECT a.layer, a.feature, a.cohort AS cohort_a, b.cohort AS cohort_b, a.value AS x, b.value AS y
   FROM profile a JOIN profile b USING (layer, feature) WHERE a.cohort < b.cohort""",
