@@ -16,6 +16,12 @@ def numbers_in(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, found.alias("num")).select(key, S.plain_number(F.col("num")).alias("num")).distinct()
 
 
+def nested_numbers(df: DataFrame, key: str, json: str, bound: float) -> DataFrame:
+    """Numbers that stand as values anywhere in a JSON text, with |x| <= bound."""
+    found = F.explode(F.regexp_extract_all(F.col(json), F.lit(r"[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,\]}]"), 1))
+    return df.select(key, found.alias("x")).select(key, F.col("x").cast("double").alias("x")).where(F.abs("x") <= bound)
+
+
 def missing_values(expected: DataFrame, numbers: DataFrame) -> DataFrame:
     """Expected numbers (column num) that no text holds."""
     return expected.select(S.plain_number(F.col("num")).alias("num")).distinct().join(numbers.select("num"), "num", "left_anti")

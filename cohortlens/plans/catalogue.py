@@ -765,6 +765,18 @@ def evidence_ledger(spark, d):
     return V.ledger(claims, r.where("nlay < 3").select("artefact", "key", F.col("ari").alias("value"))).select("artefact", "key", "verdict")
 
 
+@query(r"""SELECT event_id, CAST(unnest(regexp_extract_all(props, '[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,\]}]', 1)) AS DOUBLE) AS x FROM events""")
+def nested_numbers(spark, d):
+    return V.nested_numbers(table(spark, d, "events"), "event_id", "props", 1e9)
+
+
+@query("SELECT cohort, sample, count(*) AS n_features, round(sum(v * pos), 4) AS checksum FROM emb GROUP BY ALL", "emb")
+def concatenated_blocks(spark, d):
+    whole = M.concatenated(X.blocks(spark, d), ["cohort"])
+    total = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return whole.select("cohort", "sample", F.size("features").cast("long").alias("n_features"), r4(total, "checksum"))
+
+
 # ---------- learned: rows only
 
 
@@ -789,6 +801,16 @@ def kmeans_transfer(spark, d):
     return L.transfer(X.blocks(spark, d), ["domain"], "cohort", "kmeans")
 
 
+@query()
+def coassociation_linkage(spark, d):
+    return L.linkage_clusters(X.blocks(spark, d), ["cohort"], 4)
+
+
+@query()
+def fusion_linkage(spark, d):
+    return L.linkage_clusters(X.blocks(spark, d), ["cohort"], 4, "fusion")
+
+
 @query()
 def benchmark_grid(spark, d):
     return B.benchmark(X.blocks(spark, d), "cohort", ["kmeans", "pca", "mcca_lite"], (3, 4))
