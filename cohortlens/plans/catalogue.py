@@ -230,11 +230,11 @@ def map_explode_first(spark, d):
     return table(spark, d, "part").select("p_partkey", S.first_of(genes).alias("first_name"), F.size(F.split(genes, ";")).cast("long").alias("n_names"))
 
 
-@query("SELECT gene, count(*) AS n, round(avg(CAST(l_extendedprice AS DECIMAL(18,2))), 4) AS mean_value FROM (SELECT coalesce(p_brand, '') AS gene, l_extendedprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size >= 10) WHERE gene <> '' GROUP BY gene")
+@query("SELECT gene, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM (SELECT coalesce(p_brand, '') AS gene, l_extendedprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size >= 10) WHERE gene <> '' GROUP BY gene")
 def left_map_repair(spark, d):
     p = table(spark, d, "part").where("p_size >= 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
     out = J.lookup(table(spark, d, "lineitem"), p, "l_partkey", "gene", F.lit("")).where("gene <> ''")
-    return out.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), 4).alias("mean_value"))
+    return out.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total_value"))
 
 
 @query("""SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.method, b.method) AS method, coalesce(a.subset, b.subset) AS subset, a.ari AS x, b.ari AS y FROM (SELECT * FROM records WHERE domain = 'F' AND pair <> 'A') a
