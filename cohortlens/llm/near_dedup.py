@@ -198,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(dealt, ["u", "salt"])
+        joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), ["u", "salt"])  # its size is not what it is estimated at
         hooked = joined.where("v > u") if large else joined
         out = hooked.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
