@@ -30,9 +30,8 @@ def discard(spark: SparkSession) -> None:
 
 @atexit.register
 def _discard_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        if _held and (spark := SparkSession.getActiveSession()) is not None:
             discard(spark)
 
 
