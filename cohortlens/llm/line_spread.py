@@ -47,6 +47,8 @@ def line_spread(docs: DataFrame, min_sites: int = 8, min_chars: int = 16, text:
         .where(F.col("spread") >= min_sites - width)
         .drop("_sketch")
     )
+    # few lines are left; as a table they meet the lines again without the aggregation's partitioning, so a hot line can be split
+    spread = written(spread, "spread")
     over = spread.where(F.col("spread") > min_sites + width)
     near = spread.where(F.col("spread") <= min_sites + width)
     exact = lines.join(near.select("_h", "_g"), ["_h", "_g"], "left_semi").select("_h", "_g", "_site").distinct().groupBy("_h", "_g").agg(F.count("_site").alias("_exact")).where(F.col("_exact") >= min_sites)
