@@ -6,13 +6,12 @@ words and word pairs with their counts; each range is merged in one task. For
 words the task answers every chunk with the exact counts of the words it asked
 for. For pairs it builds its segment of the filter: a pair whose count has
 level j (1 + floor(log2 count)) is entered under the labels 1 to j, so that its
-level is found by probing label after label until one is missing.
+level is found by probing label after label until one is missing; it answers
+every chunk with the levels of the pairs it asked for.
 
-Size: the filter is broadcast, so its size is bounded by ``max_filter_bytes``.
-Each segment takes the smallest count cutoff with which its entries keep
-``BITS`` bits each within its share; pairs under the cutoff count as unseen. At
-small sizes the cutoff is 1. Counting and the answers cover everything at every
-size.
+Size: a segment lives only in the task of its range, so the filter grows with
+the pairs and is never in one place. It keeps ``BITS`` bits for each entry and
+has no cutoff: counting and the answers cover everything at every size.
 
 Scoring: P(w | h) = (c(hw) + mu * p(w)) / (c(h) + mu), where c(hw) is the lower
 end of the probed level, c(h) and p(w) = (c(w) + 1) / (N + V + 1) are exact. The
@@ -41,6 +40,7 @@ from cohortlens.session import make_importable
 END = np.uint64(0xE0D0C0B0A0908070)
 BITS, PROBES, MAX_LEVEL = 12, 6, 40
 CHUNK_BYTES, RANGE_BYTES = (3 << 20, 8 << 20), 12 << 20
+NO_LIMIT = 1 << 62
 MU = 500.0
 
 
@@ -66,6 +66,17 @@ def unpack_numbers(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel().astype(np.uint64)
 
 
+def pack_levels(counts: np.ndarray) -> bytes:
+    """The lower ends of levels, 0 for none, as compressed bytes."""
+    levels = np.where(counts > 0, levels_of(counts), 0).astype(np.uint8)
+    return pa.compress(levels.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_levels(blob: bytes, n: int) -> np.ndarray:
+    levels = np.frombuffer(pa.decompress(blob, decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8).astype(np.int64)
+    return np.where(levels > 0, np.int64(1) << np.maximum(levels - 1, 0), 0)
+
+
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         steps = np.r_[keys[:1], keys[1:] - keys[:-1]]
@@ -185,7 +196,7 @@ def streams(sizes: list[int], texts: bytes) -> list[np.ndarray]:
 
 
 def asked(chunks: DataFrame, n_ranges: int) -> DataFrame:
-    """Each chunk's distinct words (all, with training counts) and training pairs, by range."""
+    """Each chunk's distinct words and pairs (all, with training counts), by range."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,13 +204,13 @@ def asked(chunks: DataFrame, n_ranges: int) -> DataFrame:
                 docs = streams(sizes, texts)
                 taught = [d for d, t in zip(docs, train, strict=True) if t]
                 known = np.concatenate(taught) if taught else np.empty(0, dtype=np.uint64)
-                every = np.unique(np.concatenate(docs))
-                count = np.zeros(len(every), dtype=np.uint64)
-                words, n = np.unique(known, return_counts=True)
-                count[np.searchsorted(every, words)] = n.astype(np.uint64)
-                pairs, n_pairs = np.unique(pair_hashes(known), return_counts=True) if len(known) else (known, known)
+                stream = np.concatenate(docs)
                 ranges, kinds, blobs = [], [], []
-                for kind, keys, counts in (("word", every, count), ("pair", pairs, n_pairs.astype(np.uint64))):
+                for kind, every, taught_keys in (("word", stream, known), ("pair", pair_hashes(stream), pair_hashes(known) if len(known) else known)):
+                    keys = np.unique(every)
+                    counts = np.zeros(len(keys), dtype=np.uint64)
+                    found, n = np.unique(taught_keys, return_counts=True)
+                    counts[np.searchsorted(keys, found)] = n.astype(np.uint64)
                     own = range_of(keys, n_ranges)
                     cuts = np.searchsorted(own, np.arange(n_ranges + 1, dtype=np.uint64))
                     for r in range(n_ranges):
@@ -215,8 +226,8 @@ def asked(chunks: DataFrame, n_ranges: int) -> DataFrame:
 ANSWER = "kind string, chunk long, range int, blob binary, n long, v long"
 
 
-def merged(table: pa.Table, max_bytes: int) -> pa.Table:
-    """One range: the counts that each chunk asked for, and the filter segment."""
+def merged(table: pa.Table) -> pa.Table:
+    """One range: the word counts and the pair levels that each chunk asked for, and the range's totals."""
     r = table["range"][0].as_py()
     rows = []
     words = {"word": [], "pair": []}
@@ -227,38 +238,39 @@ def merged(table: pa.Table, max_bytes: int) -> pa.Table:
     for chunk, own, _ in words["word"]:
         rows.append({"kind": "answer", "chunk": chunk, "range": r, "blob": pack_numbers(counts[np.searchsorted(keys, own)]), "n": len(own), "v": 0})
     pairs, n_pairs = summed(*(np.concatenate([x[i] for x in words["pair"]] or [empty]) for i in (1, 2)))
-    blob, cutoff = segment(pairs, n_pairs, max_bytes)
-    rows.append({"kind": "segment", "chunk": cutoff, "range": r, "blob": blob, "n": int(counts.sum()), "v": int((counts > 0).sum())})
+    taught = n_pairs > 0
+    held = LogFrequencyFilter({0: segment(pairs[taught], n_pairs[taught], NO_LIMIT)[0]}, 1)
+    for chunk, own, _ in words["pair"]:
+        rows.append({"kind": "levels", "chunk": chunk, "range": r, "blob": pack_levels(held.counts(own)), "n": len(own), "v": 0})
+    rows.append({"kind": "totals", "chunk": None, "range": r, "blob": None, "n": int(counts.sum()), "v": int((counts > 0).sum())})
     kinds = [("kind", pa.string()), ("chunk", pa.int64()), ("range", pa.int32()), ("blob", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
     return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
 
 
-def score_documents(docs: DataFrame, is_training: Column, mu: float = MU, max_filter_bytes: int = 64 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, is_training: Column, mu: float = MU, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10)."""
-    spark = make_importable(docs.sparkSession)
+    make_importable(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("train"), raw_text(text).alias("raw"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_ranges = max(4, -(-total // RANGE_BYTES))
     chunks = written(pack_documents(source, min(max(total // 1000, CHUNK_BYTES[0]), CHUNK_BYTES[1])), "chunks")
-    share = max_filter_bytes // n_ranges
-    answers = written(asked(chunks, n_ranges).groupBy("range").applyInArrow(lambda t: merged(t, share), ANSWER), "answers")
-    found = answers.where("kind = 'segment'").select("range", "blob", "n", "v").collect()  # max_filter_bytes at most
-    model = spark.sparkContext.broadcast(LogFrequencyFilter({r["range"]: bytes(r["blob"]) for r in found}, n_ranges))
-    n_train, v = sum(r["n"] for r in found), sum(r["v"] for r in found)
+    answers = written(asked(chunks, n_ranges).groupBy("range").applyInArrow(merged, ANSWER), "answers")
+    totals = answers.where("kind = 'totals'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n_train, v = totals["n"] or 0, totals["v"] or 0
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, tokens, known, base, score = [], [], [], [], []
-        parts = sorted(zip(right["range"].to_pylist(), right["n"].to_pylist(), right["blob"].to_pylist(), strict=True), key=lambda x: x[0])
-        counts = np.concatenate([unpack_numbers(x, n) for _, n, x in parts] or [np.empty(0, dtype=np.uint64)]).astype(np.float64)
+        parts = sorted(zip(right["range"].to_pylist(), right["kind"].to_pylist(), right["n"].to_pylist(), right["blob"].to_pylist(), strict=True), key=lambda x: x[0])
+        counts = np.concatenate([unpack_numbers(x, n) for _, kind, n, x in parts if kind == "answer"] or [np.empty(0, dtype=np.uint64)]).astype(np.float64)
+        held = np.concatenate([unpack_levels(x, n) for _, kind, n, x in parts if kind == "levels"] or [np.empty(0, dtype=np.int64)]).astype(np.float64)
         for own, sizes, texts in zip(left["ids"].to_pylist(), left["sizes"].to_pylist(), left["texts"].to_pylist(), strict=True):
             docs_here = streams(sizes, texts)
             stream = np.concatenate(docs_here)
             words, place = np.unique(stream, return_inverse=True)
             c = counts[place]
             plain = (c + 1) / (n_train + v + 1)
-            pairs, at = np.unique(pair_hashes(stream), return_inverse=True)
-            pair = model.value.counts(pairs)[at].astype(np.float64)
+            pair = held[np.unique(pair_hashes(stream), return_inverse=True)[1]]
             end = counts[np.searchsorted(words, END)]
             before = np.r_[end, c[:-1]]
             smooth = np.minimum((np.minimum(pair, before) + mu * plain) / (before + mu), 1.0)
@@ -271,7 +283,7 @@ def score_documents(docs: DataFrame, is_training: Column, mu: float = MU, max_fi
         kind = left.schema.field("ids").type.value_type
         return pa.table({"doc_id": pa.array(ids, kind), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
-    both = chunks.groupBy("chunk").cogroup(answers.where("kind = 'answer'").select("chunk", "range", "n", "blob").groupBy("chunk"))
+    both = chunks.groupBy("chunk").cogroup(answers.where("kind != 'totals'").select("chunk", "kind", "range", "n", "blob").groupBy("chunk"))
     out = both.applyInArrow(scored, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -345,6 +345,21 @@ def test_filter_never_misses_and_rarely_invents():
     assert cutoff > 1 and len(small) <= 500
 
 
+def test_lm_range_answers_every_pair_whatever_its_size():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 60_000, dtype=np.uint64))
+    counts = np.r_[np.zeros(500, np.uint64), np.ones(len(keys) - 500, np.uint64)]  # 500 asked for only, the rest seen once
+    blobs = [lm_score.pack_counts(keys[i::2], counts[i::2]) for i in (0, 1)]
+    table = lm_score.pa.table({"range": [0, 0, 0], "kind": ["word", "pair", "pair"], "chunk": [7, 7, 8], "blob": [lm_score.pack_counts(keys[:9], counts[:9]), *blobs]})
+    rows = lm_score.merged(table).to_pylist()
+    assert [(r["kind"], r["chunk"]) for r in rows] == [("answer", 7), ("levels", 7), ("levels", 8), ("totals", None)]
+    got = np.empty(len(keys), dtype=np.int64)
+    for i in (0, 1):
+        got[i::2] = lm_score.unpack_levels(rows[1 + i]["blob"], rows[1 + i]["n"])
+    assert (got[500:] >= 1).all() and (got[:500] > 0).mean() < 0.06
+    assert all(lm_score.levels_of(np.array([x])) == lm_score.levels_of(lm_score.unpack_levels(lm_score.pack_levels(np.array([x])), 1)) for x in (1, 2, 3, 1 << 20, 1 << 39))
+
+
 def test_lm_odd_rows(odd):
     rows = lm_score.lm_query(odd).collect()
     assert len(rows) == odd.count()
