@@ -121,7 +121,8 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     doubled = F.concat("sig", "sig")
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.concat(F.substring(F.lpad(F.hex(t), 2, "0"), 1, 2).cast("binary"), F.substring(doubled, t * step + 1, F.lit(2 * DEPTH)))))
     keys = classes.select("id", orders.alias("key"))
-    by_order = keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # rows that share MIN_DEPTH values are never parted, so that the windows do not depend on the partitions
+    by_order = keys.repartitionByRange(F.substring("key", 1, 2 * (1 + MIN_DEPTH))).sortWithinPartitions("key", "id")
     widest = WINDOWS[0][1]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,26 @@ def test_near_dedup_dense_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_candidates_do_not_depend_on_partitions(spark):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = near_dedup.signatures(df, "text", "doc_id").cache()
+    found = []
+    before, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in ("1", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({tuple(r) for r in near_dedup.candidate_pairs(classes).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        classes.unpersist()
+    assert found[0] == found[1] and found[0]
+
+
 def test_near_dedup_odd_rows(odd):
     out = near_dedup.near_duplicates(odd)
     rows = out.collect()
