@@ -22,6 +22,11 @@
    So a document with a candidate in a large component that it is not in is
    contested: it is compared with every member of that component on full sets,
    in blocks of bounded size.
+6. A region can be dense although nothing in it is linked (documents of one
+   template). So a class whose window left out neighbours is crowded there, and
+   the crowded classes that share ``MIN_DEPTH`` values in that order and are not
+   in one component are compared with each other, likely pairs on full sets, in
+   blocks of bounded size.
 
 Rounds are cut by tables in the shared folder. Nothing but counts comes to the
 driver.
@@ -60,6 +65,8 @@ TRIES = 4
 LARGE = 12
 #: Documents and bytes of text in a block of contested documents and of members.
 CONTESTED, MEMBERS, BLOCK_BYTES = 256, 1024, 4 << 20
+#: Crowded classes in a block; two blocks meet at a time.
+CROWDED = 512
 #: Rows of one id are dealt to so many groups where stars are joined.
 SALTS = 16
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
@@ -116,7 +123,11 @@ def joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of neighbours in the sorted orders, each once."""
+    """Pairs (a < b) of neighbours in the sorted orders, each once.
+
+    Rows with a ``place`` instead of ``b`` name the classes with neighbours beyond
+    their window: ``place`` is the order and the values that they share.
+    """
     step = 2 * (HASHES // ORDERS)
     doubled = F.concat("sig", "sig")
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.concat(F.substring(F.lpad(F.hex(t), 2, "0"), 1, 2).cast("binary"), F.substring(doubled, t * step + 1, F.lit(2 * DEPTH)))))
@@ -135,24 +146,31 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
             same = raw[1:] == raw[:-1]
             shared = np.where(same.all(axis=1), DEPTH, np.where(same[:, 0], np.argmin(same, axis=1) - 1, -1))
             found_a, found_b = [], []
+            crowded = np.zeros(len(ids), dtype=bool)
             prefix = shared.copy()
-            for k in range(1, min(widest, len(ids) - 1) + 1):
+            for k in range(1, min(widest + 1, len(ids) - 1) + 1):
                 if k > 1:
                     prefix = np.minimum(prefix[:-1], shared[k - 1 :])
                 wide = np.zeros(DEPTH + 2, dtype=np.int64)
                 for depth, width in WINDOWS:
                     wide[depth : DEPTH + 1] = width
                 # new pairs only: the later one is of this batch
-                at = np.flatnonzero((wide[prefix] >= k) & (np.arange(len(prefix)) + k >= n_old))
+                fresh = np.arange(len(prefix)) + k >= n_old
+                beyond = np.flatnonzero((prefix >= MIN_DEPTH) & (wide[prefix] < k) & fresh)
+                crowded[beyond] = crowded[beyond + k] = True
+                at = np.flatnonzero((wide[prefix] >= k) & fresh)
                 at = at[(raw[at, 1:] == raw[at + k, 1:]).sum(axis=1) >= AGREE]
                 found_a.append(np.minimum(ids[at], ids[at + k]))
                 found_b.append(np.maximum(ids[at], ids[at + k]))
-            old_ids, old_keys = ids[-widest:], raw[-widest:]
+            old_ids, old_keys = ids[-widest - 1 :], raw[-widest - 1 :]
             if found_a:
                 pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "place"])
+            if crowded.any():
+                places = np.ascontiguousarray(raw[crowded, : 1 + MIN_DEPTH].astype(">u2")).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[crowded]), pa.nulls(len(places), pa.int64()), pa.array(places)], names=["a", "b", "place"])
 
-    return map_batches(by_order, neighbours, "a long, b long").distinct()
+    return map_batches(by_order, neighbours, "a long, b long, place long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -215,6 +233,74 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def linked_sets(mine: list[np.ndarray], theirs: list[np.ndarray], similarity: int) -> np.ndarray:
+    """For each set of ``mine`` and each other one of ``theirs``: 100 * intersection >= similarity * union."""
+    if not mine or not theirs:
+        return np.zeros((len(mine), len(theirs)), dtype=bool)
+    common = np.zeros((len(mine), len(theirs)), dtype=np.float32)
+    if mine is theirs:
+        every, n = np.unique(np.concatenate(mine), return_counts=True)
+        every = every[n > 1]
+    else:
+        every = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
+    for at in range(0, len(every), 2048):  # the sets side by side, a stretch of shingles at a time
+        part = every[at : at + 2048]
+        x, y = (np.zeros((len(sets), len(part)), dtype=np.float32) for sets in (mine, theirs))
+        for sets, m in ((mine, x), (theirs, y)):
+            for i, s in enumerate(sets):
+                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                place = np.searchsorted(part, own)
+                m[i, place[part[place] == own]] = 1
+        common += x @ y.T
+    n, m = (np.array([len(s) for s in sets], dtype=np.float32) for sets in (mine, theirs))
+    return 100 * common >= similarity * (n[:, None] + m[None, :] - common)
+
+
+def crowded_links(crowded: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, similarity: int, least: float) -> DataFrame:
+    """Links (u, v) between components, from comparing the crowded classes (id, place) of each place.
+
+    ``labels`` holds (id, root) of all ids in components, ``docs`` (id, raw) of all rows.
+    """
+    rows = crowded.withColumn("root", F.col("id"))
+    if labels is not None:
+        rows = crowded.join(labels.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rows.groupBy("place").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
+    rows = written(rows.join(mixed.select("place").hint("merge"), "place", "left_semi"), "crowded")
+    texts = docs.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("raw").alias("raw"))
+    texts = written(texts.join(classes.select("id", "sketch").hint("merge"), "id"), "crowdedtexts")
+    sized = rows.join(texts.select("id", F.octet_length("raw").alias("size")).hint("merge"), "id")
+    # the members of a place's largest component lie in one component: their blocks come last and do not meet each other
+    parts = written(sized.groupBy("place", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "crowdedparts")
+    main = parts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    slots = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("n"))) / CROWDED), F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_BYTES), F.lit(1)).cast("int")
+    many = parts.join(main.hint("merge"), "place").groupBy("place").agg(F.max("main").alias("main"), slots(F.col("root") == F.col("main")).alias("ms"), slots(F.col("root") != F.col("main")).alias("rs"))
+    rows = rows.join(many.hint("merge"), "place").withColumn("is_main", F.col("root") == F.col("main"))
+    rows = rows.withColumn("slot", F.when(F.col("is_main"), F.col("rs") + F.pmod(F.xxhash64("id"), F.col("ms"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rs"))).cast("int"))
+    # any other block meets each block and itself, each time in a group of its own
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rs") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("ms"))))).select("id", "root", "place", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        slot, root = t["slot"].to_numpy(), t["root"].to_numpy()
+        left, right = np.flatnonzero(slot == t["i"][0].as_py()), np.flatnonzero(slot == t["j"][0].as_py())
+        u, v = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if len(left) and len(right):
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            other = root[left][:, None] != root[right][None, :]
+            open_ = np.stack([(sketch[a] == sketch[right]).mean(axis=1) >= least for a in left]) & other
+            x, y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if len(x):
+                raw = t["raw"]
+                mine = [shingle_set(raw[int(k)].as_py()) for k in left[x]]
+                theirs = mine if np.array_equal(left[x], right[y]) else [shingle_set(raw[int(k)].as_py()) for k in right[y]]
+                found = np.argwhere(linked_sets(mine, theirs, similarity) & other[np.ix_(x, y)])
+                u, v = root[left[x[found[:, 0]]]], root[right[y[found[:, 1]]]]
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return pa.table({"u": pa.array(pairs[0], pa.int64()), "v": pa.array(pairs[1], pa.int64())})
+
+    both = rows.join(texts.hint("merge"), "id")
+    return both.groupBy("place", "i", "j").applyInArrow(compared, "u long, v long").distinct()
+
+
 def contested_links(failed: DataFrame, labels: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Links (u, v) between components, from comparing contested documents with whole components.
 
@@ -241,20 +327,7 @@ def contested_links(failed: DataFrame, labels: DataFrame, texts: DataFrame, simi
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         mine, theirs = ([shingle_set(r) for r in t["raw"].to_pylist()] for t in (left, right))
-        linked = np.zeros(len(mine), dtype=bool)
-        if mine and theirs:
-            common, every = np.zeros((len(mine), len(theirs)), dtype=np.float32), np.unique(np.concatenate(mine))
-            for at in range(0, len(every), 2048):  # the sets side by side, a stretch of shingles at a time
-                part = every[at : at + 2048]
-                x, y = (np.zeros((len(sets), len(part)), dtype=np.float32) for sets in (mine, theirs))
-                for sets, m in ((mine, x), (theirs, y)):
-                    for i, s in enumerate(sets):
-                        own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
-                        place = np.searchsorted(part, own)
-                        m[i, place[part[place] == own]] = 1
-                common += x @ y.T
-            n, m = (np.array([len(s) for s in sets], dtype=np.float32) for sets in (mine, theirs))
-            linked = (100 * common >= similarity * (n[:, None] + m[None, :] - common)).any(axis=1)
+        linked = linked_sets(mine, theirs, similarity).any(axis=1)
         keep = pa.array(linked)
         return pa.table({"u": left["own"].filter(keep).cast(pa.int64()), "v": left["target"].filter(keep).cast(pa.int64())})
 
@@ -277,7 +350,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
     ids = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = written(ids.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     margin = similarity / 100 - 4.3 * (similarity / 100 * (1 - similarity / 100) / HASHES) ** 0.5
-    edges = written(likely(candidate_pairs(classes), classes, margin), "candidates")
+    found = written(candidate_pairs(classes), "neighbours")
+    edges = written(likely(found.where("b is not null").select("a", "b"), classes, margin), "candidates")
     # what these joins meet grows with the input: they are never broadcast
     members = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text).alias("raw")).join(members.hint("merge"), "id", "left_semi"), "texts")
@@ -312,6 +386,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", d
         more = written(contested_links(failed, labels, texts, similarity), "contested")
         if more.take(1):
             labels = written(relabelled(labels, components(more)), "labels")
+    crowded = found.where("b is null").select(F.col("a").alias("id"), "place")
+    if crowded.take(1):
+        raws = docs.select(F.col(doc_id).cast("long").alias("id"), raw_text(text).alias("raw"))
+        more = written(crowded_links(crowded, labels, classes, raws, similarity, margin), "crowdedlinks")
+        if more.take(1):
+            labels = written(relabelled(labels, components(more)), "labels")
     roots = classes.select("digest", F.col("id").alias("class_id"))
     if labels is not None:
         roots = roots.join(labels.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("digest", F.coalesce("root", "class_id").alias("component"))
