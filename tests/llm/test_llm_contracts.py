@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and odd rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -493,19 +494,95 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == dict(marks)[r["doc_id"]] for r in held)
 
 
+def test_toxicity_equals_brute_force(spark, sf_dir, docs, texts):
+    """Every document against every example: all words and telling beginnings, without an index."""
+    marks = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["doc_id"] in texts and r["toxic"] in (0, 1)]
+    out = {r["doc_id"]: r for r in queries.queries()["op9_toxicity"](spark, sf_dir).collect()}
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.remainder(F.col("doc_id"), 5) != 0, 2000, "text", "toxic", "doc_id")
+    train = [(i, y) for i, y in marks if crc(i, 5) != 0]
+    n_toxic, n = sum(y for _, y in train), len(train)
+
+    def terms(text):
+        out = Counter()
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            out[w] += 1
+            for k in (4, 5):
+                if len(w) > k:
+                    out[w[:k] + "*"] += 1
+        return out
+
+    held = {i: terms(t) for i, t in texts.items()}
+    df = Counter(t for c in held.values() for t in c)
+    share = {y: Counter(t for i, z in train if z == y for t in held[i]) for y in (0, 1)}
+
+    def phi(t):
+        a, b = share[1][t], share[0][t]
+        cells = ((a, n_toxic, a + b), (b, n - n_toxic, a + b), (n_toxic - a, n_toxic, n - a - b), (n - n_toxic - b, n - n_toxic, n - a - b))
+        g2 = sum(2 * o * math.log(o * n / (r * c)) for o, r, c in cells if o)
+        return math.sqrt(g2 / (2 * n)) if g2 > toxicity.SIGNIFICANT else 0.0
+
+    weight = {}
+    for t in {t for i, _ in train for t in held[i]}:
+        strength = phi(t)
+        if not t.endswith("*") or strength:
+            weight[t] = (math.log((len(texts) + 1) / (df[t] + 1)) + 1e-3) * (toxicity.FLOOR + strength)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    examples = [(vector(held[i]), y) for i, y in train]
+    for i, c in held.items():
+        v = vector(c)
+        every = sorted(((round(sum(x * e.get(t, 0) for t, x in v.items()), 9), y) for e, y in examples), reverse=True)
+        near = [(s, y) for s, y in every[:15] if s > 1e-12]
+        got = toxicity_evidence(out[i])
+        assert [x for x, _ in got] == pytest.approx([s for s, _ in near], abs=1e-8)
+        if len(every) <= 15 or every[14][0] > every[15][0] + 1e-7:  # without a tie at the end the same neighbours vote
+            yes = sum(s**3 for s, y in near if y)
+            p = (yes + 0.05 * n_toxic / n) / (sum(s**3 for s, _ in near) + 0.05)
+            p = min(max(p, 1e-4), 1 - 1e-4)
+            z = model.slope * math.log(p / (1 - p)) + model.offset
+            assert out[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+
+
+def toxicity_evidence(row):
+    return [(x["cosine"], x["label"]) for x in json.loads(row["evidence"])]
+
+
 def test_block_max_index_is_exact():
     rng = random.Random(8)
     vectors = []
     for _ in range(300):
         v = {t: rng.random() for t in rng.sample(range(40), rng.randrange(0, 8))}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
-        vectors.append({t: x / norm for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    for v in vectors[:60]:
-        want = sorted(((-round(sum(x * u.get(t, 0) for t, x in v.items()), 12), i) for i, u in enumerate(vectors)))
-        want = [(i, -s) for s, i in want if s < -1e-12][:15]
-        got = index.nearest(v, 15)
-        assert [c for _, c in got] == pytest.approx([c for _, c in want], abs=1e-9) and len(got) == len(want)
+        vectors.append({t: x / norm for t, x in sorted(v.items())})
+    postings = [(i, t, w) for i, v in enumerate(vectors) for t, w in v.items()]
+    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*postings)), len(vectors), 40)
+    for n, v in enumerate(vectors[:60]):
+        for leave in (-1, n):
+            want = sorted(((-round(sum(x * u.get(t, 0) for t, x in v.items()), 12), i) for i, u in enumerate(vectors) if i != leave))
+            want = [(i, -s) for s, i in want if s < -1e-12][:15]
+            got = index.nearest(np.array([*v], dtype=np.int64), np.array([*v.values()]), 15, leave)
+            assert got[1].tolist() == pytest.approx([c for _, c in want], abs=1e-9) and len(got[0]) == len(want)
+    none = toxicity.BlockMaxIndex(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0), 3, 5)
+    assert len(none.nearest(np.array([1]), np.array([1.0]), 15)[0]) == 0
+
+
+def test_a_listed_word_in_a_long_clean_text_is_not_a_toxic_example():
+    words = toxicity.words_of("It's A_b, ÀÉ x2; Ünder_score")
+    assert words == re.findall(r"[^\W_]+", "It's A_b, ÀÉ x2; Ünder_score".lower()) and toxicity.words_of("It's A_b x2;") == ["it", "s", "a", "b", "x2"]
+    example, word, tf = [], [], []
+    for i in range(60):
+        for w in ([0] if i < 30 else []) + list(range(1 + i % 30, 31 + i % 30)):
+            example.append(i), word.append(w), tf.append(1)
+    model = toxicity.Model([f"w{k}" for k in range(61)], np.array(example), np.array(word), np.array(tf), [1] * 30 + [0] * 30, {0: 1.0, 1: 1.0})
+    model.weigh(np.r_[5.0, np.full(len(model.weight) - 1, 50.0)], 200)
+    terms, value = model.vector("w0")
+    diluted = model.vector("w0 " + " ".join(f"w{k}" for k in range(1, 61)))[1]
+    assert value[list(terms).index(0)] > diluted[0] and len(diluted) > 60 - 1
+    assert model.score("w0 w1 w2")[0] > 0.5 > model.score("w1 w2 w3")[0]
 
 
 def test_toxicity_odd_rows(odd, labels):
