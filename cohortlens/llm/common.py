@@ -19,6 +19,8 @@ BATCH_BYTES = 4 << 20
 
 
 _held: list[str] = []
+#: Temporary folders of local applications.
+_own: dict[str, str] = {}
 
 
 def discard(spark: SparkSession) -> None:
@@ -39,13 +41,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path in the shared folder that the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, one machine) a temporary folder is used.
+    and the master is local (tests, one machine) a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="cohortlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = held.get() if held.isDefined() else ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="cohortlens-")
+        _own[spark.sparkContext.applicationId] = base
     _held.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _held[-1]
 
@@ -73,7 +79,10 @@ def sized(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterat
 
 
 def text_batches(spark: SparkSession) -> SparkSession:
-    """A session whose Arrow batches suit rows that hold whole texts, unless it sets their size itself."""
+    """A session whose Arrow batches suit rows that hold whole texts.
+
+    Only where the session leaves the number of records at its default; it has no setting for one query.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return make_importable(spark)

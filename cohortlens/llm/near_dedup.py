@@ -31,7 +31,8 @@
 Rounds are cut by tables in the shared folder. Nothing but counts comes to the
 driver.
 
-Ids are taken to name one text; where rows with one id differ, they share a
+Ids are whole numbers (another type is refused before anything runs) and are
+taken to name one text; where rows with one id differ, they share a
 component and the larger text in byte order stands in comparisons.
 
 Defined cases: null and empty texts, and texts without words, have the empty
@@ -346,6 +347,8 @@ def relabelled(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be a whole number, not {docs.schema[doc_id].dataType.simpleString()}")
     rows = written(signatures(docs, text, doc_id), "signatures")
     ids = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = written(ids.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")

@@ -215,6 +215,22 @@ def test_near_dedup_odd_rows(odd):
     assert near_dedup.near_duplicates(empty(odd)).count() == 0
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and 7 not in {r["doc_id"] for r in kept.collect()}
+    with pytest.raises(TypeError, match="whole number"):
+        near_dedup.near_duplicates(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cohortlens.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", applicationId="x", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context), "x")
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.scratch(spark, "a").rsplit("/", 1)[0] == common.scratch(spark, "b").rsplit("/", 1)[0]
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
 
 
 def test_components_of_paths_and_stars(spark):
