@@ -3,11 +3,14 @@
 A page becomes a tree of its block elements (inline elements only mark links).
 Blocks of templates (navigation, headers, footers, sidebars, notices, adverts,
 forms, reader comments, hidden parts) are pruned by element, role and the words
-of class and id. Every remaining paragraph, that is a block's own run of text,
-passes points for its length and its commas to its ancestors, all to the
-parent and less and less further up. A container's points are discounted by the
-share of its text that stands in links. The best container is kept, with those
-siblings that score well enough or are long prose, in page order.
+of class and id. Forms, and blocks that only such words mark, stay where they
+hold more than half of the page's prose and no article stands beside them: then
+they wrap the article. Every remaining paragraph, that is a block's own run of
+text, passes points for its length and its commas to its ancestors, all to the
+parent and half as much with each level further up. A container's points are
+discounted by the share of its text that stands in links. The best container is
+kept with all its siblings that are no templates and not mostly links, in page
+order; directly in the body, sibling containers must also score well enough.
 
 Defined cases: null and empty pages, and pages without text, give the empty
 text; unclosed and misnested tags are closed as browsers do; a comment, script
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,19 +40,27 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "map", "nobr", "center"}
 #: What a start tag closes, and where the search for it ends.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"})}
-PRUNED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "figcaption"}
+PRUNED = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "note", "status"}
 #: Words of class and id that mark templates.
 TEMPLATE = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted sidebar sidebars rail aside nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs footer foot colophon masthead header comment comments commentlist discussion disqus leaderboard skyscraper mpu reply replies respond responses notice notices cookie cookies consent gdpr alert warning popup modal overlay dialog newsletter subscribe subscription signup login register form search related recommended recommendations share sharing social follow widget widgets tags tagcloud pagination pager copyright legal disclaimer skip hidden outbrain taboola paywall teaser shoutbox feedback rating ratings".split())
 #: Words that keep a block although a template word stands beside them.
 BODY = set("article articlebody main content post entry story body text page wrapper container layout".split())
+#: Words beside which an id still marks a template.
+NEUTRAL = set("area bar block bottom box bottoms container global inner item left links list main my new outer page panel right section site the top view wrap wrapper".split())
+#: What follows such a word in a class is not what the block is.
+NOT_ITSELF = {"with", "has", "no", "without", "hide"}
+#: Words of reader comments: a block of these does not become the article by its length.
+READERS = set("comment comments commentlist discussion disqus reply replies respond responses shoutbox feedback rating ratings".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: How sure it is that a block is a template.
+NO, SOFT, HARD = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "pruned", "points", "chars", "linked", "attributes")
+    __slots__ = ("tag", "up", "down", "pruned", "points", "chars", "linked")
 
-    def __init__(self, tag: str, up: Node | None, pruned: bool = False):
+    def __init__(self, tag: str, up: Node | None, pruned: int = NO):
         self.tag, self.up, self.pruned = tag, up, pruned
         self.down: list[Node | tuple[str, bool]] = []  # child blocks and (text, in a link) runs
         self.points, self.chars, self.linked = 0.0, 0, 0
@@ -58,22 +70,41 @@ def words(value: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
 
 
-def is_template(tag: str, attributes: str) -> bool:
+def named(value: str) -> list[str]:
+    """The words of the names in a class, each up to one that says what stands beside it."""
+    out: list[str] = []
+    for name in value.split():
+        for w in words(name):
+            if w in NOT_ITSELF:
+                break
+            out.append(w)
+    return out
+
+
+def is_template(tag: str, attributes: str) -> int:
     """Whether a block belongs to the page's frame rather than its article."""
     if tag in PRUNED:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+        return HARD
+    if tag in ("html", "body"):
+        return NO
+    sure = SOFT if tag == "form" else NO
+    if not attributes:
+        return sure
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return HARD
     if found.get("role", "").lower() in ROLES:
-        return True
-    names = words(f"{found.get('class', '')} {found.get('id', '')}")
-    if not names or tag == "main":
-        return False
+        return HARD
+    if tag == "main":
+        return sure
+    kind, own = named(found.get("class", "")), [] if tag in HEADINGS else words(found.get("id", ""))
+    if any(w not in TEMPLATE and w not in NEUTRAL for w in own):  # an id often names a topic
+        own = [w for w in own if w in READERS or w in BODY]
+    names = kind + own
     marked = [w for w in names if w in TEMPLATE]
-    return bool(marked) and not (any(w in BODY for w in names) and not {"comment", "comments", "sidebar", "ad", "ads", "advert", "related", "footer", "nav", "notice"} & set(marked))
+    if marked and not (any(w in BODY for w in names) and not {"comment", "comments", "sidebar", "ad", "ads", "advert", "related", "footer", "nav", "notice"} & set(marked)):
+        return HARD if READERS & set(marked) else max(sure, SOFT)
+    return sure
 
 
 def parse(page: str) -> Node:
@@ -81,6 +112,18 @@ def parse(page: str) -> Node:
     root = at = Node("#page", None)
     place, link, low = 0, 0, None
     for_text: list[str] = []
+    opened: Counter[str] = Counter()  # tags of the blocks that are open, so that no search for one goes in vain
+
+    def open_block(node: Node) -> Node:
+        node.up.down.append(node)
+        opened[node.tag] += 1
+        return node
+
+    def closed_up_to(node: Node, at: Node) -> Node:
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.up
+        return at
 
     def flush() -> None:
         if for_text:
@@ -137,50 +180,68 @@ def parse(page: str) -> Node:
                 link = 0 if closing else 1
             if not closing and m[3] and is_template(tag, m[3]):
                 flush()
-                at = Node(tag, at, True)
-                at.up.down.append(at)
+                at = open_block(Node(tag, at, HARD))
             elif closing and at.tag == tag:
                 flush()
-                at = at.up
+                at = closed_up_to(at.up, at)
             continue
         flush()
         if closing:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
-                at = node.up
+            if opened[tag]:
+                node = at
+                while node.tag != tag:
+                    node = node.up
+                at = closed_up_to(node.up, at)
             continue
         link = 0
         while at.tag in INLINE:  # a block ends inline parts that were left open
-            at = at.up
+            at = closed_up_to(at.up, at)
         if tag in ("html", "body"):
             if at is not root and at.tag != "html" and at.tag != "head":
                 continue
             if at.tag == "head":
-                at = at.up
+                at = closed_up_to(at.up, at)
         elif tag in CLOSED_BY:
             closed, stop = CLOSED_BY[tag]
-            node = at
-            while node is not root and node.tag not in closed and node.tag not in stop:
-                node = node.up
-            if node.tag in closed:
-                at = node.up
+            if any(opened[t] for t in closed):
+                node = at
+                while node.tag not in closed and node.tag not in stop:
+                    node = node.up
+                if node.tag in closed:
+                    at = closed_up_to(node.up, at)
         if at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS:  # a block ends an open paragraph
-            at = at.up
-        node = Node(tag, at, is_template(tag, m[3]) or (tag == "header" and not inside(at, "article")))
-        at.down.append(node)
-        at = node
+            at = closed_up_to(at.up, at)
+        at = open_block(Node(tag, at, max(is_template(tag, m[3]), HARD if tag == "header" and not opened["article"] else NO)))
     flush()
     return root
 
 
-def inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.up
-    return False
+def keep_wrapping(root: Node) -> None:
+    """Blocks that are templates by their words alone, or forms, stay where they wrap the article."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.pruned != HARD:
+            order.append(node)
+            stack += [x for x in node.down if isinstance(x, Node)]
+    if not any(n.pruned for n in order):
+        return
+    prose, article, side = {id(n): 0 for n in order}, set(), set()
+    for node in order:  # parents come before children
+        if node.pruned or node.up is not None and id(node.up) in side:
+            side.add(id(node))
+    total = beside = 0
+    for node in reversed(order):
+        own = sum(len(t.strip()) for t, linked in (x for x in node.down if isinstance(x, tuple)) if not linked)
+        prose[id(node)] += own
+        total += own
+        if id(node) not in side and prose[id(node)] and node.tag in ("article", "main"):
+            beside += 1
+        if node.up is not None:
+            prose[id(node.up)] += prose[id(node)]
+    for node in order:
+        if node.pruned and (prose[id(node)] > 0.5 * total and not beside):
+            node.pruned = NO
 
 
 def is_menu(node: Node) -> bool:
@@ -188,8 +249,8 @@ def is_menu(node: Node) -> bool:
     return node.tag in ("ul", "ol") and node.chars > 0 and node.linked > 0.9 * node.chars and sum(isinstance(x, Node) for x in node.down) >= 3
 
 
-def blocks_of(node: Node) -> list[str]:
-    """The texts of the runs of a block and of all below it, in page order."""
+def blocks_of(node: Node, kept: set[int] | None = None) -> list[str]:
+    """The texts of the runs of a block and of all below it, in page order; of its own child blocks only those ``kept``."""
     out: list[str] = []
     stack: list[tuple[Node, int]] = [(node, 0)]
     run: list[str] = []
@@ -211,7 +272,7 @@ def blocks_of(node: Node) -> list[str]:
             run.append(x[0])
         elif not (x.pruned and x.tag in INLINE):
             end()
-            if not x.pruned and not is_menu(x):
+            if not x.pruned and not is_menu(x) and (kept is None or at is not node or id(x) in kept):
                 stack.append((x, 0))
     return out
 
@@ -225,27 +286,25 @@ def score(root: Node) -> list[Node]:
             continue
         order.append(node)
         stack += [x for x in reversed(node.down) if isinstance(x, Node)]
-    for node in order:
+    passed = {id(n): 0.0 for n in order}  # what a block got from below
+    for node in reversed(order):
         own = [(SPACE.sub(" ", t).strip(), linked) for t, linked in (x for x in node.down if isinstance(x, tuple))]
         chars, linked = sum(len(t) for t, _ in own), sum(len(t) for t, a in own if a)
-        if not chars:
-            continue
-        commas = sum(t.count(",") + t.count("、") + t.count("，") for t, a in own if not a)
-        points = (0.2 if node.tag in HEADINGS else 1) + commas + min((chars - linked) / 100, 3)
-        points *= 1 - linked / chars
-        up, share = node if node.tag not in ("p", "pre", "blockquote", "td", "li", "dd", "dt", *HEADINGS) else node.up or node, 1.0
-        level = 0
-        at = up
-        while at is not None:
-            at.points += points * share
-            level += 1
-            share = 1 / 2 if level == 1 else 1 / (3 * level)
-            at = at.up
-        at = node
-        while at is not None:
-            at.chars += chars
-            at.linked += linked
-            at = at.up
+        points = 0.0
+        if chars:
+            commas = sum(t.count(",") + t.count("、") + t.count("，") for t, a in own if not a)
+            points = (0.2 if node.tag in HEADINGS else 1) + commas + min((chars - linked) / 100, 3)
+            points *= 1 - linked / chars
+        node.chars += chars
+        node.linked += linked
+        node.points += passed[id(node)]
+        if node.tag not in ("p", "pre", "blockquote", "td", "li", "dd", "dt", *HEADINGS) or node.up is None:
+            node.points += points
+            points /= 2
+        if (up := node.up) is not None:
+            passed[id(up)] += points + passed[id(node)] / 2
+            up.chars += node.chars
+            up.linked += node.linked
     return order
 
 
@@ -254,6 +313,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    keep_wrapping(root)
     order = [n for n in score(root) if n.chars]
     if not order:
         return ""
@@ -272,14 +332,13 @@ def extract(page: str | None) -> str:
         at = at.up
     if best.up is None or best.tag == "article" and not any(isinstance(x, Node) and x is not best and x.tag == "article" for x in best.up.down):
         return "\n".join(blocks_of(best))
-    least, out = max(3.0, 0.2 * value(best)), []
+    least, at_top, kept = max(3.0, 0.2 * value(best)), best.up.tag in ("body", "html", "#page"), set()
     for x in best.up.down:
-        if isinstance(x, tuple) or x.pruned or not x.chars:
-            continue
-        loose = x.linked / x.chars
-        if x is best or x.tag in ("p", "pre", "blockquote") and loose < 0.25 and x.chars > 80 or x.tag not in ("p", "ul", "ol") and value(x) >= least and loose < 0.5:
-            out += blocks_of(x)
-    return "\n".join(out)
+        if isinstance(x, Node) and not x.pruned and x.chars:
+            loose = x.linked / x.chars
+            if x is best or loose < 0.5 and (not at_top or x.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", *HEADINGS) or value(x) >= least):
+                kept.add(id(x))
+    return "\n".join(blocks_of(best.up, kept))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

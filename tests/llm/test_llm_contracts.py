@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -282,8 +283,68 @@ def test_html_cases(page, text):
     assert html_extract.extract(page) == text
 
 
+PROSE = "One sentence, with commas, and enough words to count as prose in any page. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id=aspnetForm><input><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></form></body>", f"T\n{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<div class='content-with-sidebar'><p>{PROSE}</p><p>End.</p></div><div class=sidebar><p>side</p></div>", f"{PROSE.strip()}\nEnd."),
+        (f"<div class='legal-news'><h1>T</h1><p>{PROSE}</p></div><form><p>mail, please</p></form>", f"T\n{PROSE.strip()}"),
+        (f"<div class=overlay><div class=article><p>{PROSE}</p></div></div>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><figure><img><figcaption>A caption.</figcaption></figure><h2 id=social>Social</h2><section id='share-prices'><p>Fell, again.</p></section></article><div class=comments><p>{PROSE * 9}</p></div>", f"{PROSE.strip()}\nA caption.\nSocial\nFell, again."),
+        (f"<div id=c><h1>Title</h1><div>{f'<p>{PROSE}</p>' * 5}</div><ul><li>one<li>two</ul>bare<div><h2>Coda</h2><p>Short end.</p></div></div>", "\n".join(["Title", *[PROSE.strip()] * 5, "one", "two", "bare", "Coda", "Short end."])),
+        (f"<div class=main-nav><p>{PROSE * 5}</p></div><article><p>Short, but the article.</p></article>", "Short, but the article."),
+    ],
+)
+def test_html_wrapped_articles_stay_whole(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_html_scores_equal_a_plain_sum_over_ancestors():
+    """Pages without an article element: points by the rule, summed over every pair of paragraph and ancestor."""
+    rng = random.Random(12)
+    for _ in range(60):
+        open_, page = 0, []
+        for _ in range(rng.randrange(3, 40)):
+            kind = rng.random()
+            if kind < 0.3:
+                page.append("<div>")
+                open_ += 1
+            elif kind < 0.5 and open_:
+                page.append("</div>")
+                open_ -= 1
+            elif kind < 0.6:
+                page.append(f"<a href=x>{'link ' * rng.randrange(1, 30)}</a>")
+            else:
+                page.append(f"<p>{'some, prose here ' * rng.randrange(1, 40)}</p>")
+        root = html_extract.parse("".join(page))
+        order = html_extract.score(root)
+        want = {id(n): 0.0 for n in order}
+        for n in order:
+            own = [(re.sub(r"\s+", " ", t).strip(), a) for t, a in (x for x in n.down if isinstance(x, tuple))]
+            chars, linked = sum(len(t) for t, _ in own), sum(len(t) for t, a in own if a)
+            if not chars:
+                continue
+            points = (1 + sum(t.count(",") for t, a in own if not a) + min((chars - linked) / 100, 3)) * (1 - linked / chars)
+            at, share = (n.up if n.tag == "p" else n), 1.0
+            while at is not None:
+                want[id(at)] += points * share
+                at, share = at.up, share / 2
+        for n in order:
+            assert n.points == pytest.approx(want[id(n)])
+        best = max((n for n in order if n.chars and n.tag != "p"), key=lambda n: want[id(n)] * (1 - n.linked / n.chars), default=None)
+        if best is not None and best.up is not None:
+            got = html_extract.extract("".join(page))
+            assert all(line in got.split("\n") for line in html_extract.blocks_of(best))
+
+
 def test_html_deep_and_odd_pages(spark):
-    assert html_extract.extract("<div>" * 3000 + "deep, text" + "</div>" * 3000) == "deep, text"
+    began = time.time()
+    for page in ("<div>" * 100_000 + "deep, text" + "</div>" * 100_000, "<div>x" * 100_000, "<div>" * 100_000 + "</p>" * 100_000 + "x", "<ul>" + "<li>x<b>" * 100_000):
+        assert html_extract.extract(page)
+    assert time.time() - began < 16
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>t</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()) == [("", 0), ("", 0), ("t", 1)]
     assert html_extract.extract_pages(empty(df)).count() == 0
