@@ -6,11 +6,13 @@ the payload is held losslessly; the archive ends with a directory of members
 (offset, length, CRC-32, name). Only archives of tasks that succeeded are in the
 manifest, so attempts that were lost or ran twice do no harm.
 
-Reading: the data source ``archive_media`` plans partitions as byte ranges over
-the directories of the archives, streams members as Arrow batches of limited
-size, and tries a member again by its own offset when it fails, independently
-of the others; one that keeps failing comes back with its error instead of a
-payload.
+Reading: the data source ``archive_media`` plans partitions as byte ranges of
+the archives from their lengths alone; a task reads the directory of its
+archive and takes the members that begin in its range. It streams them as Arrow
+batches of limited size, and tries a member again by its own offset when it
+fails, independently of the others; one that keeps failing comes back with its
+error instead of a payload. ``describe`` fails on such a member, whatever
+columns are asked for, unless it is told to keep errors as rows.
 
 Paths are opened with ``pyarrow.fs``, which knows file, HDFS and object-store
 addresses.
@@ -125,31 +127,37 @@ def write_archives(rows: DataFrame, folder: str, name: str = "name", text: str =
 
 
 class Range(InputPartition):
-    """Consecutive members of one archive: a byte range, and where its directory entries lie."""
+    """A byte range of one archive: its members are those that begin there."""
 
-    def __init__(self, path: str, start: int, end: int, entries: bytes):
-        self.path, self.start, self.end, self.entries = path, start, end, entries
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def tail_of(f) -> tuple[int, int]:
+    """Where the directory of an open archive begins, and its length."""
+    f.seek(f.size() - struct.calcsize(TAIL))
+    at, n, magic = struct.unpack(TAIL, f.read(struct.calcsize(TAIL)))
+    if magic != MAGIC:
+        raise ValueError("not an archive")
+    return at, n
 
 
 def directory_of(path: str) -> bytes:
     """The directory of an archive, without reading its members."""
     fs, local = opened(path)
     with fs.open_input_file(local) as f:
-        f.seek(f.size() - struct.calcsize(TAIL))
-        at, n, magic = struct.unpack(TAIL, f.read(struct.calcsize(TAIL)))
-        if magic != MAGIC:
-            raise ValueError(f"{path} is not an archive")
+        at, n = tail_of(f)
         f.seek(at)
         return f.read(n)
 
 
-def entries_in(directory: bytes) -> Iterator[tuple[int, int, int, str, int, int]]:
-    """Offset, length, CRC-32 and name of each member, and the entry's own stretch."""
+def entries_in(directory: bytes) -> Iterator[tuple[int, int, int, str]]:
+    """Offset, length, CRC-32 and name of each member."""
     at = 0
     while at < len(directory):
         offset, length, crc, n = struct.unpack_from(ENTRY, directory, at)
         end = at + struct.calcsize(ENTRY) + n
-        yield offset, length, crc, directory[at + struct.calcsize(ENTRY) : end].decode(), at, end
+        yield offset, length, crc, directory[at + struct.calcsize(ENTRY) : end].decode()
         at = end
 
 
@@ -161,19 +169,24 @@ class ArchiveReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of about ``rangeBytes`` that end where members end."""
+        """Ranges of ``rangeBytes``; the driver reads the last few bytes of each archive and no entry of a directory."""
         out: list[InputPartition] = []
         for path in self.paths:
-            directory = directory_of(path)
-            first = begin = end = last = 0
-            for offset, length, _, _, _, stop in entries_in(directory):
-                end, last = offset + length, stop
-                if end - begin >= self.range_bytes:
-                    out.append(Range(path, begin, end, directory[first:last]))
-                    begin, first = end, last
-            if last > first:
-                out.append(Range(path, begin, end, directory[first:last]))
-        return out or [Range("", 0, 0, b"")]
+            fs, local = opened(path)
+            with fs.open_input_file(local) as f:
+                end, _ = tail_of(f)
+            out += [Range(path, at, min(at + self.range_bytes, end)) for at in range(0, end, self.range_bytes)]
+        return out or [Range("", 0, 0)]
+
+    def again(self, work):
+        """The result of ``work``, tried several times on input errors."""
+        for attempt in range(self.attempts):
+            try:
+                return work()
+            except OSError:
+                if attempt == self.attempts - 1:
+                    raise
+                time.sleep(0.05 * 4**attempt)
 
     def member(self, f, offset: int, length: int, crc: int) -> bytes:
         f.seek(offset)
@@ -185,12 +198,15 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("name", pa.string()), ("media", pa.binary()), ("error", pa.string())])
         names, media, errors, held = [], [], [], 0
-        if not partition.entries:
+        if not partition.path:
             return
+        directory = self.again(lambda: directory_of(partition.path))
         fs, local = opened(partition.path)
         f = None
         try:
-            for offset, length, crc, name, _, _ in entries_in(partition.entries):
+            for offset, length, crc, name in entries_in(directory):
+                if not partition.start <= offset < partition.end:
+                    continue
                 found, error = None, None
                 for attempt in range(self.attempts):
                     try:
@@ -251,16 +267,26 @@ def features(payload: bytes) -> str:
 DESCRIBED = "name string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def describe(members: DataFrame) -> DataFrame:
-    """Digest and features of each member, computed from the stored bytes that were read back."""
+def describe(members: DataFrame, keep_errors: bool = False) -> DataFrame:
+    """Digest and features of each member, computed from the stored bytes that were read back.
+
+    A member that could not be read, or is no image of this kind, fails the
+    task (which Spark runs again), or is a row with its error where they are kept.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for name, media, error in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if error is None:
+                    try:
+                        payload, n_bytes = from_png(media)
+                    except (ValueError, zlib.error, struct.error) as e:
+                        error = str(e)
+                if error is not None and not keep_errors:
+                    raise OSError(f"member {name} could not be read: {error}")
                 row = {"name": name, "error": error}
-                if media is not None:
-                    payload, n_bytes = from_png(media)
+                if error is None:
                     row |= {"n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-ROW:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": features(payload)}
                 rows.append(row)
             kinds = [("name", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
@@ -272,8 +298,8 @@ def describe(members: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every text stored as media, read back, and described.
 
-    The manifest has one row for each archive, that is for each input split, and
-    is the only thing the driver gathers.
+    The manifest has one row for each archive, that is for each input split; it
+    and the length of each archive are all that the driver gathers.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "media")
@@ -281,8 +307,6 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     manifest = write_archives(docs.select(F.col(doc_id).cast("string").alias("name"), raw_text(text).alias("raw")), folder)
     paths = sorted(r["path"] for r in manifest.select("path").collect())
     out = describe(read_archives(spark, paths))
-    failed = F.raise_error(F.concat(F.lit("a member could not be read: "), F.col("error")))
-    n_bytes = F.when(F.col("error").isNotNull(), failed.cast("long")).otherwise(F.col("n_bytes"))
     # names are JSON, so that a null id and the text "null" differ
     own_id = F.get_json_object(F.concat(F.lit('{"v":'), F.col("name"), F.lit("}")), "$.v").cast(id_type)
-    return out.select(own_id.alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select(own_id.alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -518,8 +518,23 @@ def test_archive_ranges_and_damaged_members(spark, tmp_path):
     open(local, "wb").write(data)
     found = [x for p in parts for b in reader.read(p) for x in b.to_pylist()]
     assert len(found) == 50 and [x["media"] is None for x in found].count(True) == 1
-    with pytest.raises(Exception, match="could not be read|damaged"):
-        media.describe(media.read_archives(spark, paths)).where("error is not null").select(F.raise_error(F.concat(F.lit("damaged "), "error"))).collect()
+    members = media.read_archives(spark, paths)
+    for columns in (["n_bytes"], ["name", "payload_sha256"], ["name"]):
+        with pytest.raises(Exception, match="could not be read"):
+            media.describe(members).select(*columns).collect()
+    kept = media.describe(members, keep_errors=True).collect()
+    assert len(kept) == 50 and [r["payload_sha256"] is None for r in kept] == [r["error"] is not None for r in kept]
+    bad = spark.createDataFrame([('"a"', b"no image", None), ('"b"', media.to_png(bytes(64), 3), None)], "name string, media binary, error string")
+    assert sorted((r["name"], r["n_bytes"], r["error"] is None) for r in media.describe(bad, True).collect()) == [('"a"', None, False), ('"b"', 3, True)]
+
+
+def test_archives_are_planned_without_their_directories(tmp_path, monkeypatch, spark):
+    rows = spark.createDataFrame([(f"m{i}", bytes([i % 256]) * (i * 37)) for i in range(50)], "name string, raw binary").coalesce(1)
+    paths = [r["path"] for r in media.write_archives(rows, f"file://{tmp_path}/arc").collect()]
+    monkeypatch.setattr(media, "directory_of", None)
+    parts = media.ArchiveReader({"path": paths[0], "rangebytes": "700"}).partitions()
+    assert [set(vars(p)) - {"_value", "value"} for p in parts] == [{"path", "start", "end"}] * len(parts) and parts[0].start == 0
+    assert all(a.end == b.start for a, b in zip(parts, parts[1:]))
 
 
 # ---------- 8: token counts
