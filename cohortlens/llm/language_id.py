@@ -2,7 +2,8 @@
 
 Kernel: for each n of the blended spectrum (1, 2 and 3 by default) the presence
 kernel, the number of n-grams two texts share over the root of the product of
-their numbers of distinct n-grams; the mean over n. Landmarks chosen among the
+their numbers of distinct n-grams; the mean over n. The alphabet holds every
+letter of the fitted sample; letters that the sample has not are one symbol. Landmarks chosen among the
 training pieces give the Nyström map, and one ridge regression against the rest
 is solved for each language in it. Because a presence kernel is linear in the
 presence vector, landmarks, map and ridge weights fold into one weight matrix
@@ -13,7 +14,8 @@ what is left); a document's decision values are the means over its pieces,
 weighted by their letters.
 
 The classifier is fitted on a bounded sample: about ``per_language`` training
-rows of each language, chosen by a hash of the id, with up to four pieces each.
+rows of each of the ``max_languages`` languages with most rows, chosen by a hash
+of the id, with up to ``per_row`` pieces each, spread over the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 with no training rows at all every text is ``und``; training rows without a
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import map_batches, remainder
 
-PIECE, ALPHABET, ORDERS = 1000, 96, (1, 2, 3)
+PIECE, ORDERS = 1000, (1, 2, 3)
 
 
 @cache
@@ -61,41 +63,42 @@ def pieces(points: np.ndarray) -> list[np.ndarray]:
     return [points[i * PIECE : (i + 1) * PIECE if i < n - 1 else len(points)] for i in range(n)]
 
 
-def _codes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Codes of the n-grams of a piece, framed by a gap."""
+def _codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Codes of the distinct n-grams of a piece, framed by a gap, in order."""
     framed = np.r_[0, ids, 0].astype(np.int64)
     code = framed[: len(framed) - n + 1].copy()
     for k in range(1, n):
-        code = code * ALPHABET + framed[k : len(framed) - n + 1 + k]
-    return code
+        code = code * base + framed[k : len(framed) - n + 1 + k]
+    code.sort()
+    return code[np.r_[True, code[1:] != code[:-1]]]
 
 
 class Kernel:
     """The alphabet, the n-grams of the landmarks, and the folded weights."""
 
-    def __init__(self, alphabet: np.ndarray, slots: list[np.ndarray], sizes: list[int]):
-        self.alphabet, self.slots, self.sizes = alphabet, slots, sizes
+    def __init__(self, alphabet: np.ndarray):
+        self.alphabet, self.base = alphabet, len(alphabet) + 2
+        self.grams: list[np.ndarray] = []
         self.weights: list[np.ndarray] = []
         self.names: list[str] = []
 
     def ids(self, points: np.ndarray) -> np.ndarray:
-        """Code points to the alphabet: 0 a gap, the last one any other letter."""
+        """Code points to the alphabet: 0 a gap, the last one any letter outside it."""
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        out = np.where(self.alphabet[at] == points, at + 1, ALPHABET - 1)
+        out = np.where(self.alphabet[at] == points, at + 1, self.base - 1)
         out[points == 0] = 0
         return out
 
     def presence(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each n the pieces by n-grams matrix of presence, each row scaled to length 1."""
-        out = [np.zeros((len(parts), size + 1), dtype=np.float32) for size in self.sizes]
+        """For each n the pieces by landmark n-grams matrix of presence, over the root of all distinct n-grams of the piece."""
+        out = [np.zeros((len(parts), len(g)), dtype=np.float32) for g in self.grams]
         for row, points in enumerate(parts):
             ids = self.ids(points)
-            for n, m, slot in zip(ORDERS, out, self.slots, strict=True):
-                m[row, slot[_codes(ids, n)]] = 1
-        for m in out:
-            m[:, -1] = 0
-            m /= np.sqrt(np.maximum(m.sum(axis=1, keepdims=True), 1))
-        return [m[:, :-1] for m in out]
+            for n, m, grams in zip(ORDERS, out, self.grams, strict=True):
+                code = _codes(ids, n, self.base)
+                at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
+                m[row, at[grams[at] == code]] = 1 / np.sqrt(len(code))
+        return out
 
     def decide(self, parts: list[np.ndarray]) -> np.ndarray:
         return sum(p @ w for p, w in zip(self.presence(parts), self.weights, strict=True))
@@ -108,19 +111,12 @@ def fit(samples: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-
     if not parts:
         return None
     names = sorted({lang for _, lang in parts})
-    points, counts = np.unique(np.concatenate([p for p, _ in parts]), return_counts=True)
-    letters = points > 0
-    top = points[letters][np.argsort(-counts[letters], kind="stable")][: ALPHABET - 2]
-    kernel = Kernel(np.sort(top), [], [])
+    points = np.unique(np.concatenate([p for p, _ in parts]))
+    kernel = Kernel(points[points > 0])
     by = {lang: [i for i, (_, x) in enumerate(parts) if x == lang] for lang in names}
     chosen = [i for lang in names for i in by[lang][: max(1, landmarks // len(names))]]
     held = [kernel.ids(parts[i][0]) for i in chosen]
-    for n in ORDERS:
-        grams = np.unique(np.concatenate([np.unique(_codes(ids, n)) for ids in held]))
-        slot = np.full(ALPHABET**n, len(grams), dtype=np.int32)
-        slot[grams] = np.arange(len(grams))
-        kernel.slots.append(slot)
-        kernel.sizes.append(len(grams))
+    kernel.grams = [np.unique(np.concatenate([_codes(ids, n, kernel.base) for ids in held])) for n in ORDERS]
     marks = kernel.presence([parts[i][0] for i in chosen])
     gram = sum(m @ m.T for m in marks).astype(np.float64) / len(ORDERS)
     values, vectors = np.linalg.eigh(gram)
@@ -138,28 +134,29 @@ def fit(samples: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-
     return kernel
 
 
-def sample_pieces(train: DataFrame, per_language: int, text: str, lang: str, doc_id: str) -> list[tuple[str, str]]:
-    """About ``per_language`` rows of each language, by a hash of the id, up to four pieces of each."""
-    counts = {r[0]: r[1] for r in train.groupBy(F.col(lang).cast("string")).count().collect()}
+def sample_pieces(train: DataFrame, per_language: int, max_languages: int, per_row: int, text: str, lang: str, doc_id: str) -> list[tuple[str, str]]:
+    """About ``per_language`` rows of each language, by a hash of the id, up to ``per_row`` pieces of each."""
+    often = train.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    counts = {r[0]: r[1] for r in often.collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     held = train.where(draw < share[F.col(lang).cast("string")])
     n = F.char_length(text)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.floor(i * F.greatest(n - PIECE, F.lit(0)) / 3) + 1)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda i: F.floor(i * F.greatest(n - PIECE, F.lit(0)) / max(1, per_row - 1)) + 1)
     part = F.explode(F.array_distinct(F.transform(starts, lambda s: F.substring(F.col(text), s.cast("int"), F.lit(PIECE)))))
     rows = held.select(F.xxhash64(F.col(doc_id)).alias("_o"), F.col(lang).cast("string").alias("lang"), part.alias("part")).collect()
     return [(r["part"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_o"], r["lang"], r["part"]))]
 
 
-def identify(docs: DataFrame, is_training: Column, per_language: int = 400, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, is_training: Column, per_language: int = 400, max_languages: int = 256, per_row: int = 4, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """Per document: id, ``lang_pred`` and ``score`` (0 to 1).
 
     ``lang`` and the id serve the choice of training rows only.
     """
     train = docs.where(is_training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample_pieces(train, per_language, text, lang, doc_id)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample_pieces(train, per_language, max_languages, per_row, text, lang, doc_id)))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
