@@ -64,10 +64,13 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 16
     boiler = written(line_spread(docs, min_sites, min_chars, text, site, doc_id).select("_h", "_g", "_first"), "lines")
     hits = _lines(docs, text, site, doc_id, min_chars).join(boiler, ["_h", "_g"])
     gone = hits.where(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first"))).groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
-    gone = gone.select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_gone")
+    # as a table of known size it is broadcast while it is small; beyond that the texts meet it by a sort-merge join
+    gone = written(gone.select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_gone"), "removals")
 
     def kept(lines: Column, removed: Column) -> Column:
-        return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n")
+        """The lines at the places not removed: one hash set of places, and the text split once."""
+        held = F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed).alias("k"))
+        return F.transform(F.array(held), lambda h: F.array_join(F.transform(h["k"], lambda i: h["l"][i]), "\n"))[0]
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*[docs[c] for c in names], docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_th"))

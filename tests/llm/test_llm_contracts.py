@@ -104,12 +104,53 @@ def test_language_held_out_accuracy(spark, docs, sf_dir):
 def test_language_kernel_matches_its_definition():
     samples = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the bird and a fish", "en"), ("un oiseau et la mer", "fr")]
     kernel = language_id.fit(samples, landmarks=4)
-    parts = [language_id.folded(t) for t, _ in samples]
-    for n, m in zip(language_id.ORDERS, kernel.presence(parts)):
-        sets = [set(language_id._codes(kernel.ids(p), n).tolist()) for p in parts]
-        want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets]
-        np.testing.assert_allclose(m @ m.T, want, rtol=1e-5)
-    assert [kernel.names[i] for i in kernel.decide(parts).argmax(axis=1)] == ["en", "fr", "en", "fr"]
+    others = ["the sea and a bird sang", "la mer et le chien gris", "жук", "quite other words, with žluťoučký letters"]
+    marks, parts = ([language_id.folded(t) for t in x] for x in ([t for t, _ in samples], others))
+
+    def grams(text, n):
+        spaced = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        return {spaced[i : i + n] for i in range(len(spaced) - n + 1)}
+
+    known = {c for t, _ in samples for c in t.lower()}
+    same = lambda t: "".join(c if c in known or not c.isalpha() else "?" for c in t.lower()).replace("?", "ß")  # letters outside the sample are one
+    for n, m, x in zip(language_id.ORDERS, kernel.presence(marks), kernel.presence(parts)):
+        held = [grams(t, n) for t, _ in samples]
+        for rows, texts in ((m, [t for t, _ in samples]), (x, [same(t) for t in others])):
+            want = [[len(grams(t, n) & b) / math.sqrt(len(grams(t, n)) * len(b)) for b in held] for t in texts]
+            np.testing.assert_allclose(rows @ m.T, want, rtol=1e-5)
+    assert [kernel.names[i] for i in kernel.decide(marks).argmax(axis=1)] == ["en", "fr", "en", "fr"]
+
+
+def test_language_query_equals_kernel_ridge_with_dense_kernels(spark, docs, texts):
+    """Held-out pieces against every landmark, without folded weights."""
+    train = docs.where((language_id.remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
+    samples = language_id.sample_pieces(train, 400, 256, 4, "text", "lang", "doc_id")
+    kernel = language_id.fit(samples)
+    parts = [(language_id.folded(t), lang) for t, lang in samples]
+    parts = [(p, lang) for p, lang in parts if (p > 0).any()]
+    chosen = [i for x in kernel.names for i in [j for j, (_, y) in enumerate(parts) if y == x][: max(1, 160 // len(kernel.names))]]
+
+    def sets(points):
+        return [set(language_id._codes(kernel.ids(points), n, kernel.base).tolist()) for n in language_id.ORDERS]
+
+    held = [sets(p) for p, _ in parts]
+    alike = lambda a, b: sum(len(x & y) / math.sqrt(len(x) * len(y)) for x, y in zip(a, b)) / len(language_id.ORDERS)
+    gram = np.array([[alike(held[i], held[j]) for j in chosen] for i in chosen])
+    cross = np.array([[alike(h, held[j]) for j in chosen] for h in held])
+    values, vectors = np.linalg.eigh(gram)
+    use = values > 1e-6 * values.max()
+    nystroem = vectors[:, use] / np.sqrt(values[use])
+    weight = np.array([1 / sum(y == x for _, y in parts) for _, x in parts])
+    weight /= weight.sum()
+    target = np.array([[1.0 if x == y else -1.0 for y in kernel.names] for _, x in parts])
+    phi = cross @ nystroem
+    dual = nystroem @ np.linalg.solve(phi.T @ (phi * weight[:, None]) + 1e-3 * np.eye(phi.shape[1]), phi.T @ (target * weight[:, None]))
+    out = {r["doc_id"]: r for r in language_id.language_query(docs).collect()}
+    for i, t in [(i, t) for i, t in texts.items() if t and any(map(str.isalpha, t))][:60]:
+        cut = language_id.pieces(language_id.folded(t))
+        mean = np.average([np.array([alike(sets(p), held[j]) for j in chosen]) @ dual for p in cut], axis=0, weights=[np.count_nonzero(p) for p in cut])
+        soft = np.exp(4 * (mean - mean.max()))
+        assert out[i]["lang_pred"] == kernel.names[int(mean.argmax())] and out[i]["score"] == pytest.approx(soft.max() / soft.sum(), abs=2e-3)
 
 
 def test_language_odd_rows(odd):
@@ -707,6 +748,14 @@ def test_line_spread_equals_brute_force(spark):
         assert out[i]["text"] == "\n".join(keep) and out[i]["n_removed"] == len(t.split("\n")) - len(keep)
 
 
+def test_line_spread_of_long_texts_is_linear(spark):
+    rows = [(i, "\n".join(f"a long enough line {k}" for k in range(40_000)), f"s{i}") for i in range(9)]
+    began = time.time()
+    out = line_spread.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert time.time() - began < 40
+    assert sorted((r["doc_id"], r["n_removed"], r["text"] == (rows[0][1] if r["doc_id"] == 0 else "")) for r in out) == [(i, 40_000 if i else 0, True) for i in range(9)]
+
+
 def test_line_spread_odd_rows(odd):
     out = line_spread.remove_spread_lines(odd, min_sites=1)
     rows = out.collect()
