@@ -1,16 +1,20 @@
 """Mixing a corpus to target weights with soft domain membership.
 
 A classifier fitted on the labelled table gives each document posteriors over
-the domains. Expected domain totals are sums of rate x tokens x posterior. The
-nonnegative rates are the smallest change of the corpus that meets the targets:
-least squares of (rate - 1) weighted by tokens, subject to the totals. Distributed
-projected gradient finds them: every step moves the rates along the gradient of
-the miss in totals and projects them onto rate >= 0, so that a rate is always
-max(0, 1 - posterior . y) for one vector y of multipliers. A step is scaled by
-the inverse Gram matrix of the documents with a rate above 0; after one that
-brought little, by that of all documents, with which a step of length 1 is
-always safe. Each task sends back its share of totals and Gram matrices; rates
-are never collected, and no state lives on executors.
+the domains. Expected domain totals are sums of rate x tokens x posterior.
+Nonnegative rates are fitted by least squares on the miss of these totals, with
+projected gradient from a rate of 1 for all: every step moves each rate against
+the gradient of the miss and projects it onto rate >= 0. The gradient for a
+document is its posterior times one vector of the step, so that a rate follows
+from the posterior and the few vectors so far; rates are never collected, and no
+state lives on executors. A step is scaled by the inverse Gram matrix of the
+documents with a rate above 0; where that does not bring the miss down, it is
+taken back, and the Gram matrix of all documents scales it, with which a step
+always helps. Each task sends back its share of totals and Gram matrices.
+
+Targets that no nonnegative rates reach end near the least miss, once a step
+brings less than a ten-thousandth of it or after ``STEPS``. ``target_gap`` is the largest difference between a share reached and its target; ``strict`` makes
+a gap above ``MET`` an error.
 
 Domains are the values of a label (``quality``: 1 and 0) that have a target;
 labelled rows with other values are left out.
@@ -39,7 +43,9 @@ from cohortlens.llm.common import map_batches, raw_text, written
 from cohortlens.llm.hashing import FOLD
 
 TARGETS = {1: 0.7, 0: 0.3}
-FEATURES, STEPS, TOLERANCE = 2048, 40, 1e-9
+FEATURES, STEPS, TOLERANCE = 2048, 60, 1e-9
+#: A target share counts as met within this.
+MET = 1e-4
 _FOLD = np.frombuffer(FOLD, dtype=np.uint8).astype(np.uint16)
 
 
@@ -95,18 +101,26 @@ def domain_weights(docs: DataFrame, labels: DataFrame, domains: tuple[int, ...],
     return fit(x, y, len(domains), stands / stands.sum())
 
 
-def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Projected gradient over rows (p: posteriors, n_tokens): the multipliers y."""
+def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The rates after the steps: from 1, each a move along the posterior and a projection onto >= 0."""
+    rates = np.ones(len(p))
+    for step in steps:
+        rates = np.maximum(rates - p @ step, 0)
+    return rates
+
+
+def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[list[np.ndarray], float]:
+    """Projected gradient over rows (p: posteriors, n_tokens): the steps, and the gap of the shares reached to the targets."""
     k = len(targets)
 
-    def totals(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def totals(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gram matrices of all documents and of those with a rate, and the domain totals."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((2 * k + 1, k))
             for b in batches:
                 p, n = np.array(b.column(0).flatten()).reshape(-1, k), b.column(1).to_numpy(zero_copy_only=False)[:, None]
-                rates = np.maximum(1 - p @ y, 0)[:, None]
+                rates = rates_of(p, taken)[:, None]
                 out += np.concatenate([p.T @ (n * p), p.T @ (n * p * (rates > 0)), (n * rates * p).sum(axis=0)[None, :]])
             yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["part"])
 
@@ -118,34 +132,44 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> np.ndarr
         out = out.reshape(2 * k + 1, k)
         return out[:k], out[k : 2 * k], out[2 * k]
 
-    y, want, alive, before = np.zeros(k), None, np.zeros(k, dtype=bool), np.inf
+    taken: list[np.ndarray] = []
+    every, live, now = totals(taken)
+    if not every.sum():
+        return taken, 0.0
+    alive = np.diag(every) > 1e-12 * every.sum()
+    want = np.where(alive, targets, 0.0)
+    want = want / want.sum() * now.sum() if want.sum() else now
+    safe = np.linalg.pinv(every, rcond=1e-10)
+    miss = now - want
+    loss, fast = float(miss @ safe @ miss), True
     for _ in range(steps):
-        every, live, now = totals(y)
-        if not every.sum():
+        if np.abs(miss[alive]).max() <= TOLERANCE * max(want.sum(), 1.0):
             break
-        if want is None:
-            alive = np.diag(every) > 1e-12 * every.sum()
-            want = np.where(alive, targets, 0.0)
-            want = want / want.sum() * now.sum() if want.sum() else now
-        miss = now - want
-        size = float(np.abs(miss[alive]).max())
-        if size <= TOLERANCE * max(want.sum(), 1.0):
+        step = np.zeros(k)
+        step[alive] = np.linalg.lstsq((live if fast else every)[np.ix_(alive, alive)], miss[alive], rcond=1e-10)[0]
+        _, then_live, then = totals([*taken, step])
+        then_loss = float((then - want) @ safe @ (then - want))
+        if fast and not then_loss < 0.9 * loss:
+            fast = False
+            continue
+        done = not then_loss < (1 - 1e-4) * loss
+        if then_loss < loss:
+            taken.append(step)
+            fast, live, now, miss, loss = not fast or then_loss < 0.5 * loss, then_live, then, then - want, then_loss
+        if done:
             break
-        gram = live if size < 0.9 * before else every
-        y[alive] += np.linalg.lstsq(gram[np.ix_(alive, alive)], miss[alive], rcond=1e-10)[0]
-        before = size
-    return y
+    return taken, float(np.abs(now / max(now.sum(), 1e-300) - want / want.sum())[alive].max()) if want.sum() else 0.0
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, label: str = "quality", max_examples: int = 3000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``p_<domain>``, ``domain`` and ``rate``.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, label: str = "quality", max_examples: int = 3000, text: str = "text", doc_id: str = "doc_id", strict: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``p_<domain>``, ``domain``, ``rate`` and ``target_gap``.
 
     The expected domain token totals at these rates match the targets, in shares
     of the tokens that ``docs`` hold.
     """
     domains, goal = tuple(targets or TARGETS), np.array([*(targets or TARGETS).values()], dtype=np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(domain_weights(docs, labels, domains, label, max_examples, text, doc_id))
-    added = ["n_tokens", *(f"p_{d}" for d in domains), "domain", "rate"]
+    added = ["n_tokens", *(f"p_{d}" for d in domains), "domain", "rate", "target_gap"]
     names = [c for c in docs.columns if c not in added]
     source = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), raw_text(text).alias("raw"))
 
@@ -161,10 +185,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = N
 
     schema = source.select("doc", F.lit(0).cast("long").alias("n_tokens"), F.array(F.lit(0.0)).alias("p")).schema
     judged = written(map_batches(source, posterior, schema), "posteriors")
-    y = solve(judged, goal)
-    rate = F.greatest(F.lit(1.0) - sum((F.col("p")[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)), F.lit(0.0))
+    steps, gap = solve(judged, goal)
+    if strict and gap > MET:
+        raise ValueError(f"no nonnegative rates reach the targets: a share is off by {gap:.4f}")
+    rate = F.lit(1.0)
+    for step in steps:
+        rate = F.greatest(rate - sum((F.col("p")[i] * float(v) for i, v in enumerate(step)), F.lit(0.0)), F.lit(0.0))
     best = F.array_position(F.col("p"), F.array_max("p")).cast("int")
-    return judged.select(*[F.col("doc").getField(c).alias(c) for c in names], "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), rate.alias("rate"))
+    return judged.select(*[F.col("doc").getField(c).alias(c) for c in names], "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), rate.alias("rate"), F.lit(gap).alias("target_gap"))
 
 
 def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -75,11 +75,44 @@ def test_mixing_multipliers_solve_the_small_problem(spark):
     n = rng.integers(1, 50, size=200)
     df = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n)], "p array<double>, n_tokens long")
     goal = np.array([0.05, 0.05, 0.9])
-    y = mixing.solve(df, goal)
-    rates = np.maximum(1 - p @ y, 0)
+    steps, gap = mixing.solve(df, goal)
+    rates = mixing.rates_of(p, steps)
     now = (n * rates) @ p
-    assert (rates == 0).any()
-    np.testing.assert_allclose(now / now.sum(), goal, rtol=1e-6)
+    assert (rates == 0).any() and gap < 1e-6
+    np.testing.assert_allclose(now / now.sum(), goal, rtol=1e-5)
+
+
+def test_mixing_ends_at_the_least_miss_where_targets_are_out_of_reach(spark):
+    rng = np.random.default_rng(6)
+    a = rng.uniform(0.05, 0.3, 200)
+    p, n = np.c_[a, 1 - a], rng.integers(1, 50, size=200)
+    df = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n)], "p array<double>, n_tokens long")
+    goal = np.array([0.9, 0.1])
+    steps, gap = mixing.solve(df, goal)
+    rates = mixing.rates_of(p, steps)
+    safe, want = np.linalg.inv(p.T @ (n[:, None] * p)), goal * n.sum()
+    loss = lambda r: ((n * r) @ p - want) @ safe @ ((n * r) @ p - want)
+    plain = np.ones(200)
+    for _ in range(3000):  # dense projected gradient that holds the rates
+        plain = np.maximum(plain - p @ safe @ ((n * plain) @ p - want), 0)
+    assert loss(rates) <= min(1.3 * loss(plain), loss(np.ones(200))) and gap > 0.5 and np.isfinite(rates).all()
+    docs, marks = spark.createDataFrame([(i, f"words {i} of a text") for i in range(40)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert mixing.mix(docs, marks, {1: 0.5, 0: 0.5}, strict=True).first()["target_gap"] < mixing.MET
+    with pytest.raises(ValueError, match="reach the targets"):
+        mixing.mix(docs, marks, {1: 1.0, 0: 0.0}, strict=True)
+
+
+def test_mixing_query_equals_a_dense_solver(spark, sf_dir):
+    """The rates of the query against projected gradient that holds posteriors and rates in one place."""
+    rows = queries.queries()["op1_mixing"](spark, sf_dir).collect()
+    p, n = np.array([[r["p_1"], r["p_0"]] for r in rows]), np.array([r["n_tokens"] for r in rows], dtype=float)
+    np.testing.assert_allclose(p.sum(axis=1), 1)
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {r["doc_id"]: len((r["text"] or "").encode().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rates, want = np.ones(len(n)), np.array([0.7, 0.3]) * n.sum()
+    for _ in range(200):
+        live = p.T @ (n[:, None] * p * (rates > 0)[:, None])
+        rates = np.maximum(rates - p @ np.linalg.solve(live, (n * rates) @ p - want), 0)
+    np.testing.assert_allclose([r["rate"] for r in rows], rates, atol=1e-6)
 
 
 def test_mixing_odd_rows(odd, labels):
