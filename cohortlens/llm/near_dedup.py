@@ -266,7 +266,10 @@ def crowded_links(crowded: DataFrame, labels: DataFrame | None, classes: DataFra
     if labels is not None:
         rows = crowded.join(labels.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("place").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
-    rows = written(rows.join(mixed.select("place").hint("merge"), "place", "left_semi"), "crowded")
+    # a place may hold a large share of all crowded classes: its rows are dealt to several groups where they meet its few figures
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = lambda few: few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    rows = written(rows.join(salted(mixed.select("place")), ["place", "salt"], "left_semi"), "crowded")
     texts = docs.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("raw").alias("raw"))
     texts = written(texts.join(classes.select("id", "sketch").hint("merge"), "id"), "crowdedtexts")
     sized = rows.join(texts.select("id", F.octet_length("raw").alias("size")).hint("merge"), "id")
@@ -275,7 +278,7 @@ def crowded_links(crowded: DataFrame, labels: DataFrame | None, classes: DataFra
     main = parts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     slots = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("n"))) / CROWDED), F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_BYTES), F.lit(1)).cast("int")
     many = parts.join(main.hint("merge"), "place").groupBy("place").agg(F.max("main").alias("main"), slots(F.col("root") == F.col("main")).alias("ms"), slots(F.col("root") != F.col("main")).alias("rs"))
-    rows = rows.join(many.hint("merge"), "place").withColumn("is_main", F.col("root") == F.col("main"))
+    rows = rows.join(salted(many), ["place", "salt"]).withColumn("is_main", F.col("root") == F.col("main"))
     rows = rows.withColumn("slot", F.when(F.col("is_main"), F.col("rs") + F.pmod(F.xxhash64("id"), F.col("ms"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rs"))).cast("int"))
     # any other block meets each block and itself, each time in a group of its own
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rs") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("ms"))))).select("id", "root", "place", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))

@@ -520,14 +520,12 @@ def test_filter_never_misses_and_rarely_invents():
     keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     counts = np.minimum(rng.zipf(1.8, len(keys)), 10**6).astype(np.uint64)
     order = lm_score.range_of(keys, 4)
-    parts = {r: lm_score.segment(keys[order == r], counts[order == r], 1 << 20)[0] for r in range(4)}
+    parts = {r: lm_score.segment(keys[order == r], counts[order == r]) for r in range(4)}
     held = lm_score.LogFrequencyFilter(parts, 4)
     want = 1 << (lm_score.levels_of(counts) - 1)
     got = held.counts(keys)
     assert (got >= want).all() and (got == want).mean() > 0.95
     assert (held.counts(rng.integers(1 << 63, 1 << 64, 20_000, dtype=np.uint64)) > 0).mean() < 0.06
-    small, cutoff = lm_score.segment(keys, counts, 500)
-    assert cutoff > 1 and len(small) <= 500
 
 
 def test_lm_range_answers_every_pair_whatever_its_size():
