@@ -65,11 +65,23 @@ def pca(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (scores * sign)[:, :k], (v * sign)[:, :k], values[:k] / total
 
 
-def nmf(x: np.ndarray, k: int, seed: int = 49, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Nonnegative factors W, H of the data shifted to a minimum of 1e-3, multiplicative updates."""
-    v, rng = x - x.min() + 1e-3, np.random.default_rng(seed)
+def nmf(x: np.ndarray, k: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Nonnegative factors W, H of the data shifted to a minimum of 1e-3, multiplicative updates.
+
+    They start at the larger of the positive and negative parts of each pair of
+    singular vectors; zeros, which the updates could never leave, start small.
+    """
+    v = x - x.min() + 1e-3
     k = min(k, *v.shape)
-    w, h = (rng.random(s) * np.sqrt(v.mean() / k) + 1e-4 for s in ((v.shape[0], k), (k, v.shape[1])))
+    left, sizes, right = np.linalg.svd(v, full_matrices=False)
+    w, h = np.zeros((v.shape[0], k)), np.zeros((k, v.shape[1]))
+    for i in range(k):
+        sides = [(np.maximum(s * left[:, i], 0), np.maximum(s * right[i], 0)) for s in (1, -1)]
+        norms = [(np.linalg.norm(a), np.linalg.norm(b)) for a, b in sides]
+        (a, b), (p, q) = max(zip(sides, norms, strict=True), key=lambda z: z[1][0] * z[1][1])
+        scale = np.sqrt(sizes[i] * p * q)
+        w[:, i], h[i] = scale * a / max(p, 1e-12), scale * b / max(q, 1e-12)
+    w, h = (np.where(m > 0, m, v.mean() / 100) for m in (w, h))
     for _ in range(steps):
         h *= (w.T @ v) / np.maximum(w.T @ w @ h, 1e-12)
         w *= (v @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)

@@ -18,7 +18,7 @@ from cohortlens.operators import kernels as K
 METHODS: dict[str, Callable[[list[np.ndarray]], np.ndarray]] = {
     "kmeans": lambda xs: np.hstack(xs),
     "pca": lambda xs: K.pca(np.hstack(xs), 10)[0],
-    "nmf": lambda xs: K.nmf(np.hstack(xs), 10, steps=100)[0],
+    "nmf": lambda xs: K.nmf(np.hstack(xs), 10)[0],
     "spectral": lambda xs: K.spectral(K.knn_affinity(np.hstack(xs)), 8),
     "coassociation": K.coassociation,
     "snf": lambda xs: K.spectral(K.fused(xs if len(xs[0]) >= 15 else xs[:1]), 8),
@@ -186,7 +186,7 @@ def harmony(blocks: DataFrame, unit: Sequence[str], batch: str) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
-        z = K.harmonised(np.array(pdf["features"].tolist(), dtype=float), pdf[batch].to_numpy(), k=20)
+        z = K.harmonised(np.array(pdf["features"].tolist(), dtype=float), pdf[batch].to_numpy(), k=50)
         return pd.DataFrame({"sample": pdf["sample"].to_numpy(), "features": np.round(z, 6).tolist()})
 
     return grouped(blocks, unit, run, "sample long, features array<double>")

@@ -44,6 +44,41 @@ def location_scale(cells: DataFrame, feature: str = "feature", batch: str = "bat
     return cells.withColumn(out, (F.col(value) - own) / safe * pooled)
 
 
+def combat(cells: DataFrame, feature: str = "feature", batch: str = "batch", value: str = "value", covariate: str | None = None, steps: int = 30, out: str = "adjusted") -> DataFrame:
+    """ComBat: parametric empirical-Bayes adjustment of location and scale, one numeric covariate kept.
+
+    Each feature is standardised by its batch means (at the covariate's least-squares
+    slope within batches) and pooled variance; offsets and variances of a batch are
+    shrunk to a normal and an inverse-gamma prior fitted over features, by ``steps``
+    of the usual fixed-point iteration, which needs group sums only.
+    """
+    held = cells.where(F.col(value).isNotNull()).withColumn("_c", F.col(covariate).cast("double") if covariate else F.lit(0.0))
+    v, c = F.col(value), F.col("_c")
+    own = held.groupBy(feature, batch).agg(F.count("*").alias("n"), F.avg(v).alias("_mv"), F.avg(c).alias("_mc"), F.coalesce(F.covar_pop(v, c), F.lit(0.0)).alias("_cvc"), F.var_pop(c).alias("_vc"), F.var_pop(v).alias("_vv"))
+    slope = F.when(F.sum(F.col("n") * F.col("_vc")) > FLAT, F.sum(F.col("n") * F.col("_cvc")) / F.sum(F.col("n") * F.col("_vc"))).otherwise(0.0)
+    by_feature = own.join(own.groupBy(feature).agg(slope.alias("_b")), feature)
+    mean, rest = F.col("_mv") - F.col("_b") * F.col("_mc"), F.col("_vv") - 2 * F.col("_b") * F.col("_cvc") + F.col("_b") ** 2 * F.col("_vc")
+    fixed = by_feature.groupBy(feature).agg((F.sum(F.col("n") * mean) / F.sum("n")).alias("_grand"), F.sqrt(F.sum(F.col("n") * rest) / F.sum("n")).alias("_sd"))
+    fixed = fixed.withColumn("_sd", F.when(F.col("_sd") > FLAT, F.col("_sd")).otherwise(1.0))
+    local = by_feature.join(fixed, feature).select(feature, batch, "n", "_b", "_grand", "_sd", ((mean - F.col("_grand")) / F.col("_sd")).alias("g"), (F.greatest(rest, F.lit(0.0)) / F.col("_sd") ** 2 * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))).alias("d"))
+    m, s2 = F.avg("d"), F.coalesce(F.var_samp("d"), F.lit(0.0))
+    prior = local.groupBy(batch).agg(F.avg("g").alias("g0"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("t2"), m.alias("m"), F.when(s2 > FLAT, s2).otherwise(FLAT).alias("s2"))
+    prior = prior.select(batch, "g0", "t2", ((2 * F.col("s2") + F.col("m") ** 2) / F.col("s2")).alias("a"), ((F.col("m") * F.col("s2") + F.col("m") ** 3) / F.col("s2")).alias("b"))
+    both = local.join(prior, batch)
+
+    def step(x: Column, _: Column) -> Column:
+        top = F.col("n") * F.col("t2") + x["d"]
+        g = F.when(top > 0, (F.col("n") * F.col("t2") * F.col("g") + x["d"] * F.col("g0")) / top).otherwise(F.col("g"))
+        squares = (F.col("n") - 1) * F.col("d") + F.col("n") * (F.col("g") - g) ** 2
+        return F.struct(g.alias("g"), ((squares / 2 + F.col("b")) / (F.col("n") / 2 + F.col("a") - 1)).alias("d"))
+
+    star = both.withColumn("_star", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.col("g").alias("g"), F.col("d").alias("d")), step))
+    parts = star.select(feature, batch, "_b", "_grand", "_sd", F.col("_star.g").alias("_g"), F.sqrt(F.greatest("_star.d", F.lit(FLAT))).alias("_d"))
+    joined = cells.join(parts, [feature, batch], "left")
+    shift = F.col("_grand") + (F.col("_b") * F.col(covariate) if covariate else F.lit(0.0))
+    return joined.withColumn(out, ((F.col(value) - shift) / F.col("_sd") - F.col("_g")) / F.col("_d") * F.col("_sd") + shift).drop("_b", "_grand", "_sd", "_g", "_d")
+
+
 def eb_location_scale(cells: DataFrame, feature: str = "feature", batch: str = "batch", value: str = "value", out: str = "adjusted") -> DataFrame:
     """Empirical-Bayes location adjustment: batch offsets shrunk towards their mean over features.
 
@@ -84,6 +119,13 @@ def remove_direction(blocks: DataFrame, loadings: DataFrame, sample: str = "samp
     return joined.join(score, sample).withColumn(out, F.col(value) - F.col("_s") * F.col("_l")).drop("_s", "_l")
 
 
+def remove_directions(blocks: DataFrame, loadings: list[DataFrame], by: Sequence[str] = (), sample: str = "sample", feature: str = "feature", value: str = "value") -> DataFrame:
+    """Several directions removed one after the other, then each feature standardised (column z)."""
+    for direction in loadings:
+        blocks = remove_direction(blocks, direction, sample, feature, value)
+    return zscore(blocks, [*by, feature], value)
+
+
 def covariate_association(cells: DataFrame, covariate: DataFrame, by: Sequence[str] = ("layer", "feature"), sample: str = "sample", value: str = "value", x: str = "purity") -> DataFrame:
     """Pearson r and slope of each feature on a covariate of the samples."""
     both = cells.join(covariate.select(sample, x), sample).where(F.col(value).isNotNull() & F.col(x).isNotNull())
@@ -96,38 +138,119 @@ def mask_associated(cells: DataFrame, association: DataFrame, gamma: float, by:
 
 
 def residualise(cells: DataFrame, covariate: DataFrame, association: DataFrame, by: Sequence[str] = ("layer", "feature"), sample: str = "sample", value: str = "value", x: str = "purity") -> DataFrame:
-    """Values minus slope times the centred covariate."""
+    """Values minus slope times the centred covariate; cells without a covariate have no row (see ``not_residualised``)."""
     mean = covariate.agg(F.avg(x).alias("_mean"))
     known = covariate.select(sample, x).crossJoin(F.broadcast(mean))  # one row
     return cells.join(known, sample).join(association.select(*by, "slope"), list(by)).withColumn("residual", F.col(value) - (F.col(x) - F.col("_mean")) * F.col("slope")).drop("slope", "_mean")
 
 
-def pair_distances(blocks: DataFrame, by: Sequence[str] = (), vector: str = "features", sample: str = "sample", size: int = 256) -> DataFrame:
-    """Euclidean distance of every two samples of a unit, both ways.
+def not_residualised(cells: DataFrame, covariate: DataFrame, unit: Sequence[str], sample: str = "sample", x: str = "purity") -> DataFrame:
+    """Error records of the units none of whose samples has the covariate."""
+    known = covariate.where(F.col(x).isNotNull()).select(sample, F.lit(1).alias("_k"))
+    held = cells.select(*unit, sample).distinct().join(known, sample, "left").groupBy(*unit).agg(F.count("_k").alias("n_known"), F.count("*").alias("n_samples"))
+    return held.where("n_known = 0").select(*unit, "n_samples", F.lit(f"no sample has {x}").alias("err"))
+
+
+def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of two blocks to 9 places, a few columns at a time, so that memory stays that of the result."""
+    d = np.zeros((len(x), len(y)))
+    for at in range(0, x.shape[1] if x.ndim == 2 else 0, 8):
+        d += ((x[:, None, at : at + 8] - y[None, :, at : at + 8]) ** 2).sum(axis=2)
+    return np.round(np.sqrt(d), 9)
+
 
-    The samples of a unit are dealt to blocks of about ``size``; each two blocks
-    meet in a group of their own and are compared by a matrix product.
+def block_pairs(blocks: DataFrame, by: Sequence[str], run, columns: str, vector: str, sample: str, size: int = 256, extra: DataFrame | None = None, measure=between) -> DataFrame:
+    """``run(ids, ids, measure of each two, first row)`` on every two blocks of a unit's samples, in a group of their own.
+
+    The samples of a unit are dealt to blocks of about ``size``; ``run`` gives a
+    dictionary of arrays, to which the unit columns are added. ``extra`` has more
+    columns for each unit.
     """
-    rows = blocks.select(*by, F.col(sample).alias("s"), F.col(vector).alias("v"))
+    rows, names = blocks.select(*by, F.col(sample).alias("s"), F.col(vector).alias("v")), list(by)
     counts = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias("n"))
-    dealt = (rows.join(counts, list(by)) if by else rows.crossJoin(F.broadcast(counts))).withColumn("own", F.pmod(F.xxhash64("s"), F.col("n")).cast("int"))  # one row without units
+    if extra is not None:
+        counts = counts.join(extra, names) if by else counts.crossJoin(F.broadcast(extra))  # one row without units
+    more = [c for c in counts.columns if c not in (*by, "n")]
+    dealt = (rows.join(counts, names) if by else rows.crossJoin(F.broadcast(counts))).withColumn("own", F.pmod(F.xxhash64("s"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    left = dealt.withColumn("p", F.col("own")).withColumn("q", other).select(*[F.col(c).alias(c) for c in (*by, "p", "q", "s", "v")])
-    right = dealt.withColumn("q", F.col("own")).withColumn("p", other).select(*[F.col(c).alias(c) for c in (*by, "p", "q", "s", "v")])
-    names = list(by)
-    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    id_type = rows.schema["s"].dataType.simpleString()
+    left, right = (dealt.withColumn(a, F.col("own")).withColumn(b, other).select(*[F.col(c).alias(c) for c in (*by, "p", "q", "s", "v", *more)]) for a, b in (("p", "q"), ("q", "p")))
+    types = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in names)
 
     def compared(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = (np.array(t["v"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1) for t in (a, b))
-        i, j = (t["s"].to_numpy() for t in (a, b))
-        d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) and len(y) else np.zeros((len(x), len(y)))
-        at, to = np.nonzero(i[:, None] != j[None, :])
-        out = {c: pa.array([a[c][0].as_py()] * len(at), a.schema.field(c).type) for c in names}
-        return pa.table(out | {"i": pa.array(i[at]), "j": pa.array(j[to]), "distance": pa.array(d[at, to])})
+        d = measure(x, y) if len(x) and len(y) else np.zeros((len(x), len(y)))
+        found = run(a["s"].to_numpy(), b["s"].to_numpy(), d, a.slice(0, 1).to_pylist()[0] if a.num_rows else {})
+        n = len(next(iter(found.values())))
+        return pa.table({c: pa.array([a[c][0].as_py()] * n if a.num_rows else [], a.schema.field(c).type) for c in names} | {c: pa.array(v) for c, v in found.items()})
 
     keys = [*names, "p", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, f"{types}{', ' if types else ''}i {id_type}, j {id_type}, distance double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, types + columns)
+
+
+def pair_distances(blocks: DataFrame, by: Sequence[str] = (), vector: str = "features", sample: str = "sample") -> DataFrame:
+    """Euclidean distance of every two samples of a unit, both ways: all pairs are the result.
+
+    For neighbours use ``nearest_samples``, for the scale ``median_distance``; neither makes a row for each pair.
+    """
+    id_type = blocks.schema[sample].dataType.simpleString()
+
+    def run(i: np.ndarray, j: np.ndarray, d: np.ndarray, _: dict) -> dict:
+        at, to = np.nonzero(i[:, None] != j[None, :])
+        return {"i": i[at], "j": j[to], "distance": d[at, to]}
+
+    return block_pairs(blocks, by, run, f"i {id_type}, j {id_type}, distance double", vector, sample)
+
+
+def nearest_samples(blocks: DataFrame, k: int, by: Sequence[str] = (), vector: str = "features", sample: str = "sample") -> DataFrame:
+    """The k nearest of each sample, ties by id: each two blocks yield k rows a sample, which are then merged."""
+    id_type = blocks.schema[sample].dataType.simpleString()
+
+    def run(i: np.ndarray, j: np.ndarray, d: np.ndarray, _: dict) -> dict:
+        at, to = [], []
+        for r in range(len(i)):
+            near = np.lexsort((j, d[r]))
+            near = near[j[near] != i[r]][:k]
+            at += [r] * len(near)
+            to += near.tolist()
+        return {"i": i[at], "j": j[to], "distance": d[at, to]}
+
+    return nearest(block_pairs(blocks, by, run, f"i {id_type}, j {id_type}, distance double", vector, sample), k, by)
+
+
+def median_distance(blocks: DataFrame, by: Sequence[str] = (), vector: str = "features", sample: str = "sample", bins: int = 4096) -> DataFrame:
+    """The exact median (sigma) of the distances above 0 of a unit, without a row for each pair.
+
+    A first pass counts distances by bin of a scale that no distance exceeds; the
+    second gives only those in the bins around the middle.
+    """
+    names = list(by)
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
+    scale = blocks.groupBy(*by).agg((F.greatest(2 * F.sqrt(F.max(squares)), F.lit(1e-9)) * 1.0001 / bins).alias("width"))
+
+    def counted(i: np.ndarray, j: np.ndarray, d: np.ndarray, first: dict) -> dict:
+        held = d[(i[:, None] != j[None, :]) & (d > 0)]
+        n = np.bincount((held / first["width"]).astype(np.int64), minlength=1) if len(held) else np.zeros(1, dtype=np.int64)
+        at = np.flatnonzero(n)
+        return {"bin": at.astype(np.int64), "n": n[at].astype(np.int64)}
+
+    counts = block_pairs(blocks, by, counted, "bin long, n long", vector, sample, extra=scale).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy(*by).orderBy("bin")
+    counts = counts.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)  # the middle places, from 1
+    around = counts.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).groupBy(*by).agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.min(F.col("upto") - F.col("n")).alias("before"), F.max("total").alias("total"))
+    middle = around.join(scale, names) if by else around.crossJoin(F.broadcast(scale))  # one row without units
+
+    def given(i: np.ndarray, j: np.ndarray, d: np.ndarray, first: dict) -> dict:
+        held = d[(i[:, None] != j[None, :]) & (d > 0)]
+        at = (held / first["width"]).astype(np.int64) if len(held) else np.empty(0, dtype=np.int64)
+        held = held[(at >= first["first_bin"]) & (at <= first["last_bin"])] if len(held) else held
+        return {"distance": held}
+
+    values = block_pairs(blocks, by, given, "distance double", vector, sample, extra=middle.select(*by, "width", "first_bin", "last_bin"))
+    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("distance")))
+    ranked = ranked.join(around, names) if by else ranked.crossJoin(F.broadcast(around))
+    place = F.col("r") + F.col("before")
+    return ranked.where((place == low) | (place == high)).groupBy(*by).agg(F.avg("distance").alias("sigma"))
 
 
 def nearest(distances: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -136,16 +259,15 @@ def nearest(distances: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return distances.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def knn_affinity(distances: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+def knn_affinity(blocks: DataFrame, k: int, by: Sequence[str] = (), vector: str = "features", sample: str = "sample") -> DataFrame:
     """Gaussian affinities with the median distance as scale, the k largest of each row, made symmetric and row-normalised.
 
     A sample is among its own k (affinity 1).
     """
-    sigma = distances.where("distance > 0").groupBy(*by).agg(F.median("distance").alias("sigma"))
-    near = nearest(distances, k - 1, by)
+    sigma, near = median_distance(blocks, by, vector, sample), nearest_samples(blocks, k - 1, by, vector, sample)
     joined = near.join(sigma, list(by)) if by else near.crossJoin(F.broadcast(sigma))  # one row
     kept = joined.select(*by, "i", "j", F.exp(-(F.col("distance") ** 2) / (2 * F.col("sigma") ** 2)).alias("v"))
-    own = distances.select(*by, "i").distinct().select(*by, "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    own = blocks.select(*by, F.col(sample).alias("i")).distinct().select(*by, "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
     kept = kept.unionByName(own)
     both = kept.unionByName(kept.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     even = both.groupBy(*by, "i", "j").agg((F.sum("v") / 2).alias("v"))

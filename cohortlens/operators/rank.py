@@ -66,6 +66,22 @@ def top_mad(cells: DataFrame, n: int, by: Sequence[str] = ("cohort", "layer"), f
     return mad(cells, [*by, feature], value).where("mad > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def effect_rank(df: DataFrame, effect: str, by: Sequence[str], tie: str) -> DataFrame:
+    """Place of each row by the size of an effect, the largest first, ties in the order of ``tie``."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(F.col(effect))), tie)))
+
+
+def shared_top_mad(cells: DataFrame, n: int, side: str = "cohort", by: Sequence[str] = ("layer",), feature: str = "feature", value: str = "value", least: int = 50) -> DataFrame:
+    """Features among the n of largest MAD on every side; where fewer than ``least`` are, the first n that every side has."""
+    from cohortlens.operators.relational import in_all
+
+    both = in_all(top_mad(cells, n, [side, *by], feature, value), feature, side, by)
+    counts = cells.select(*by).distinct().join(both.groupBy(*by).agg(F.count("*").alias("_n")), list(by), "left").select(*by, (F.coalesce("_n", F.lit(0)) < least).alias("_few"))
+    first = in_all(cells, feature, side, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(feature))).where(F.col("_r") <= n).drop("_r")
+    chosen = lambda df, few: df.join(counts.where(F.col("_few") == few).select(*by), list(by), "left_semi")
+    return chosen(both, False).withColumn("fallback", F.lit(0)).unionByName(chosen(first, True).withColumn("fallback", F.lit(1)))
+
+
 def quartile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartile 1 to 4 by interpolated edges, closed on the right, the lowest value in the first."""
     edges = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))

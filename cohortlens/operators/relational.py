@@ -30,6 +30,14 @@ def trimmed(pairs: DataFrame, q: float, x: str = "x", y: str = "y", by: Sequence
     return joined.where(F.col(x).between(F.col("low"), F.col("high")) & F.col(y).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
+def guarded(df: DataFrame, unit: Sequence[str], least: dict[str, int]) -> DataFrame:
+    """Rows of the units that hold at least so many distinct values of each column."""
+    counts = df.groupBy(*unit).agg(*[F.countDistinct(c).alias(f"_{c}") for c in least])
+    for c, n in least.items():
+        counts = counts.where(F.col(f"_{c}") >= n)
+    return df.join(counts.select(*unit), list(unit), "left_semi")
+
+
 def not_degenerate(records: DataFrame, missing_is_degenerate: bool, degen: str = "degen", score: str = "ari") -> DataFrame:
     """Records with a score and without the degeneracy flag; both readings of a missing flag."""
     return records.where(F.col(score).isNotNull() & (F.coalesce(F.col(degen), F.lit(int(missing_is_degenerate))) == 0))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.distributions import normal_p_two_sided, t_p_two_sided, t_ppf
-from cohortlens.operators.matrix import squared_distance
+from cohortlens.operators.matrix import block_pairs, squared_distance
 from cohortlens.operators.rank import avg_rank
 
 #: Lower bounds of the concordance bands.
@@ -82,14 +83,46 @@ def nearest_centroid(samples: DataFrame, centroids: DataFrame, vector: str = "fe
     return both.groupBy(sample).agg(F.min(F.struct("_d", "label")).alias("_b")).select(sample, F.col("_b.label").alias("label"), F.sqrt("_b._d").alias("distance"))
 
 
-def pac(labels: DataFrame, replicate: str = "replicate", sample: str = "sample", label: str = "label", low: float = 0.1, high: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
-    """Proportion of ambiguous pairs: consensus strictly between the bounds, over replicates that drew both samples."""
-    a = labels.select(*by, replicate, F.col(sample).alias("i"), F.col(label).alias("_a"))
-    b = labels.select(*by, replicate, F.col(sample).alias("j"), F.col(label).alias("_b"))
-    pairs = a.join(b, [*by, replicate]).where("i < j").groupBy(*by, "i", "j").agg(F.avg((F.col("_a") == F.col("_b")).cast("int")).alias("c"))
-    c = F.col("c")
-    share = lambda condition: F.avg(condition.cast("int"))
-    return pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), share((c > low) & (c < high)).alias("pac"), share(c > high).alias("strong"), share(c < low).alias("weak"), F.median("c").alias("median_consensus"))
+def pac(labels: DataFrame, replicate: str = "replicate", sample: str = "sample", label: str = "label", low: float = 0.1, high: float = 0.9, by: Sequence[str] = (), least_replicates: int = 4, least_pairs: int = 100) -> DataFrame:
+    """Proportion of ambiguous pairs: consensus strictly between the bounds, over replicates that drew both samples.
+
+    Units with fewer replicates or pairs than the least have no row.
+    """
+    if by:
+        enough = labels.groupBy(*by).agg(F.countDistinct(replicate).alias("_r")).where(F.col("_r") >= least_replicates)
+        labels = labels.join(enough.select(*by), list(by), "left_semi")
+    else:
+        enough = labels.agg(F.countDistinct(replicate).alias("_r")).where(F.col("_r") >= least_replicates)
+        labels = labels.join(F.broadcast(enough.select()), how="left_semi")  # one row or none
+    # a pair matters by how often it was drawn and how often it agreed: blocks of samples count such combinations
+    reps = labels.groupBy(*by).agg(F.array_sort(F.collect_set(replicate)).alias("_reps"))
+    held = labels.groupBy(*by, sample).agg(F.map_from_entries(F.collect_list(F.struct(replicate, label))).alias("_m"))
+    held = held.join(reps, list(by)) if by else held.crossJoin(F.broadcast(reps))  # one row
+    codes = F.transform("_reps", lambda r: F.coalesce(F.element_at("_m", r).cast("double"), F.lit(float("nan"))))
+    counts = block_pairs(held.select(*by, sample, codes.alias("_v")), by, _agreements, "same long, drawn long, n long", "_v", sample, measure=_agreement)
+    shares = counts.where("drawn > 0").groupBy(*by, (F.col("same") / F.col("drawn")).alias("c")).agg(F.sum("n").alias("n"))
+    upto, total = F.sum("n").over(Window.partitionBy(*by).orderBy("c")), F.sum("n").over(Window.partitionBy(*by))
+    shares = shares.withColumn("_upto", upto).withColumn("_total", total)
+    c, n = F.col("c"), F.col("n")
+    middle = F.array(*[F.min(F.when(F.col("_upto") >= F.floor((F.col("_total") + k) / 2), c)) for k in (1, 2)])
+    share = lambda condition: F.sum(F.when(condition, n).otherwise(0)) / F.sum(n)
+    out = shares.groupBy(*by).agg(F.sum(n).alias("n_pairs"), share((c > low) & (c < high)).alias("pac"), share(c > high).alias("strong"), share(c < low).alias("weak"), middle.alias("_middle"))
+    return out.where(F.col("n_pairs") >= least_pairs).withColumn("median_consensus", (F.col("_middle")[0] + F.col("_middle")[1]) / 2).drop("_middle")
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each two samples the replicates in which they agree, and those that drew both, as one number."""
+    same, drawn = np.zeros((len(x), len(y)), dtype=np.int64), (~np.isnan(x)).astype(np.int64) @ (~np.isnan(y)).T.astype(np.int64)
+    for r in range(x.shape[1]):
+        same += x[:, r][:, None] == y[:, r][None, :]
+    return same * (x.shape[1] + 1) + drawn
+
+
+def _agreements(i: np.ndarray, j: np.ndarray, codes: np.ndarray, first: dict) -> dict:
+    """How many pairs i < j have each combination."""
+    base = len(first.get("v") or []) + 1
+    found, n = np.unique(codes[i[:, None] < j[None, :]].astype(np.int64), return_counts=True)
+    return {"same": found // base, "drawn": found % base, "n": n.astype(np.int64)}
 
 
 def ks_statistic(df: DataFrame, by: Sequence[str], value: str, group: Column) -> DataFrame:
@@ -135,9 +168,15 @@ def noise_floor(records: DataFrame, unit: Sequence[str], by: Sequence[str], scor
     return sds.where("sd is not null").groupBy(*by).agg(F.count("*").alias("n_units"), F.median("sd").alias("median_sd"), F.avg("sd").alias("mean_sd"))
 
 
-def required_n(df: DataFrame, sd: str, delta: Column, z: float = 2.8) -> DataFrame:
-    """Records needed to see ``delta`` at z standard errors, and the least difference visible with n at hand."""
-    return df.withColumn("required_n", F.ceil((F.lit(z) * F.col(sd) / delta) ** 2).cast("long"))
+def required_n(df: DataFrame, sd: str, delta: Column, z: float = 2.8, n: Column | None = None) -> DataFrame:
+    """Records needed to see ``delta`` at z standard errors, and the least difference visible with ``n`` at hand."""
+    out = df.withColumn("required_n", F.ceil((F.lit(z) * F.col(sd) / delta) ** 2).cast("long"))
+    return out.withColumn("least_visible", F.lit(z) * F.col(sd) / F.sqrt(n)) if n is not None else out
+
+
+def spread_over(records: DataFrame, unit: Sequence[str], over: str, score: str = "ari") -> DataFrame:
+    """Sample sd of the score over the values of one column (K, say), for each unit that has two of them."""
+    return records.groupBy(*unit).agg(F.stddev_samp(score).alias("sd"), F.countDistinct(over).alias("n")).where("sd is not null")
 
 
 def champions(records: DataFrame, keys: Sequence[str], method: str = "method", score: str = "ari") -> DataFrame:

@@ -115,11 +115,11 @@ def complete_samples(spark, d):
     return J.in_all(X.presence(spark, d), "sample", "layer", ["cohort"])
 
 
-@query(""", a AS (SELECT DISTINCT sample FROM presence WHERE cohort = 'A'), r AS (SELECT DISTINCT sample FROM presence WHERE cohort = 'R')
-SELECT sample, 'left' AS side FROM a WHERE sample NOT IN (SELECT sample FROM r) UNION ALL SELECT sample, 'right' AS side FROM r WHERE sample NOT IN (SELECT sample FROM a)""", "presence")
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 7 = 1)
+SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' AS side FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def set_difference_both_ways(spark, d):
-    p = X.presence(spark, d)
-    return J.only_on_one_side(p.where("cohort = 'A'"), p.where("cohort = 'R'"), ["sample"])
+    o = table(spark, d, "orders").withColumn("k", F.col("o_custkey"))
+    return J.only_on_one_side(o.where("o_orderkey % 7 = 0"), o.where("o_orderkey % 7 = 1"), ["k"])
 
 
 @query("""SELECT side, method, count(*) AS n, round(avg(ari), 6) AS mean_ari FROM (SELECT 'first' AS side, method, ari FROM records WHERE domain = 'F' UNION ALL SELECT 'second', method, ari FROM records WHERE domain = 'O') GROUP BY ALL""", "records")
@@ -378,14 +378,8 @@ def auc_rank_sum(spark, d):
     return out.select("event_type", "n1", "n0", "u", r4("auc"), r4("auc_fixed"))
 
 
-@query()
-def mann_whitney(spark, d):
-    out = T.mann_whitney_p(T.auc(table(spark, d, "events"), ["event_type"], "value", F.col("user_id") % 2 == 1))
-    return out.select("event_type", "u", r4("auc"), r4("p"))
-
-
 def _near(spark, d, k):
-    return M.nearest(M.pair_distances(X.vectors(spark, d).select("sample", "features")).withColumn("distance", F.round("distance", 9)), k)
+    return M.nearest_samples(X.vectors(spark, d).select("sample", "features"), k)
 
 
 @query(""", near AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(distance, 9), j) AS place FROM dist) WHERE place <= 10), g AS (SELECT DISTINCT sample, batch FROM emb)
@@ -400,8 +394,7 @@ k AS (SELECT i, j, exp(-(distance * distance) / (2 * sigma * sigma)) AS v FROM n
 b AS (SELECT i, j, sum(v) / 2 AS v FROM (SELECT i, j, v FROM k UNION ALL SELECT j, i, v FROM k) GROUP BY i, j)
 SELECT i, j, round(v / sum(v) OVER (PARTITION BY i), 4) AS affinity FROM b""", "emb", "dist")
 def knn_affinity(spark, d):
-    dist = M.pair_distances(X.vectors(spark, d).select("sample", "features")).withColumn("distance", F.round("distance", 9))
-    return M.knn_affinity(dist, 10).select("i", "j", r4("affinity"))
+    return M.knn_affinity(X.vectors(spark, d).select("sample", "features"), 10).select("i", "j", r4("affinity"))
 
 
 @query(""", c AS (SELECT a.sample AS i, b.sample AS j, corr(a.v, b.v) AS r, any_value(a.batch) = any_value(b.batch) AS same FROM emb a JOIN emb b USING (pos) WHERE a.sample < b.sample GROUP BY a.sample, b.sample)
@@ -500,11 +493,6 @@ def paired_vs_baseline(spark, d):
     return out.select("method", "n", *[r6(c) for c in ("mean_arm", "mean_delta", "rel_vs_base", "t", "ci_lo", "ci_hi", "win_rate")])
 
 
-@query()
-def paired_p_values(spark, d):
-    return T.paired_p(T.paired_vs_baseline(X.records(spark, d), ["domain", "pair", "subset"], "ECONOMY")).select("method", "n", r6("t"), r6("p"))
-
-
 _FLOOR = ", s AS (SELECT domain, method, subset, stddev_samp(ari) AS sd FROM records GROUP BY ALL), f AS (SELECT domain, count(*) AS n_units, median(sd) AS median_sd, avg(sd) AS mean_sd FROM s WHERE sd IS NOT NULL GROUP BY domain)"
 
 
@@ -824,12 +812,12 @@ def stability_pac(spark, d):
 
 @query()
 def bootstrap_spearman_ci(spark, d):
-    return L.rank_correlation_resampled(_pairs(spark, d), BY, 200).drop("perm_p")
+    return L.rank_correlation_resampled(_pairs(spark, d), BY, 2000).drop("perm_p")
 
 
 @query()
 def permutation_p(spark, d):
-    return L.rank_correlation_resampled(_pairs(spark, d), BY, 200).select(*BY, "n", "spearman", "perm_p")
+    return L.rank_correlation_resampled(_pairs(spark, d), BY, 500).select(*BY, "n", "spearman", "perm_p")
 
 
 def _one(spark, d):
@@ -873,17 +861,17 @@ def first_component_loading(spark, d):
 
 @query()
 def split_half(spark, d):
-    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "split", 20)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "split", 200)
 
 
 @query()
 def bootstrap_ceiling(spark, d):
-    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "bootstrap", 20)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "bootstrap", 200)
 
 
 @query()
 def null_ari(spark, d):
-    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "null", 200)
+    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "null", 3000)
 
 
 @query()
@@ -902,3 +890,6 @@ def daily_event_profile(spark, d):
     return t.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean_value")).select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
 
 
+
+
+from cohortlens.plans import catalogue_files, catalogue_more  # noqa: E402, F401  (register their queries)

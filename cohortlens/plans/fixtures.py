@@ -96,4 +96,4 @@ SQL = {
 
 def with_views(body: str, *names: str) -> str:
     """SQL with the named views in front; ``body`` may go on with views of its own."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + (body if body.lstrip().startswith(",") else "\n" + body)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + (body if body.lstrip().startswith(",") else "\n" + body)

@@ -54,8 +54,33 @@ def read_sheets(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     return files.mapInPandas(decode, "path string, row long, column string, text string")
 
 
+def write_arrays(cells: DataFrame, folder: str) -> DataFrame:
+    """One NPY file for each array of (array, i, j, value); gaps are NaN. Returns the files: array, path, rows, columns.
+
+    An array is made in one task, as its file is one; the frame returned is the
+    action's result, so the files are written once it is evaluated.
+    """
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        name = str(pdf["array"].iloc[0])
+        a = np.full((int(pdf["i"].max()) + 1, int(pdf["j"].max()) + 1), np.nan)
+        a[pdf["i"], pdf["j"]] = pdf["value"].astype(float)
+        held = io.BytesIO()
+        np.save(held, a, allow_pickle=False)
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{name}.npy") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame([{"array": name, "path": f"{uri}/{name}.npy", "rows": a.shape[0], "columns": a.shape[1]}])
+
+    return cells.groupBy("array").applyInPandas(encode, "array string, path string, rows long, columns long")
+
+
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """NPY and NPZ files of numbers, long: path, array, i, j, value (j is 0 for vectors)."""
+    """NPY and NPZ files of numbers, long: path, array, i, j, value (j is 0 for vectors; NaN is NULL)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

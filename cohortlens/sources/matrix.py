@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from cohortlens.functions import scalar as S
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their file; comment and blank lines left out."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+def raw_lines(spark: SparkSession, path: str, lossy: bool = False) -> DataFrame:
+    """Lines of text files with their file; comment and blank lines left out.
+
+    ``lossy`` replaces bytes that are not UTF-8.
+    """
+    line = F.make_valid_utf8("value") if lossy else F.col("value")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), line.alias("line"), F.monotonically_increasing_id().alias("_at"))
     return lines.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
 
 
@@ -28,22 +32,36 @@ def headers(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return first.select("file", names.alias("names"), F.size(names).alias("width"))
 
 
-def read_matrix(spark: SparkSession, path: str, sep: str = "\t", id_pattern: str = S.ANY_ID, keep_samples: DataFrame | None = None, barcode: bool = False, drop_ragged: bool = True) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, sep: str = "\t", id_pattern: str = S.ANY_ID, keep_samples: DataFrame | None = None, keep_features: DataFrame | None = None, barcode: bool = False, drop_ragged: bool = True, first_rows: int | None = None, sampled: int | None = None, seed: int = 49) -> DataFrame:
     """Cells (file, feature, sample, value) of matrix files.
 
     The first column is the feature id whatever its header; identifiers lose
     blanks and quotes and must fit ``id_pattern``; what is no number is NULL;
     rows whose width differs from the header's are dropped (``drop_ragged``) or
     cut; duplicate features and samples are averaged; with ``barcode`` samples
-    are reduced to patients; ``keep_samples`` (one column) is a whitelist.
+    are reduced to patients; ``keep_samples`` and ``keep_features`` (one column
+    each) are whitelists; ``first_rows`` reads so many rows of each file, and
+    ``sampled`` a seeded choice of so many of its columns. Rows and columns are
+    chosen before a line is turned into cells.
     """
     lines, head = raw_lines(spark, path), headers(spark, path, sep)
     first = lines.groupBy("file").agg(F.min("_at").alias("_first"))
     body = lines.join(first, "file").where("_at <> _first")
+    if first_rows is not None:
+        body = body.withColumn("_row", F.row_number().over(Window.partitionBy("file").orderBy("_at"))).where(F.col("_row") <= first_rows).drop("_row")
+    if sampled is not None:
+        places = F.sequence(F.lit(1), F.col("width") - 1)
+        drawn = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(seed), F.get("names", i)).alias("h"), i.alias("i"))))
+        head = head.withColumn("chosen", F.transform(F.slice(drawn, 1, sampled), lambda x: x["i"]))
     cells = body.join(head, "file").withColumn("v", F.split("line", sep))
     if drop_ragged:
         cells = cells.where(F.size("v") == F.col("width"))
     cells = cells.withColumn("feature", S.clean_id(F.get("v", F.lit(0)))).where(F.col("feature").rlike(id_pattern))
+    if keep_features is not None:
+        cells = cells.join(keep_features.select(F.col(keep_features.columns[0]).alias("feature")).distinct(), "feature", "left_semi")
+    if sampled is not None:
+        pick = lambda c: F.concat(F.slice(c, 1, 1), F.transform("chosen", lambda i: F.get(F.col(c), i)))
+        cells = cells.withColumn("names", pick("names")).withColumn("v", pick("v"))
     cells = cells.select("file", "feature", F.posexplode(F.arrays_zip(F.slice("names", 2, 1 << 30).alias("n"), F.slice("v", 2, 1 << 30).alias("x"))).alias("i", "c"))
     sample = S.sample_barcode(F.col("c.n")) if barcode else F.col("c.n")
     cells = cells.where(F.col("c.n").isNotNull()).select("file", "feature", sample.alias("sample"), S.number(F.col("c.x")).alias("value"))
@@ -82,6 +100,24 @@ def probe_map(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return rows.withColumn("gene", F.trim("gene")).where(~F.col("gene").isin("", ".")).select("probe", "gene", "place")
 
 
+def probe_means(cells: DataFrame, probes: DataFrame, first_only: bool = False, by: Sequence[str] = ("sample",)) -> DataFrame:
+    """Cells of genes from cells of probes: the mean over the probes of a gene, missing values left out."""
+    names = probes.where("place = 0") if first_only else probes
+    return cells.join(names.select(F.col("probe").alias("feature"), "gene"), "feature").groupBy("gene", *by).agg(F.avg("value").alias("value"))
+
+
+def protein_means(cells: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
+    """Cells of genes from cells of proteins: the mean over the proteins of a gene."""
+    return cells.groupBy("gene", *by).agg(F.avg("value").alias("value"))
+
+
+def dense_features(cells: DataFrame, share: float = 0.6, feature: str = "feature", sample: str = "sample", value: str = "value") -> DataFrame:
+    """Cells of the features with at least the integer part of ``share`` times the samples as values."""
+    least = cells.agg(F.floor(F.lit(share) * F.countDistinct(sample)).alias("_least"))
+    held = cells.groupBy(feature).agg(F.count(value).alias("_n")).crossJoin(F.broadcast(least)).where("_n >= _least")  # one row
+    return cells.join(held.select(feature), feature, "left_semi")
+
+
 def protein_groups(spark: SparkSession, path: str, prefix: str = "LFQ intensity ", least_peptides: int = 0, sep: str = "\t") -> DataFrame:
     """Cells (protein, gene, sample, value) of a protein-groups table.
 
@@ -100,16 +136,16 @@ def protein_groups(spark: SparkSession, path: str, prefix: str = "LFQ intensity
     return kept.where(F.col("name").startswith(prefix)).select("protein", "gene", F.regexp_replace("name", f"^{prefix}", "").alias("sample"), F.when(value > 0, value).alias("value"))
 
 
-def read_rows(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+def read_rows(spark: SparkSession, path: str, sep: str = "\t", lossy: bool = False) -> DataFrame:
     """Rows of wide text tables as maps from column name to text; rows of another width go."""
-    lines, head = raw_lines(spark, path), headers(spark, path, sep)
+    lines, head = raw_lines(spark, path, lossy), headers(spark, path, sep)
     first = lines.groupBy("file").agg(F.min("_at").alias("_first"))
     body = lines.join(first, "file").where("_at <> _first").join(head, "file").withColumn("v", F.split("line", sep, -1))
     return body.where(F.size("v") == F.col("width")).select("file", F.map_from_arrays("names", "v").alias("row"))
 
 
-def clinical(spark: SparkSession, path: str, hints: Sequence[str], sep: str = "\t") -> DataFrame:
+def clinical(spark: SparkSession, path: str, hints: Sequence[str], sep: str = "\t", lossy: bool = True) -> DataFrame:
     """Columns of clinical tables whose names hold one of the hints, long: file, row id, column, text."""
-    rows = read_rows(spark, path, sep).withColumn("row_id", F.monotonically_increasing_id())
+    rows = read_rows(spark, path, sep, lossy).withColumn("row_id", F.monotonically_increasing_id())
     one = rows.select("file", "row_id", F.explode("row").alias("column", "text"))
     return one.where(F.lower("column").rlike("|".join(h.lower() for h in hints)))

@@ -65,16 +65,35 @@ def test_tables_and_files(spark, tmp_path):
     assert records.read_csv(spark, str(tmp_path / "csv"), "a int, b double").count() == 2
     assert records.read_csv(spark, str(tmp_path / "none"), "a int").count() == 0
     assert records.markdown(df) == "| a | b |\n| --- | --- |\n| 1 | 0.5 |\n| 2 | NA |"
+    assert records.markdown(df, 1).endswith("| 1 | 0.5 |\n(only the first 1 rows are shown)") and records.markdown(df, 2) == records.markdown(df)
     assert records.list_files(spark, str(tmp_path), r"\.csv\.gz$").count() >= 1
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x00\x01\x00\x00\x00\x00\x20rest")
+    (tmp_path / "img" / "b.eps").write_bytes(b"%!PS-Adobe-3.0 EPSF-3.0\n%%BoundingBox: 10 20 310 220\n\xff")
+    (tmp_path / "img" / "c.txt").write_bytes(b"x")
+    got = {r["path"][-5:]: (r["kind"], r["width"], r["height"]) for r in records.image_headers(spark, str(tmp_path / "img")).collect()}
+    assert got == {"a.png": ("png", 256, 32), "b.eps": ("eps", 300, 200), "c.txt": ("other", None, None)}
     (tmp_path / "t.txt").write_bytes(b"a\xffb")
     assert records.documents(spark, str(tmp_path / "t.txt")).first()["text"] == "a�b"
 
 
+def test_lossy_clinical_tables(spark, tmp_path):
+    (tmp_path / "c.tsv").write_bytes("id\tPurity é\tage\ns1\t0.5\t40\n".encode("latin-1") + b"s2\t\xff0.7\t50\n")
+    rows = matrix.clinical(spark, str(tmp_path / "c.tsv"), ["purity"]).collect()
+    assert sorted((r["column"], r["text"]) for r in rows) == [("Purity \ufffd", "0.5"), ("Purity \ufffd", "\ufffd0.7")]
+
+
 def test_configuration():
     tree = {"root": "/x", "a": {"p": "${root}/d", "n": "${m}", "e": "${env:HOME_X:-${root}/e}"}, "m": 3, "list": ["${a.p}"]}
     assert records.resolve(tree, env={}) == {"root": "/x", "a": {"p": "/x/d", "n": 3, "e": "/x/e"}, "m": 3, "list": ["/x/d"]}
     with pytest.raises(ValueError):
         records.resolve({"a": "${b}", "b": "${a}"}, env={})
+    with pytest.raises(KeyError, match="NOT_SET"):
+        records.resolve({"a": "${env:NOT_SET}"}, env={})
+    with pytest.raises(KeyError, match="nowhere"):
+        records.resolve({"a": "${nowhere}"}, env={})
+    nested = {"paths": {"work": "/w", "deep": {"cache": "${work}/c", "logs": "${cache}/l", "other": "${gone:-none}"}}, "deep": {"work": "/no"}}
+    assert records.resolve(nested, env={})["paths"]["deep"] == {"cache": "/w/c", "logs": "/w/c/l", "other": "none"}
     assert records.overridden({"s": {"n": 1, "f": True}}, {"CL_S__N": "5", "CL_S__F": "no"}, "CL") == {"s": {"n": 5, "f": False}}
 
 
