@@ -106,6 +106,21 @@ def substituted(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
+def fenced_code(text: Column) -> Column:
+    """What stands in fenced code blocks, without the fences."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z]*\n(.*?)```"), 1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+
+
+def figure_references(text: Column) -> Column:
+    """References to figures and tables, such as ``Fig. 3`` or ``Table S2``, in the order of the text."""
+    return F.regexp_extract_all(text, F.lit(r"(?:Figure|Fig\.|Table) S?[0-9]+[a-z]?"), 0)
+
+
+def citation_numbers(text: Column) -> Column:
+    """Numbers in square brackets, as printed: ``[3, 5]`` gives 3 and 5."""
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+(?:, ?[0-9]+)*)\]"), 1), lambda x: F.split(x, ", ?")))
+
+
 def flattened(text: Column) -> Column:
     """Text without any white space."""
     return F.regexp_replace(text, r"\s+", "")
@@ -117,7 +132,7 @@ def sign_fixed(auc: Column) -> Column:
 
 
 def value_domain(q05: Column, q95: Column, low: Column, high: Column) -> Column:
-    """The numeric kind of a matrix by its range: ordered rules."""
+    """The numeric kind of a matrix by its range: ordered rules, whose bounds are fixed values."""
     return (
         F.when((low >= 0) & (high <= 1), "unit interval")
         .when((low >= -2) & (high <= 2), "discrete levels")

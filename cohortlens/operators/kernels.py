@@ -113,12 +113,14 @@ def knn_affinity(x: np.ndarray, k: int = 10) -> np.ndarray:
     return kept / np.maximum(kept.sum(axis=1, keepdims=True), 1e-12)
 
 
-def spectral(affinity: np.ndarray, k: int) -> np.ndarray:
-    """Leading eigenvectors of the normalised affinity, without the constant one."""
+def spectral(affinity: np.ndarray, k: int, scaled: bool = False) -> np.ndarray:
+    """Leading eigenvectors of the normalised affinity, without the constant one; ``scaled`` by the roots of their eigenvalues."""
     a = (affinity + affinity.T) / 2
     d = 1 / np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
     values, v = np.linalg.eigh(d[:, None] * a * d[None, :])
     v = v[:, ::-1][:, 1 : k + 1]
+    if scaled:
+        v = v * np.sqrt(np.maximum(values[::-1][1 : k + 1], 0))
     sign = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     return v * np.where(sign == 0, 1, sign)
 

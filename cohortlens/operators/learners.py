@@ -22,6 +22,7 @@ METHODS: dict[str, Callable[[list[np.ndarray]], np.ndarray]] = {
     "spectral": lambda xs: K.spectral(K.knn_affinity(np.hstack(xs)), 8),
     "coassociation": K.coassociation,
     "snf": lambda xs: K.spectral(K.fused(xs if len(xs[0]) >= 15 else xs[:1]), 8),
+    "snf_scaled": lambda xs: K.spectral(K.fused(xs if len(xs[0]) >= 15 else xs[:1]), 8, scaled=True),
     "mcca_lite": lambda xs: K.layer_components(xs, 5),
     "mofa_lite": lambda xs: K.layer_components(xs, 5, weighted=True),
     "mfa": K.multiple_factors,
@@ -181,6 +182,19 @@ def component_sweep(blocks: DataFrame, unit: Sequence[str], target: str, drops:
     return grouped(blocks, unit, run, "kind string, k int, auc_fixed double")
 
 
+def ranked_components(blocks: DataFrame, unit: Sequence[str], covariate: str, keep: int = 20) -> DataFrame:
+    """Principal components ranked by the size of their correlation with a covariate, the largest first."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[covariate]).sort_values("sample")
+        scores, y = K.pca(K.standardised(np.array(pdf["features"].tolist(), dtype=float)), keep)[0], pdf[covariate].to_numpy(dtype=float)
+        r = np.array([np.corrcoef(s, y)[0, 1] for s in scores.T])
+        order = np.argsort(-np.abs(r), kind="stable")
+        return pd.DataFrame({"place": np.arange(1, len(r) + 1), "component": order + 1, "r": np.round(r[order], 4)})
+
+    return grouped(blocks, unit, run, "place int, component int, r double")
+
+
 def harmony(blocks: DataFrame, unit: Sequence[str], batch: str) -> DataFrame:
     """Batch-corrected components of each unit."""
 
@@ -198,7 +212,7 @@ def first_loading(blocks: DataFrame, unit: Sequence[str]) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.sort_values("sample")["features"].tolist(), dtype=float)
         v = K.pca(x, 1)[1][:, 0]
-        return pd.DataFrame({"feature": np.arange(len(v)), "loading": np.round(v * (1 if v.sum() >= 0 else -1), 6)})
+        return pd.DataFrame({"feature": np.arange(len(v)), "loading": v * (1 if v.sum() >= 0 else -1)})
 
     return grouped(blocks, unit, run, "feature long, loading double")
 

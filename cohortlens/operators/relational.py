@@ -124,6 +124,28 @@ def boxes_overlap(boxes: DataFrame, by: Sequence[str], least: float = 0.12) -> D
     return both.withColumn("share", share).where(F.col("share") > least).select(*by, "a_id", "b_id", "share").distinct()
 
 
+def cohort_blocks(cells: DataFrame, identifiers: DataFrame, by: Sequence[str] = ("cohort",), prefix: int | None = None, least_samples: int = 10) -> DataFrame:
+    """Blocks (unit, sample, layer, features) of the wanted samples that have every layer of their cohort.
+
+    ``identifiers`` has one column; with ``prefix`` samples match by so many first
+    characters. Features are standardised over the block, missing values become 0,
+    and stand in the order of their keys; cohorts with fewer samples are left out.
+    """
+    from cohortlens.operators.matrix import zscore
+
+    key = lambda c: F.substring(c.cast("string"), 1, prefix) if prefix else c.cast("string")
+    wanted = identifiers.select(key(F.col(identifiers.columns[0])).alias("_k")).distinct()
+    held = cells.withColumn("_k", key(F.col("sample"))).join(wanted, "_k", "left_semi").drop("_k")
+    complete = in_all(held, "sample", "layer", by)
+    complete = guarded(complete, by, {"sample": least_samples})
+    held = held.join(complete, [*by, "sample"], "left_semi")
+    features = held.select(*by, "layer", "feature").distinct()
+    grid = features.join(complete, list(by)).join(held.select(*by, "layer", "feature", "sample", "value"), [*by, "layer", "feature", "sample"], "left")
+    scaled = zscore(grid, [*by, "layer", "feature"])
+    packed = F.array_sort(F.collect_list(F.struct("feature", "z")))
+    return scaled.groupBy(*by, "layer", "sample").agg(F.transform(packed, lambda s: s["z"]).alias("features"))
+
+
 # ---------- aggregations
 
 

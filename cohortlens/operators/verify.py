@@ -22,6 +22,26 @@ def nested_numbers(df: DataFrame, key: str, json: str, bound: float) -> DataFram
     return df.select(key, found.alias("x")).select(key, F.col("x").cast("double").alias("x")).where(F.abs("x") <= bound)
 
 
+def edited(texts: DataFrame, text: str, edits: Sequence[tuple[str, str]], out: str = "edited") -> DataFrame:
+    """Ordered replacements of anchors; ``missing`` lists the anchors that a text had not when their turn came."""
+    now, missing = F.col(text), []
+    for anchor, new in edits:
+        missing.append(F.when(~F.coalesce(now.contains(anchor), F.lit(False)), F.lit(anchor)))
+        now = F.replace(now, F.lit(anchor), F.lit(new))
+    return texts.withColumn("missing", F.array_compact(F.array(*missing))).withColumn(out, now)
+
+
+def frozen(text: str, edits: Sequence[tuple[str, str]], required: Sequence[str] = ()) -> str:
+    """One document after ordered edits; an anchor that is missing, or a required one that is gone, is an error."""
+    for anchor, new in edits:
+        if anchor not in text:
+            raise ValueError(f"nothing to replace: {anchor!r}")
+        text = text.replace(anchor, new)
+    if gone := [a for a in required if a not in text]:
+        raise ValueError(f"missing after the edits: {gone}")
+    return text
+
+
 def missing_values(expected: DataFrame, numbers: DataFrame) -> DataFrame:
     """Expected numbers (column num) that no text holds."""
     return expected.select(S.plain_number(F.col("num")).alias("num")).distinct().join(numbers.select("num"), "num", "left_anti")

@@ -323,7 +323,9 @@ def quantile_normalise_gaps(spark, d):
     return out.select("batch", "feature", "sample", F.round("normalised", 2).alias("normalised"))
 
 
-@query()
+@query(""", g AS (SELECT x, exp(-x * x / 2) / sqrt(2 * pi()) AS f, 0.5::DOUBLE + sum(exp(-x * x / 2) / sqrt(2 * pi()) + exp(-(x - 1e-4) * (x - 1e-4) / 2) / sqrt(2 * pi())) OVER (ORDER BY x) * 5e-5 AS c FROM (SELECT (i + 1) * 1e-4::DOUBLE AS x FROM (SELECT unnest(range(50000)) AS i)) UNION ALL SELECT 0, 1 / sqrt(2 * pi()), 0.5),
+p AS (SELECT cohort, layer, feature, sample, (row_number() OVER (PARTITION BY cohort, layer, sample ORDER BY value, feature) - 0.5::DOUBLE) / count(value) OVER (PARTITION BY cohort, layer, sample) AS p FROM cells)
+SELECT cohort, layer, feature, sample, round(CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (x + (greatest(p, 1 - p) - c) / f), 4) AS normal_score FROM p ASOF JOIN g ON greatest(p.p, 1 - p.p) >= g.c""", "cells")
 def rank_to_int(spark, d):
     return R.rank_to_normal(X.cells(spark, d), ["cohort", "layer", "sample"], "value", "feature").select("cohort", "layer", "feature", "sample", r4("normal_score"))
 
@@ -801,7 +803,7 @@ def fusion_linkage(spark, d):
 
 @query()
 def benchmark_grid(spark, d):
-    return B.benchmark(X.blocks(spark, d), "cohort", ["kmeans", "pca", "mcca_lite"], (3, 4))
+    return B.benchmark(X.blocks(spark, d), "cohort", sorted(L.METHODS), (3, 4, 5))
 
 
 @query()
@@ -854,9 +856,14 @@ def harmony_embedding(spark, d):
     return L.harmony(_one(spark, d), ["unit"], "batch")
 
 
-@query()
+@query(""", m AS (SELECT sample, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM emb), c AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS c FROM m a JOIN m b USING (sample) GROUP BY ALL),
+r AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)),
+w AS (SELECT 0 AS k, m FROM r UNION ALL SELECT k + 1, list_transform(u, lambda a: list_transform(a, lambda x: x / sqrt(list_sum(list_transform(u, lambda q: list_dot_product(q, q))))))
+  FROM (SELECT k, list_transform(m, lambda a: list_transform(m, lambda q: list_dot_product(a, q))) AS u FROM w WHERE k < 24)),
+l AS (SELECT v FROM (SELECT unnest(m) AS v FROM w WHERE k = 24) ORDER BY list_dot_product(v, v) DESC LIMIT 1)
+SELECT 'all' AS unit, unnest(range(len(v))) AS feature, round(unnest(v) / sqrt(list_dot_product(v, v)) * CASE WHEN list_sum(v) >= 0 THEN 1 ELSE -1 END, 4) AS loading FROM l""", "emb")
 def first_component_loading(spark, d):
-    return L.first_loading(_one(spark, d), ["unit"])
+    return L.first_loading(_one(spark, d), ["unit"]).withColumn("loading", F.round("loading", 4))
 
 
 @query()

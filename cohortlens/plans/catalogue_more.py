@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
+from cohortlens.operators import learners as L
 from cohortlens.operators import matrix as M
 from cohortlens.operators import rank as R
 from cohortlens.operators import relational as J
 from cohortlens.operators import scorers as T
+from cohortlens.operators import verify as V
 from cohortlens.plans import fixtures as X
 from cohortlens.plans.catalogue import _PAIRED, BY, _pairs, _purity, _seed_centroids, query, r4, r6
+from cohortlens.plans import tables as P
 from cohortlens.session import table
 from cohortlens.sources import matrix as FM
 
@@ -223,3 +226,88 @@ z AS (SELECT *, greatest(abs(u - n1 * n0 / 2.0::DOUBLE) - 0.5::DOUBLE, 0) / sqrt
 def mann_whitney(spark, d):
     out = T.mann_whitney_p(T.auc(table(spark, d, "events"), ["event_type"], "value", F.col("user_id") % 2 == 1))
     return out.select("event_type", "u", r4("auc"), r4("p"))
+
+
+# ---------- blocks, texts and tables
+
+
+@query(""", h AS (SELECT * FROM cells WHERE cohort = 'N' AND substring(CAST(sample AS VARCHAR), 1, 1) IN ('1', '2', '3')),
+k AS (SELECT sample FROM h GROUP BY sample HAVING count(DISTINCT layer) = (SELECT count(DISTINCT layer) FROM h)),
+g AS (SELECT f.layer, f.feature, k.sample, h.value AS v FROM (SELECT DISTINCT layer, feature FROM h WHERE sample IN (SELECT sample FROM k)) f CROSS JOIN k LEFT JOIN h USING (layer, feature, sample)),
+z AS (SELECT layer, feature, sample, coalesce((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-9 THEN stddev_pop(v) OVER w ELSE 1 END, 0) AS z FROM g WINDOW w AS (PARTITION BY layer, feature))
+SELECT 'N' AS cohort, layer, sample, row_number() OVER (PARTITION BY layer, sample ORDER BY feature) - 1 AS place, round(z, 4) AS z FROM z""", "cells")
+def cohort_blocks(spark, d):
+    wanted = spark.createDataFrame([("1x",), ("2",), ("3-A",)], "id string")
+    blocks = J.cohort_blocks(X.cells(spark, d).where("cohort = 'N'"), wanted, prefix=1, least_samples=2)
+    return blocks.select("cohort", "layer", "sample", F.posexplode("features").alias("place", "z")).select("cohort", "layer", "sample", F.col("place").cast("long").alias("place"), r4("z"))
+
+
+@query("""SELECT item_id, len(t) AS n_chars, 1 + CASE WHEN contains(text, 'the') THEN 0 ELSE 1 END AS n_missing FROM (SELECT item_id, text, replace(replace(text, 'the', 'THE'), 'no such anchor', 'x') AS t FROM benchmark WHERE text IS NOT NULL)""")
+def plan_edits(spark, d):
+    t = table(spark, d, "benchmark").where("text is not null")
+    out = V.edited(t, "text", [("the", "THE"), ("no such anchor", "x")])
+    return out.select("item_id", F.char_length("edited").cast("long").alias("n_chars"), F.size("missing").cast("long").alias("n_missing"))
+
+
+@query(r"""SELECT kind, token, count(*) AS n FROM (SELECT 'code' AS kind, concat('run ', CAST(doc_id % 3 AS VARCHAR)) AS token FROM documents UNION ALL SELECT 'figure', concat('Fig. ', CAST(doc_id % 4 AS VARCHAR)) FROM documents
+  UNION ALL SELECT 'figure', 'Table S2' FROM documents UNION ALL SELECT 'citation', CAST(doc_id % 5 AS VARCHAR) FROM documents UNION ALL SELECT 'citation', '7' FROM documents
+  UNION ALL SELECT 'figure', unnest(regexp_extract_all(text, '(?:Figure|Fig\.|Table) S?[0-9]+[a-z]?')) FROM documents) GROUP BY ALL""")
+def text_tokens(spark, d):
+    k = lambda n: (F.col("doc_id") % n).cast("string")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nSee Fig. "), k(4), F.lit(" and Table S2 ["), k(5), F.lit(", 7].\n```sh\nrun "), k(3), F.lit("\n```\n"))
+    t = table(spark, d, "documents").select(text.alias("t"))
+    parts = [t.select(F.lit(kind).alias("kind"), F.explode(f(F.col("t"))).alias("token")) for kind, f in (("code", S.fenced_code), ("figure", S.figure_references), ("citation", S.citation_numbers))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "token").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_matches(w, '^[A-Za-z][A-Za-z0-9\-\._@]*$') GROUP BY w")
+def symbol_filter(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
+    return words.where(F.col("w").rlike(S.SYMBOL_ID)).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query()
+def purity_components(spark, d):
+    v = X.vectors(spark, d).withColumn("unit", F.lit("all")).withColumn("purity", F.col("label") * 0.1 + F.col("features")[0])
+    return L.ranked_components(v, ["unit"], "purity")
+
+
+@query("""SELECT cohort, layer, count(DISTINCT feature) AS n_features, CASE WHEN min(value) >= 0 AND max(value) <= 1 THEN 'unit interval' WHEN min(value) >= -2 AND max(value) <= 2 THEN 'discrete levels' WHEN quantile_cont(value, 0.05) < 0 AND abs(quantile_cont(value, 0.95)) <= 20 THEN 'log ratio'
+  WHEN min(value) >= 0 AND max(value) <= 25 THEN 'log count' WHEN min(value) >= 0 THEN 'positive' ELSE 'other' END AS domain, round(100 * avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END), 4) AS pct_finite, round(quantile_cont(value, 0.05), 4) AS q05, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.95), 4) AS q95 FROM cells GROUP BY cohort, layer""", "cells")
+def table_1a(spark, d):
+    return P.numeric_domains(X.cells(spark, d)).select("cohort", "layer", "n_features", "domain", *[r4(c) for c in ("pct_finite", "q05", "q50", "q95")])
+
+
+@query("SELECT CASE WHEN cohort = 'A' THEN 'A' ELSE 'B' END AS domain, cohort, " + ", ".join(f"count(*) FILTER (held >= {i}) AS n_samples_all_{i}_layers" for i in (1, 2, 3, 4)) + " FROM (SELECT cohort, sample, count(DISTINCT layer) AS held FROM presence GROUP BY ALL) GROUP BY cohort", "presence")
+def table_1b(spark, d):
+    return P.availability(X.presence(spark, d), F.when(F.col("cohort") == "A", "A").otherwise("B"))
+
+
+@query(", s AS (SELECT layer, concat(cohort_a, '-', cohort_b) AS cohort_pair, count(*) AS n_genes, corr(rx, ry) AS rho FROM ranked GROUP BY ALL), t AS (SELECT *, rho * sqrt((n_genes - 2) / greatest(1 - rho * rho, 1e-300)) AS t FROM s) SELECT layer, cohort_pair, n_genes, round(rho, 4) AS spearman, round(" + t_tails("t", "(n_genes - 2)") + ", 6) AS p FROM t", "cells", "profile", "pairs", "ranked")
+def table_2(spark, d):
+    return P.concordance(_pairs(spark, d)).select("layer", "cohort_pair", "n_genes", r4("spearman"), r6("p"))
+
+
+_R = ", r AS (SELECT *, (n % 50 + 10) / 100.0::DOUBLE AS x FROM records)"
+
+
+def _scored(spark, d):
+    return X.records(spark, d).withColumn("x", (F.col("n") % 50 + 10) / 100)
+
+
+@query(_R + """ SELECT method, round(avg(CASE WHEN domain = 'F' THEN ari END), 6) AS "domain_A_ARI", round(avg(CASE WHEN domain = 'O' THEN ari END), 6) AS "domain_B_ARI", round(avg(ari), 6) AS "overall_ARI", round(avg(x), 6) AS max_cluster_fraction, round(avg(degen), 6) AS degeneracy_rate, count(*) AS n_records FROM r GROUP BY method""", "records")
+def table_3(spark, d):
+    out = P.method_ranking(_scored(spark, d).withColumnRenamed("x", "max_fraction"), "F", "O")
+    return out.select("method", *[r6(c) for c in ("domain_A_ARI", "domain_B_ARI", "overall_ARI", "max_cluster_fraction", "degeneracy_rate")], "n_records")
+
+
+@query("""SELECT method, round(avg(ari), 6) AS "mean_ARI", count(*) AS n_records, CASE WHEN method LIKE 'ECONOMY%' THEN 'economy kernel' ELSE method END AS implementation FROM records GROUP BY method""", "records")
+def table_4(spark, d):
+    names = {r["method"]: "economy kernel" for r in X.records(spark, d).where("method like 'ECONOMY%'").select("method").distinct().collect()}  # a few methods
+    return P.package_ranking(X.records(spark, d), names).select("method", r6("mean_ARI"), "n_records", "implementation")
+
+
+@query(_R + """ SELECT method, round(avg(CASE WHEN domain = 'F' THEN x END), 6) AS "PAC_A", round(avg(CASE WHEN domain = 'O' THEN x END), 6) AS "PAC_B", round(avg(x), 6) AS "PAC_overall", round(avg(1 - x), 6) AS strong_consensus, round(avg(x / 2), 6) AS median_consensus, count(*) AS n_records FROM r GROUP BY method""", "records")
+def table_5a(spark, d):
+    out = P.stability(_scored(spark, d).withColumnRenamed("x", "pac").withColumn("strong", 1 - F.col("pac")).withColumn("median_consensus", F.col("pac") / 2), "F", "O")
+    return out.select("method", *[r6(c) for c in ("PAC_A", "PAC_B", "PAC_overall", "strong_consensus", "median_consensus")], "n_records")

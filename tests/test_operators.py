@@ -125,3 +125,28 @@ def test_empty_frames_do_not_crash(spark):
     assert T.spearman(J.aligned_pairs(J.profile(cells)), ["layer"]).count() == 0
     assert R.top_mad(cells, 3).count() == 0 and M.zscore(cells, ["feature"]).count() == 0
     assert J.leave_one_out(cells).count() == 0
+
+
+def test_frozen_documents():
+    from cohortlens.operators import verify
+
+    assert verify.frozen("a plan, draft", [("draft", "frozen"), ("plan", "PLAN")], ["frozen"]) == "a PLAN, frozen"
+    with pytest.raises(ValueError, match="nothing to replace"):
+        verify.frozen("a", [("b", "c")])
+    with pytest.raises(ValueError, match="missing"):
+        verify.frozen("a b", [("b", "c")], ["b"])
+
+
+def test_tables_are_written(spark, sf_dir, tmp_path):
+    from cohortlens.plans import catalogue, experiment, tables
+
+    q = catalogue.queries()
+    made = {"T3": q["table_3"](spark, sf_dir), "T1b": q["table_1b"](spark, sf_dir)}
+    pairs = spark.createDataFrame([("c", float(i), float(i * i % 7), float(i % 4) / 4, 0.5) for i in range(40)], "comparison string, x double, y double, pac double, ari double")
+    made |= {"T5b": tables.pac_bins(pairs, (0.25, 0.5)), "T7a": tables.platform_ladder(pairs), "T7b": tables.effect_bins(pairs), "T7c": tables.levels({"all": pairs}), "T6": tables.batch_testbed({"raw": pairs.groupBy().count(), "fixed": pairs.groupBy().count()})}
+    made["T8"] = tables.gates({"g": ("at least 1", pairs.groupBy().count(), 1.0)})
+    tables.write_tables(made, str(tmp_path))
+    for name, df in made.items():
+        back = spark.read.option("header", True).csv(f"{tmp_path}/{name}")
+        assert back.columns == df.columns and back.count() == df.count() > 0
+    assert experiment.subsets(["b", "a"]) == [("a",), ("b",), ("a", "b")]
