@@ -274,11 +274,43 @@ def knn_affinity(blocks: DataFrame, k: int, by: Sequence[str] = (), vector: str
     return even.withColumn("affinity", F.col("v") / F.sum("v").over(Window.partitionBy(*by, "i"))).drop("v")
 
 
-def correlation_network(cells: DataFrame, by: Sequence[str] = ("cohort", "layer"), feature: str = "feature", sample: str = "sample", value: str = "value") -> DataFrame:
-    """Pearson correlation over samples for every pair of features of a matrix."""
-    a = cells.select(*by, sample, F.col(feature).alias("feature_a"), F.col(value).alias("x"))
-    b = cells.select(*by, sample, F.col(feature).alias("feature_b"), F.col(value).alias("y"))
-    return a.join(b, [*by, sample]).where("feature_a < feature_b").groupBy(*by, "feature_a", "feature_b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+def correlation_network(cells: DataFrame, by: Sequence[str] = ("cohort", "layer"), feature: str = "feature", sample: str = "sample", value: str = "value", size: int = 256, chunk: int = 2048) -> DataFrame:
+    """Pearson correlation over the samples at hand for every pair of features of a matrix (one value a cell).
+
+    Features are dealt to blocks and samples to chunks; each two blocks yield the
+    sums of their pairs over a chunk by matrix products, so that a pair costs a row
+    for each chunk and not for each sample.
+    """
+    names = list(by)
+    held = cells.select(*by, F.col(feature).alias("f"), F.col(sample).alias("s"), F.col(value).cast("double").alias("x")).where("x is not null")
+    many = lambda c, n: F.greatest(F.ceil(F.countDistinct(c) / n), F.lit(1)).cast("int")
+    mean = F.avg("x").alias("mean")  # sums of values around it keep their digits
+    counts = held.groupBy(*by).agg(many("f", size).alias("nf"), many("s", chunk).alias("ns"), mean)
+    dealt = held.join(counts, names) if by else held.crossJoin(F.broadcast(counts))  # one row without units
+    own = F.pmod(F.xxhash64("f"), F.col("nf")).cast("int")
+    dealt = dealt.select(*by, "f", "s", (F.col("x") - F.col("mean")).alias("x"), own.alias("own"), F.pmod(F.xxhash64("s"), F.col("ns")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("other"))
+    dealt = dealt.select(*by, "f", "s", "x", "own", "c", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    kind = held.schema["f"].dataType.simpleString()
+    types = "".join(f"{c} {held.schema[c].dataType.simpleString()}, " for c in names)
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def products(t: pa.Table) -> pa.Table:
+        f, at = np.unique(t["f"].to_numpy(), return_inverse=True)
+        _, to = np.unique(t["s"].to_numpy(), return_inverse=True)
+        x, m = (np.zeros((len(f), to.max() + 1)) for _ in range(2))
+        x[at, to], m[at, to] = t["x"].to_numpy(), 1
+        block = np.zeros(len(f), dtype=np.int64)
+        block[at] = t["own"].to_numpy()
+        i, j = np.nonzero(np.triu(np.ones((len(f), len(f)), dtype=bool), 1) & ((block[:, None] != block[None, :]) | (t["p"][0].as_py() == t["q"][0].as_py())))
+        all_ = (m @ m.T, x @ m.T, m @ x.T, (x * x) @ m.T, m @ (x * x).T, x @ x.T)
+        out = {c: pa.array([t[c][0].as_py()] * len(i), t.schema.field(c).type) for c in names}
+        return pa.table(out | {"feature_a": pa.array(f[i], t.schema.field("f").type), "feature_b": pa.array(f[j], t.schema.field("f").type)} | {c: pa.array(v[i, j]) for c, v in zip(sums, all_, strict=True)})
+
+    parts = dealt.groupBy(*by, "p", "q", "c").applyInArrow(products, f"{types}feature_a {kind}, feature_b {kind}, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy(*by, "feature_a", "feature_b").agg(*[F.sum(c).alias(c) for c in sums]).where("n > 0")
+    cov, va, vb = F.expr("n * sxy - sx * sy"), F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
+    r = F.when((va > FLAT) & (vb > FLAT), cov / F.sqrt(va * vb))
+    return total.select(*by, "feature_a", "feature_b", r.alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def concatenated(blocks: DataFrame, unit: Sequence[str], sample: str = "sample", layer: str = "layer", vector: str = "features") -> DataFrame:

@@ -70,12 +70,15 @@ def numbering_gaps(refs: DataFrame) -> DataFrame:
 def fuzzy_key(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Each key's name: the equal one, else the only one whose tokens the key holds, else NULL.
 
-    ``names`` is a small vocabulary (a row for each domain).
+    Keys and names meet by token; a name without tokens is held by no key.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != ""))
-    pairs = keys.select("key", tokens(F.col("key")).alias("_t")).crossJoin(F.broadcast(names.select("name", tokens(F.col("name")).alias("_n"))))
-    inside = F.size(F.array_except("_n", "_t")) == 0
-    return pairs.groupBy("key").agg(F.max(F.when(F.col("key") == F.col("name"), F.col("name"))).alias("_same"), F.collect_set(F.when(inside, F.col("name"))).alias("_in")).select("key", F.coalesce("_same", F.when(F.size("_in") == 1, F.get("_in", F.lit(0)))).alias("name"))
+    named = names.select("name").distinct().withColumn("_n", tokens(F.col("name")))
+    met = keys.select("key").distinct().withColumn("_t", F.explode(tokens(F.col("key")))).join(named.select("name", F.size("_n").alias("_size"), F.explode("_n").alias("_t")), "_t")
+    inside = met.groupBy("key", "name").agg(F.count("*").alias("_held"), F.max("_size").alias("_size")).where("_held = _size")
+    only = inside.groupBy("key").agg(F.count("*").alias("_k"), F.min("name").alias("_only"))
+    same = named.select(F.col("name").alias("key"), F.col("name").alias("_same"))
+    return keys.join(same, "key", "left").join(only, "key", "left").select("key", F.coalesce("_same", F.when(F.col("_k") == 1, F.col("_only"))).alias("name"))
 
 
 def core_set(members: DataFrame, layers: Sequence[str], sample: str = "sample", layer: str = "layer") -> DataFrame:

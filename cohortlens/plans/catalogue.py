@@ -856,12 +856,15 @@ def harmony_embedding(spark, d):
     return L.harmony(_one(spark, d), ["unit"], "batch")
 
 
-@query(""", m AS (SELECT sample, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM emb), c AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS c FROM m a JOIN m b USING (sample) GROUP BY ALL),
+_LOADING = """, m AS (SELECT sample, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM emb), c AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS c FROM m a JOIN m b USING (sample) GROUP BY ALL),
 r AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)),
 w AS (SELECT 0 AS k, m FROM r UNION ALL SELECT k + 1, list_transform(u, lambda a: list_transform(a, lambda x: x / sqrt(list_sum(list_transform(u, lambda q: list_dot_product(q, q))))))
   FROM (SELECT k, list_transform(m, lambda a: list_transform(m, lambda q: list_dot_product(a, q))) AS u FROM w WHERE k < 24)),
 l AS (SELECT v FROM (SELECT unnest(m) AS v FROM w WHERE k = 24) ORDER BY list_dot_product(v, v) DESC LIMIT 1)
-SELECT 'all' AS unit, unnest(range(len(v))) AS feature, round(unnest(v) / sqrt(list_dot_product(v, v)) * CASE WHEN list_sum(v) >= 0 THEN 1 ELSE -1 END, 4) AS loading FROM l""", "emb")
+SELECT 'all' AS unit, unnest(range(len(v))) AS feature, round(unnest(v) / sqrt(list_dot_product(v, v)) * CASE WHEN list_sum(v) >= 0 THEN 1 ELSE -1 END, 4) AS loading FROM l"""
+
+
+@query(_LOADING, "emb")
 def first_component_loading(spark, d):
     return L.first_loading(_one(spark, d), ["unit"]).withColumn("loading", F.round("loading", 4))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
+from cohortlens.operators import distributed as D
 from cohortlens.operators import learners as L
 from cohortlens.operators import matrix as M
 from cohortlens.operators import rank as R
@@ -12,7 +14,7 @@ from cohortlens.operators import relational as J
 from cohortlens.operators import scorers as T
 from cohortlens.operators import verify as V
 from cohortlens.plans import fixtures as X
-from cohortlens.plans.catalogue import _PAIRED, BY, _pairs, _purity, _seed_centroids, query, r4, r6
+from cohortlens.plans.catalogue import _LOADING, _PAIRED, BY, _pairs, _purity, _seed_centroids, query, r4, r6
 from cohortlens.plans import tables as P
 from cohortlens.session import table
 from cohortlens.sources import matrix as FM
@@ -311,3 +313,27 @@ def table_4(spark, d):
 def table_5a(spark, d):
     out = P.stability(_scored(spark, d).withColumnRenamed("x", "pac").withColumn("strong", 1 - F.col("pac")).withColumn("median_consensus", F.col("pac") / 2), "F", "O")
     return out.select("method", *[r6(c) for c in ("PAC_A", "PAC_B", "PAC_overall", "strong_consensus", "median_consensus")], "n_records")
+
+
+# ---------- one large unit
+
+
+@query(_LOADING, "emb")
+def distributed_component(spark, d):
+    _, loadings, _ = D.principal_components(X.vectors(spark, d), 1)
+    return spark.createDataFrame([("all", i, float(x)) for i, x in enumerate(loadings[:, 0])], "unit string, feature long, loading double").withColumn("loading", F.round("loading", 4))
+
+
+_LLOYD = ", c0 AS (SELECT sample AS label, pos, v FROM emb WHERE sample < 4)" + "".join(
+    f""", d{i} AS (SELECT e.sample, c.label, sum((e.v - c.v) * (e.v - c.v)) AS d2 FROM emb e JOIN c{i} c USING (pos) GROUP BY ALL), l{i} AS (SELECT sample, label FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY d2, label) AS rn FROM d{i}) WHERE rn = 1),
+c{i + 1} AS (SELECT c.label, c.pos, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT l.label, e.pos, avg(e.v) AS v FROM emb e JOIN l{i} l ON l.sample = e.sample GROUP BY l.label, e.pos) m ON m.label = c.label AND m.pos = c.pos)"""
+    for i in range(3)
+)
+
+
+@query(_LLOYD + " SELECT label, pos - 1 AS feature, round(v, 4) AS centroid FROM c3", "emb")
+def distributed_lloyd(spark, d):
+    v = X.vectors(spark, d)
+    first = np.array([r["features"] for r in v.where("sample < 4").orderBy("sample").collect()])  # four rows
+    c = D.lloyd(v, first, 3)
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(c.shape[1])], "label long, feature long, centroid double").withColumn("centroid", F.round("centroid", 4))

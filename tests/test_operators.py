@@ -150,3 +150,58 @@ def test_tables_are_written(spark, sf_dir, tmp_path):
         back = spark.read.option("header", True).csv(f"{tmp_path}/{name}")
         assert back.columns == df.columns and back.count() == df.count() > 0
     assert experiment.subsets(["b", "a"]) == [("a",), ("b",), ("a", "b")]
+
+
+def test_one_large_unit_equals_numpy(spark):
+    import numpy as np
+
+    from cohortlens.operators import distributed as D
+
+    x = np.random.default_rng(3).normal(size=(300, 6)) * [5, 3, 1, 1, 1, 1] + 2
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "sample long, features array<double>").repartition(5)
+    mean, w, var = D.principal_components(df, 2)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(var, values[::-1][:2]) and np.allclose(np.abs(w.T @ vectors[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+    got = {r["sample"]: r["scores"] for r in D.projected(df, mean, w).collect()}
+    assert np.allclose([got[i] for i in range(300)], (x - mean) @ w)
+    c = x[:3].copy()
+    for _ in range(4):
+        label = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.array([x[label == i].mean(axis=0) for i in range(3)])
+    assert np.allclose(D.lloyd(df, x[:3], 4), c)
+    assert D.principal_components(df.where("false"), 2)[1].shape == (0, 2) and np.array_equal(D.lloyd(df.where("false"), c, 2), c)
+
+
+def test_correlations_by_blocks_and_chunks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 12)) + 15
+    x[rng.random(x.shape) < 0.15] = np.nan
+    cells = [(i, j, float(x[i, j])) for i in range(40) for j in range(12) if x[i, j] == x[i, j]]
+    out = M.correlation_network(spark.createDataFrame(cells, "sample long, feature long, value double"), by=[], size=5, chunk=7).collect()
+    assert len(out) == 66
+    for r in out:
+        a, b = x[:, r["feature_a"]], x[:, r["feature_b"]]
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        assert r["feature_a"] < r["feature_b"] and r["n"] == ok.sum() and abs(r["r"] - np.corrcoef(a[ok], b[ok])[0, 1]) < 1e-9
+
+
+def test_neighbours_and_median_by_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(7).integers(0, 4, size=(60, 3)).astype(float)  # many ties and repeated rows
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "sample long, features array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    M_size = M.block_pairs.__defaults__
+    M.block_pairs.__defaults__ = (17, *M_size[1:])
+    try:
+        near = {(r["i"], r["place"]): r["j"] for r in M.nearest_samples(df, 4).collect()}
+        sigma = M.median_distance(df, bins=50).first()["sigma"]
+    finally:
+        M.block_pairs.__defaults__ = M_size
+    off = ~np.eye(60, dtype=bool)
+    assert sigma == pytest.approx(np.median(d[off & (d > 0)]))
+    for i in range(60):
+        order = sorted((d[i, j], j) for j in range(60) if j != i)[:4]
+        assert [near[i, k + 1] for k in range(4)] == [j for _, j in order]
