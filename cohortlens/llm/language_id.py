@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import map_batches, remainder
 
-PIECE, ORDERS = 1000, (1, 2, 3)
+PIECE, ORDERS, DENSE = 1000, (1, 2, 3), 1 << 21
 
 
 @cache
@@ -63,14 +63,43 @@ def pieces(points: np.ndarray) -> list[np.ndarray]:
     return [points[i * PIECE : (i + 1) * PIECE if i < n - 1 else len(points)] for i in range(n)]
 
 
-def _codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Codes of the distinct n-grams of a piece, framed by a gap, in order."""
-    framed = np.r_[0, ids, 0].astype(np.int64)
+def _all_codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Codes of the n-grams of a piece, framed by a gap, one after the other."""
+    framed = np.zeros(len(ids) + 2, dtype=np.int64)
+    framed[1:-1] = ids
     code = framed[: len(framed) - n + 1].copy()
     for k in range(1, n):
         code = code * base + framed[k : len(framed) - n + 1 + k]
-    code.sort()
-    return code[np.r_[True, code[1:] != code[:-1]]]
+    return code
+
+
+def _codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Codes of the distinct n-grams of a piece, in order."""
+    return np.unique(_all_codes(ids, n, base))
+
+
+class Grams:
+    """The columns of n-grams. Codes below ``DENSE`` are looked up in a table, others by bisection."""
+
+    def __init__(self, codes: np.ndarray, n: int, base: int):
+        self.codes, self.n, self.base, self.size = codes, n, base, len(codes)
+        self.column = None
+        if base**n <= DENSE:
+            self.column = np.full(base**n, -1, dtype=np.int32)
+            self.column[codes] = np.arange(len(codes))
+            self.seen = np.zeros(base**n, dtype=np.int32)
+
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, int]:
+        """The columns of a piece's n-grams that have one, and the number of its distinct n-grams."""
+        if self.column is None:
+            code = _codes(ids, self.n, self.base)
+            at = np.minimum(np.searchsorted(self.codes, code), self.size - 1)
+            return at[self.codes[at] == code], len(code)
+        code = _all_codes(ids, self.n, self.base)
+        own = np.arange(len(code), dtype=np.int32)
+        self.seen[code] = own  # the last of equal codes stays, whatever stood there before
+        at = self.column[code]
+        return at[at >= 0], int(np.count_nonzero(self.seen[code] == own))
 
 
 class Kernel:
@@ -78,7 +107,7 @@ class Kernel:
 
     def __init__(self, alphabet: np.ndarray):
         self.alphabet, self.base = alphabet, len(alphabet) + 2
-        self.grams: list[np.ndarray] = []
+        self.grams: list[Grams] = []
         self.weights: list[np.ndarray] = []
         self.names: list[str] = []
 
@@ -91,13 +120,12 @@ class Kernel:
 
     def presence(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """For each n the pieces by landmark n-grams matrix of presence, over the root of all distinct n-grams of the piece."""
-        out = [np.zeros((len(parts), len(g)), dtype=np.float32) for g in self.grams]
+        out = [np.zeros((len(parts), g.size), dtype=np.float32) for g in self.grams]
         for row, points in enumerate(parts):
             ids = self.ids(points)
-            for n, m, grams in zip(ORDERS, out, self.grams, strict=True):
-                code = _codes(ids, n, self.base)
-                at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
-                m[row, at[grams[at] == code]] = 1 / np.sqrt(len(code))
+            for m, grams in zip(out, self.grams, strict=True):
+                at, distinct = grams.place(ids)
+                m[row, at] = 1 / np.sqrt(distinct)
         return out
 
     def decide(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -116,7 +144,7 @@ def fit(samples: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-
     by = {lang: [i for i, (_, x) in enumerate(parts) if x == lang] for lang in names}
     chosen = [i for lang in names for i in by[lang][: max(1, landmarks // len(names))]]
     held = [kernel.ids(parts[i][0]) for i in chosen]
-    kernel.grams = [np.unique(np.concatenate([_codes(ids, n, kernel.base) for ids in held])) for n in ORDERS]
+    kernel.grams = [Grams(np.unique(np.concatenate([_codes(ids, n, kernel.base) for ids in held])), n, kernel.base) for n in ORDERS]
     marks = kernel.presence([parts[i][0] for i in chosen])
     gram = sum(m @ m.T for m in marks).astype(np.float64) / len(ORDERS)
     values, vectors = np.linalg.eigh(gram)

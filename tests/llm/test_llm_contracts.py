@@ -154,6 +154,25 @@ def test_language_kernel_matches_its_definition():
     assert [kernel.names[i] for i in kernel.decide(marks).argmax(axis=1)] == ["en", "fr", "en", "fr"]
 
 
+def test_language_of_large_alphabets():
+    """Codes beyond the table are found by bisection, with the same result."""
+    rng = random.Random(9)
+    scripts = {"zh": range(0x4E00, 0x4E00 + 900), "ko": range(0xAC00, 0xAC00 + 900), "en": range(97, 123)}
+    text = lambda lang: "".join(chr(rng.choice(scripts[lang])) if rng.random() < 0.85 else " " for _ in range(400))
+    samples = [(text(lang), lang) for lang in scripts for _ in range(12)]
+    kernel = language_id.fit(samples)
+    letters = {c for t, _ in samples for c in t.lower() if c.isalpha()}
+    assert len(kernel.alphabet) == len(letters) and [g.column is None for g in kernel.grams] == [False, True, True]
+    parts = [language_id.folded(text(lang)) for lang in scripts]
+    assert [kernel.names[i] for i in kernel.decide(parts).argmax(axis=1)] == list(scripts)
+    for g in kernel.grams:
+        table = language_id.Grams(g.codes, g.n, g.base) if g.column is not None else None
+        for p in parts:
+            ids = kernel.ids(p)
+            at, n = g.place(ids)
+            assert n == len(set(language_id._codes(ids, g.n, g.base).tolist())) and (table is None or set(at) == set(table.place(ids)[0]))
+
+
 def test_language_query_equals_kernel_ridge_with_dense_kernels(spark, docs, texts):
     """Held-out pieces against every landmark, without folded weights."""
     train = docs.where((language_id.remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
