@@ -276,7 +276,9 @@ def power_curve(sd: float, deltas: tuple[float, ...], ns: tuple[int, ...], draws
     return out
 
 
-def selection_bias(ks: tuple[int, ...], draws: int = 20_000, seed: int = 49) -> list[tuple[int, float]]:
-    """Expected largest of k standard normal values."""
-    rng = np.random.default_rng(seed)
-    return [(k, round(float(rng.normal(size=(draws, k)).max(axis=1).mean()), 4)) for k in ks]
+def selection_bias(ks: tuple[int, ...]) -> list[tuple[int, float]]:
+    """Expected largest of k standard normal values, by quadrature: what the best of k equal methods gains by chance."""
+    x = np.linspace(-9, 9, 36_001)
+    f = np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    c = np.r_[0.0, np.cumsum((f[1:] + f[:-1]) / 2) * (x[1] - x[0])]
+    return [(k, float(np.sum(x * k * f * c ** (k - 1)) * (x[1] - x[0]))) for k in ks]
