@@ -243,13 +243,18 @@ def merged(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
 
 
-def score_documents(docs: DataFrame, is_training: Column, mu: float = MU, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10)."""
+def score_documents(docs: DataFrame, is_training: Column, mu: float = MU, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10).
+
+    Chunks and ranges meet in (text / chunk) x (text / range) messages; neither
+    size changes a result. A task needs some 15 bytes of memory for a byte of its
+    chunk, and 20 for a byte of text in its range.
+    """
     make_importable(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("train"), raw_text(text).alias("raw"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_ranges = max(4, -(-total // RANGE_BYTES))
-    chunks = written(pack_documents(source, min(max(total // 1000, CHUNK_BYTES[0]), CHUNK_BYTES[1])), "chunks")
+    n_ranges = max(4, -(-total // range_bytes))
+    chunks = written(pack_documents(source, chunk_bytes or min(max(total // 1000, CHUNK_BYTES[0]), CHUNK_BYTES[1])), "chunks")
     answers = written(asked(chunks, n_ranges).groupBy("range").applyInArrow(merged, ANSWER), "answers")
     totals = answers.where("kind = 'totals'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, v = totals["n"] or 0, totals["v"] or 0
