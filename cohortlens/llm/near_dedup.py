@@ -270,9 +270,19 @@ def crowded_links(crowded: DataFrame, labels: DataFrame | None, classes: DataFra
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     salted = lambda few: few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     rows = written(rows.join(salted(mixed.select("place")), ["place", "salt"], "left_semi"), "crowded")
-    texts = docs.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("raw").alias("raw"))
-    texts = written(texts.join(classes.select("id", "sketch").hint("merge"), "id"), "crowdedtexts")
-    sized = rows.join(texts.select("id", F.octet_length("raw").alias("size")).hint("merge"), "id")
+    # the orders in which a class is crowded, as bits: a pair is compared only in the first order in which both are, at one place
+    hexed = lambda at: F.when(at <= 57, at - 48).otherwise(at - 55)
+    order = hexed(F.shiftright("place", 56).bitwiseAND(255)) * 16 + hexed(F.shiftright("place", 48).bitwiseAND(255))
+    masks = rows.withColumn("order", order.cast("int")).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, order))").alias("mask"))
+    texts = docs.join(masks.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("raw").alias("raw"))
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(r).tobytes() for r in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    texts = map_batches(texts, as_sets, "id long, shingles binary").join(masks.hint("merge"), "id").join(classes.select("id", "sig").hint("merge"), "id")
+    texts = written(texts, "crowdedsets")
+    sized = rows.join(texts.select("id", F.octet_length("shingles").alias("size")).hint("merge"), "id")
     # the members of a place's largest component lie in one component: their blocks come last and do not meet each other
     parts = written(sized.groupBy("place", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "crowdedparts")
     main = parts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
@@ -288,16 +298,34 @@ def crowded_links(crowded: DataFrame, labels: DataFrame | None, classes: DataFra
         left, right = np.flatnonzero(slot == t["i"][0].as_py()), np.flatnonzero(slot == t["j"][0].as_py())
         u, v = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         if len(left) and len(right):
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-            other = root[left][:, None] != root[right][None, :]
-            open_ = np.stack([(sketch[a] == sketch[right]).mean(axis=1) >= least for a in left]) & other
-            x, y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-            if len(x):
-                raw = t["raw"]
-                mine = [shingle_set(raw[int(k)].as_py()) for k in left[x]]
-                theirs = mine if np.array_equal(left[x], right[y]) else [shingle_set(raw[int(k)].as_py()) for k in right[y]]
-                found = np.argwhere(linked_sets(mine, theirs, similarity) & other[np.ix_(x, y)])
-                u, v = root[left[x[found[:, 0]]]], root[right[y[found[:, 1]]]]
+            open_ = root[left][:, None] != root[right][None, :]
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=">u2").reshape(-1, HASHES)
+            mask, place = t["mask"].to_numpy(), t["place"][0].as_py() & ((1 << 64) - 1)
+            here = int((place >> 48).to_bytes(2, "big").decode(), 16)
+            for earlier in range(here):
+                held = (mask >> earlier & 1).astype(bool)
+                at = (np.arange(MIN_DEPTH) + earlier * (HASHES // ORDERS)) % HASHES
+                same = np.ones(open_.shape, dtype=bool)
+                for k in at:
+                    same &= sig[left, k][:, None] == sig[right, k][None, :]
+                open_ &= ~(same & held[left][:, None] & held[right][None, :])
+            x, y = np.nonzero(open_)
+            sketch = sig.astype(np.uint8)
+            alike = [(sketch[left[x[at : at + 32768]]] == sketch[right[y[at : at + 32768]]]).mean(axis=1) >= least for at in range(0, len(x), 32768)]
+            keep = np.concatenate(alike) if alike else np.empty(0, dtype=bool)
+            x, y = left[x[keep]], right[y[keep]]
+            held_sets = t["shingles"]
+            sets = {int(k): np.frombuffer(held_sets[int(k)].as_py(), dtype=np.uint64) for k in np.unique(np.r_[x, y])}
+            rows_x, rows_y = np.unique(x), np.unique(y)
+            if len(x) > 2000:
+                mine = [sets[int(k)] for k in rows_x]
+                theirs = mine if np.array_equal(rows_x, rows_y) else [sets[int(k)] for k in rows_y]
+                linked = linked_sets(mine, theirs, similarity)[np.searchsorted(rows_x, x), np.searchsorted(rows_y, y)]
+            else:
+                common = np.array([len(np.intersect1d(sets[int(a)], sets[int(b)], assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype=np.int64)
+                union = np.array([len(sets[int(a)]) + len(sets[int(b)]) for a, b in zip(x, y, strict=True)], dtype=np.int64) - common
+                linked = 100 * common >= similarity * union
+            u, v = root[x[linked]], root[y[linked]]
         pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
         return pa.table({"u": pa.array(pairs[0], pa.int64()), "v": pa.array(pairs[1], pa.int64())})
 
