@@ -19,7 +19,7 @@ def planted():
     return truth, [K.standardised(x) for x in layers]
 
 
-@pytest.mark.parametrize("method", sorted(set(L.METHODS) - {"snf"}))
+@pytest.mark.parametrize("method", sorted(set(L.METHODS) - {"snf", "snf_scaled"}))
 def test_methods_find_planted_clusters(planted, method):
     truth, layers = planted
     found = L.METHODS[method](layers)
@@ -32,6 +32,10 @@ def test_fusion(planted):
     label, _ = K.kmeans(K.spectral(K.fused(layers), 2), 3)
     assert K.ari(label, truth) > 0.8
     np.testing.assert_allclose(K.fused(layers[:1]), K.knn_affinity(layers[0]))
+    plain, scaled = (K.spectral(K.fused(layers), 3, scaled=s) for s in (False, True))
+    sizes = np.linalg.norm(scaled, axis=0) / np.linalg.norm(plain, axis=0)  # the roots of the eigenvalues: at most 1, falling
+    np.testing.assert_allclose(scaled, plain * sizes)
+    assert 1 >= sizes[0] >= sizes[1] >= sizes[2] > 0
 
 
 def test_weighted_and_plain_components_agree_after_scaling(planted):
