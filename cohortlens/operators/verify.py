@@ -17,8 +17,8 @@ def numbers_in(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def nested_numbers(df: DataFrame, key: str, json: str, bound: float) -> DataFrame:
-    """Numbers that stand as values anywhere in a JSON text, with |x| <= bound."""
-    found = F.explode(F.regexp_extract_all(F.col(json), F.lit(r"[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,\]}]"), 1))
+    """Numbers that stand as values anywhere in a JSON text, in objects and arrays alike, with |x| <= bound."""
+    found = F.explode(F.regexp_extract_all(F.col(json), F.lit(r"[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)(?=\s*[,\]}])"), 1))
     return df.select(key, found.alias("x")).select(key, F.col("x").cast("double").alias("x")).where(F.abs("x") <= bound)
 
 

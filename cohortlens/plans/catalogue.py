@@ -115,11 +115,11 @@ def complete_samples(spark, d):
     return J.in_all(X.presence(spark, d), "sample", "layer", ["cohort"])
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 7 = 1)
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')
 SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' AS side FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def set_difference_both_ways(spark, d):
     o = table(spark, d, "orders").withColumn("k", F.col("o_custkey"))
-    return J.only_on_one_side(o.where("o_orderkey % 7 = 0"), o.where("o_orderkey % 7 = 1"), ["k"])
+    return J.only_on_one_side(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["k"])
 
 
 @query("""SELECT side, method, count(*) AS n, round(avg(ari), 6) AS mean_ari FROM (SELECT 'first' AS side, method, ari FROM records WHERE domain = 'F' UNION ALL SELECT 'second', method, ari FROM records WHERE domain = 'O') GROUP BY ALL""", "records")
@@ -763,9 +763,11 @@ def evidence_ledger(spark, d):
     return V.ledger(claims, r.where("nlay < 3").select("artefact", "key", F.col("ari").alias("value"))).select("artefact", "key", "verdict")
 
 
-@query(r"""SELECT event_id, CAST(unnest(regexp_extract_all(props, '[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,\]}]', 1)) AS DOUBLE) AS x FROM events""")
+# RE2 has no look-ahead: each comma is doubled, so that a number and the next one have a separator each
+@query(r"""SELECT event_id, CAST(unnest(regexp_extract_all(replace(concat('{"at":[', event_id, ',', user_id, ', -2.5],"p":', props, '}'), ',', ',,'), '[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,\]}]', 1)) AS DOUBLE) AS x FROM events""")
 def nested_numbers(spark, d):
-    return V.nested_numbers(table(spark, d, "events"), "event_id", "props", 1e9)
+    made = F.concat(F.lit('{"at":['), F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(', -2.5],"p":'), F.coalesce("props", F.lit("")), F.lit("}"))
+    return V.nested_numbers(table(spark, d, "events").select("event_id", made.alias("nested")), "event_id", "nested", 1e9)
 
 
 @query("SELECT cohort, sample, count(*) AS n_features, round(sum(v * pos), 4) AS checksum FROM emb GROUP BY ALL", "emb")

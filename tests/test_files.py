@@ -43,3 +43,9 @@ def test_tracing(spark):
     claims = spark.createDataFrame([("c1", "t", "k1", 0.5), ("c2", "t", "k2", 0.5), ("c3", "t", "k3", 0.5)], "claim string, artefact string, key string, value double")
     evidence = spark.createDataFrame([("t", "k1", 0.50001), ("t", "k2", 0.7)], "artefact string, key string, value double")
     assert {r["claim"]: r["verdict"] for r in V.ledger(claims, evidence).collect()} == {"c1": "agrees", "c2": "differs", "c3": "no evidence"}
+
+
+def test_nested_numbers(spark):
+    rows = [(1, "[1,2,3]"), (2, '{"a": [ 4 , -5.5], "b": {"c": 6e1}, "d": "7", "e": 2e9}'), (3, None), (4, ""), (5, "[8, 8]")]
+    got = V.nested_numbers(spark.createDataFrame(rows, "k int, j string"), "k", "j", 1e9)
+    assert sorted((r["k"], r["x"]) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, -5.5), (2, 4), (2, 60), (5, 8), (5, 8)]
