@@ -73,6 +73,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.spelling import spelling_query
+
+    return spelling_query(table(spark, sf_dir, "documents"))
+
+
 #: A-Z to a-z and nothing else.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,6 +139,41 @@ SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS
 FROM documents d LEFT JOIN clean c ON d.doc_id = c.doc_id
 """
 
+#: The CRC is taken byte by byte with the usual table; near words share a mask of one position, or one is the other without a code point.
+OP12_SQL = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS n FROM found WHERE length(w) >= 6 GROUP BY ALL),
+spelt AS (
+  SELECT doc_id, w, n, list_concat([4294967295], flatten(list_transform(string_split(concat(CAST(doc_id AS VARCHAR), ':', w), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END))) AS b FROM counted),
+hashed AS (
+  SELECT w, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS h FROM spelt CROSS JOIN crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN concat(substring(w, 1, h % length(w)), substring(w, h % length(w) + 2)) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (
+  SELECT word, n, i, concat(substring(word, 1, i - 1), substring(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word UNION
+  SELECT a.word, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest UNION
+  SELECT b.word, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest),
+best AS (
+  SELECT word, other, n AS m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS rn FROM near),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND rn = 1),
+walk AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NOT NULL),
+ends AS (SELECT k.word, k.at AS root FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
@@ -140,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_line_spread": OP10_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_line_spread": OP10_SQL, "op12_spelling": OP12_SQL}
