@@ -73,6 +73,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.neighbours import neighbour_query
+
+    return neighbour_query(table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.spelling import spelling_query
 

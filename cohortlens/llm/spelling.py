@@ -7,17 +7,17 @@ word, where that is frequent enough; the root follows forms to the last.
 
 A word of L code points has L - 1 positional 2-grams. One edit leaves at least
 L - 3 of them at their places (replaced), or L - 2 of the shorter word's at the
-same place or one further (inserted). So two near words share a gram among the
-first three of each in any one order of the grams; rare grams come first. That
-routes words: an index row for each of its three grams (length, gram, place),
-and a probe row for each place where the partner's gram may lie. A task builds
-the postings of all grams of the words routed to a key, merges for each probe
-the postings of its grams at the places allowed with a heap, and keeps words
-that reach the bound; those are verified.
+same place or one further (inserted): the one-edit overlap bound. It also leaves
+one half of the longer word whole, and with it all grams of that half. That
+routes words: an index row for each half (length, which half, its letters), and
+a probe row for each half of a partner that the word may have. A task holds the
+postings of the other grams of the words of a key; for each probe it merges the
+shortest postings of its grams at the places allowed with a heap, counts the long
+ones by binary search, and keeps words that reach the bound; those are verified.
 
 A key with many rows is dealt out as a grid of index and probe blocks; nothing
-is capped. Words of fewer than four code points share no gram by this bound and
-are refused.
+is capped. Words of fewer than six code points are refused: half a word then
+takes the bound by itself.
 
 Null, empty and letterless texts give no word; an id that is null counts as the
 empty text; a repeated row counts again; ties go to the smallest word; an empty
@@ -27,6 +27,7 @@ table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,10 +39,6 @@ from cohortlens.llm.common import map_batches, written
 
 #: Letters of a word, lower-cased in ASCII.
 LETTERS = "a-z\\u00C0-\\u00FF"
-#: Grams of a word that route it.
-ROUTES = 3
-#: The most frequent grams have a rank; all others come first. Any order is right, so this bounds the driver's table and loses nothing.
-RANKED = 1 << 16
 #: Rows of a key that one task indexes, and that it probes with.
 BLOCK = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,14 +69,12 @@ def vocabulary(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
-def grams_of(word: str) -> list[str]:
-    return [word[i : i + 2] for i in range(len(word) - 1)]
-
-
-def routes(word: str, rank: dict[str, int]) -> list[tuple[str, int]]:
-    """The rarest three grams and their places."""
-    placed = sorted((rank.get(g, -1), g, p) for p, g in enumerate(grams_of(word)))
-    return [(g, p) for _, g, p in placed[:ROUTES]]
+def routes(word: str) -> list[tuple[int, int, str, int]]:
+    """Keys (length, half, letters) and roles: 0 holds the word; 1 asks for words of its length, 2 for longer ones."""
+    n, half, wide = len(word), len(word) // 2, (len(word) + 1) // 2
+    own = [(n, 0, word[:half]), (n, 1, word[half:])]
+    longer = [(n + 1, 0, word[:wide]), (n + 1, 1, word[wide - 1 :])]
+    return [(*key, role) for key in own for role in (0, 1)] + [(*key, 2) for key in longer]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -96,52 +91,56 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Postings:
-    """The words of one key by positional gram, in the order of arrival."""
+    """The words of one key by positional gram outside the half that they share, in the order of arrival."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int, part: int) -> None:
+        self.half = size // 2
+        self.part, self.shared = part, (size - self.half if part else self.half) - 1
         self.words: list[tuple[str, int]] = []
         self.lists: dict[tuple[str, int], list[int]] = {}
 
     def add(self, word: str, n: int) -> None:
         at = len(self.words)
         self.words.append((word, n))
-        for p, g in enumerate(grams_of(word)):
-            self.lists.setdefault((g, p), []).append(at)
+        for p in range(self.half) if self.part else range(self.half - 1, len(word) - 1):
+            self.lists.setdefault((word[p : p + 2], p), []).append(at)
 
     def near(self, word: str, longer: bool) -> Iterator[tuple[str, int]]:
         """Held words one edit from ``word``: one code point longer, or of its length and smaller."""
-        grams, get = grams_of(word), self.lists.get
+        get, least = self.lists.get, len(word) - (2 if longer else 3) - self.shared
+        places = range(self.half - 1, len(word) - 1) if not self.part else range(self.half - longer)
         if longer:
-            least, held = len(word) - 2, [x for p, g in enumerate(grams) for d in (0, 1) if (x := get((g, p + d)))]
+            held = [[x for d in (0, 1) if (x := get((word[p : p + 2], p + d)))] for p in places]
         else:
-            least, held = len(word) - 3, [x for p, g in enumerate(grams) if (x := get((g, p)))]
-        if len(held) < least:
+            held = [[x] if (x := get((word[p : p + 2], p))) else [] for p in places]
+        if sum(map(bool, held)) < least:
             return
-        for at, same in groupby(heapq.merge(*held)):
-            if sum(1 for _ in same) >= least and (longer or self.words[at][0] < word) and one_edit(word, self.words[at][0]):
+        held.sort(key=lambda lists: sum(map(len, lists)))
+        # a word in `least` of the lists is in one of the shortest `few`: those are merged, the long ones are only looked into
+        few = len(held) - least + 1
+        for at, same in groupby(heapq.merge(*[x for lists in held[:few] for x in lists])):
+            count = sum(1 for _ in same)
+            for left, lists in zip(range(len(held) - few, 0, -1), held[few:], strict=True):
+                if count >= least or count + left < least:
+                    break
+                count += any(x[i] == at for x in lists if (i := bisect_left(x, at)) < len(x))
+            if count >= least and (longer or self.words[at][0] < word) and one_edit(word, self.words[at][0]):
                 yield self.words[at]
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """word, near, near_n: every ordered pair of words (column ``word``, distinct, with ``n``) one edit apart."""
-    if words.where(F.char_length("word") < 4).limit(1).count():
-        raise ValueError("words of fewer than four code points cannot be indexed by 2-grams")
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("g")
-    common = words.select(grams).groupBy("g").count().orderBy(F.desc("count"), "g").limit(RANKED).collect()
-    rank = {r["g"]: i for i, r in enumerate(reversed(common))}
+    key = ["length", "part", "letters"]
+    if words.where(F.char_length("word") < 6).limit(1).count():
+        raise ValueError("words of fewer than six code points cannot be told apart by halves and 2-grams")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, gram, place, probe, word, n = ([] for _ in range(6))
-            for w, k in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
-                for g, p in routes(w, rank):
-                    size = len(w)
-                    for to, at, role in ((size, p, 0), (size, p, 1), (size + 1, p, 2), (size + 1, p + 1, 2)):
-                        length.append(to), gram.append(g), place.append(at), probe.append(role), word.append(w), n.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(gram, pa.string()), pa.array(place, pa.int32()), pa.array(probe, pa.int32()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["length", "gram", "place", "probe", "word", "n"])
-
-    key = ["length", "gram", "place"]
-    routed = written(map_batches(words.select("word", "n"), route, "length int, gram string, place int, probe int, word string, n long"), "routes")
+            rows = [(*to, w, n) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True) for to in routes(w)]
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*key, "probe", "word", "n"])
+
+    routed = written(map_batches(words.select("word", "n"), route, "length int, part int, letters string, probe int, word string, n long"), "routes")
     # keys with more than a block of rows: at most rows / block of them; the others stay whole
     large = routed.groupBy(*key).agg(F.count_if(F.col("probe") == 0).alias("held"), F.count_if(F.col("probe") > 0).alias("asked")).where((F.col("held") > block) | (F.col("asked") > 3 * block))
     across = lambda count, size: F.coalesce(F.ceil(F.col(count) / size).cast("int"), F.lit(1))
@@ -153,13 +152,13 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.select(*blocks, "probe", "word", "n").repartition(*blocks).sortWithinPartitions(*blocks, "probe", "word")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index = None, Postings()
+        at, index = None, Postings(0, 0)
         for b in batches:
             word, near, n = [], [], []
             columns = [b[c].to_pylist() for c in (*blocks, "probe", "word", "n")]
             for *where, probe, w, k in zip(*columns, strict=True):
                 if where != at:
-                    at, index = where, Postings()
+                    at, index = where, Postings(where[0], where[1])
                 if probe == 0:
                     index.add(w, k)
                 elif index.words:
