@@ -7,12 +7,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cohortlens.operators import clustering as C
 from cohortlens.operators import kernels as K
+from cohortlens.operators import scorers as T
 
 #: Feature constructors: layers of a unit to a samples x columns array.
 METHODS: dict[str, Callable[[list[np.ndarray]], np.ndarray]] = {
@@ -92,32 +96,77 @@ def linkage_clusters(blocks: DataFrame, unit: Sequence[str], k: int, kind: str =
     return grouped(blocks, unit, run, "sample long, label int")
 
 
-def transfer(blocks: DataFrame, unit: Sequence[str], side: str, method: str, ks: tuple[int, ...] = (3, 4, 5), seed: int = 49, reference: str = "fixed") -> DataFrame:
-    """Centroids learned on the first side assign the second; ARI with a reference partition of the second.
+def joint_features(blocks: DataFrame, unit: Sequence[str], side: str, method: str) -> DataFrame:
+    """Features of a method made for both sides of a unit together, standardised on each side: side, sample, features, err.
 
-    ``reference``: ``fixed`` clusters the standardised data whatever the method,
-    ``self`` clusters the method's own features. Errors become records.
+    A unit that fails is one row with its message and no features.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        sides = sorted(pdf[side].unique())
-        for k in ks:
-            row = {"k": k, "ari": np.nan, "degen_labels": None, "max_fraction": np.nan, "n_a": 0, "n_b": 0, "err": None}
-            try:
-                (sa, xa), (sb, xb) = (layers_of(pdf[pdf[side] == s]) for s in sides)
-                joint = METHODS[method]([np.vstack(p) for p in zip(xa, xb, strict=True)])
-                fa, fb = K.standardised(joint[: len(sa)]), K.standardised(joint[len(sa) :])
-                _, centroids = K.kmeans(fa, k, seed, starts=20)
-                given = K.distances2(fb, centroids).argmin(axis=1)
-                wanted, _ = K.kmeans(np.hstack(xb) if reference == "fixed" else fb, k, seed, starts=20)
-                row |= {"ari": round(K.ari(given, wanted), 4), "degen_labels": int(len(np.unique(given)) < 2), "max_fraction": round(float(np.bincount(given).max() / len(given)), 4), "n_a": len(sa), "n_b": len(sb)}
-            except Exception as e:  # a failed unit is a record, not the end of the benchmark
-                row["err"] = str(e)[:70]
-            rows.append(row)
-        return pd.DataFrame(rows)
-
-    return grouped(blocks, unit, run, "k int, ari double, degen_labels int, max_fraction double, n_a int, n_b int, err string")
+        try:
+            sides = sorted(pdf[side].unique())
+            if len(sides) != 2:
+                raise ValueError(f"needs two sides, has {len(sides)}")
+            held = [layers_of(pdf[pdf[side] == s]) for s in sides]
+            joint = METHODS[method]([np.vstack(p) for p in zip(*(xs for _, xs in held), strict=True)])
+            cut = len(held[0][0])
+            parts = [pd.DataFrame({side: s, "sample": samples, "features": K.standardised(f).tolist(), "err": None}) for s, (samples, _), f in zip(sides, held, (joint[:cut], joint[cut:]), strict=True)]
+            return pd.concat(parts)
+        except Exception as e:  # a failed unit is a record, not the end of the benchmark
+            return pd.DataFrame([{side: None, "sample": None, "features": None, "err": str(e)[:70]}])
+
+    return grouped(blocks, unit, run, f"{side} {blocks.schema[side].dataType.simpleString()}, sample long, features array<double>, err string")
+
+
+def transfers(blocks: DataFrame, unit: Sequence[str], side: str, methods: Sequence[str], ks: tuple[int, ...] = (3, 4, 5), seed: int = 49, reference: str = "fixed", starts: int = 20, steps: int = 50, least_samples: int = 1, least_features: int = 1) -> DataFrame:
+    """Centroids learned on the first side assign the second; ARI with a reference partition of the second.
+
+    ``reference``: ``fixed`` clusters the standardised data, once whatever the
+    methods; ``self`` clusters each method's own features. All models (unit,
+    method, side, k, start) are fitted together, and no task holds a unit but where
+    a method's features are made (``kmeans`` has none). A unit without two sides,
+    with fewer complete samples on a side or features in a layer than the least, or
+    whose features fail, is a record with a message; nothing of it is fitted.
+    """
+    own, tagged = list(unit), [*unit, "method"]
+    plain = C.standard_points(blocks, [*own, side])
+    plain = C.stored(plain)
+    held = plain.groupBy(*own, side).agg(F.count("*").alias("_n")).groupBy(*own).agg(F.min("_n").alias("_n"), F.count("*").alias("_sides"))
+    sides = blocks.groupBy(*own).agg(F.array_sort(F.collect_set(side)).alias("_s"), F.min(F.size("features")).alias("_f")).join(held, own, "left")
+    few = F.when(F.size("_s") != 2, F.concat(F.lit("needs two sides, has "), F.size("_s").cast("string")))
+    few = few.when(F.coalesce("_sides", F.lit(0)) < 2, "a side has no complete sample").when(F.col("_n") < least_samples, F.concat(F.lit("fewer complete samples on a side than "), F.lit(str(least_samples))))
+    sides = C.stored(sides.withColumn("_few", few.when(F.col("_f") < least_features, F.concat(F.lit("fewer features in a layer than "), F.lit(str(least_features))))))
+    fair = sides.where("_few is null")
+    blocks = blocks.join(fair.select(*own), own, "left_semi")
+    made = [joint_features(blocks, unit, side, m).withColumn("method", F.lit(m)) for m in methods if m != "kmeans"]
+    made = C.stored(reduce(DataFrame.unionByName, made)) if made else None
+    points = [plain.withColumn("method", F.lit("kmeans"))] if "kmeans" in methods else []
+    points += [made.where("err is null").drop("err")] if made is not None else []
+    points = reduce(DataFrame.unionByName, points)
+    of = lambda rows, i: rows.join(fair.select(*own, F.col("_s")[i].alias(side)), [*own, side], "left_semi")
+    first, second = of(points, 0), of(points, 1)
+    # one fit for all: the reference partitions are models of their own, of no method where they are the same for all
+    base = of(plain.withColumn("method", F.lit("")), 1) if reference == "fixed" else second
+    on = own if reference == "fixed" else tagged
+    role = lambda rows, r: rows.select(*tagged, F.lit(r).alias("_role"), "sample", "features")
+    fitted = C.fit(role(first, "first").unionByName(role(base, "reference")), [*tagged, "_role"], ks, starts, seed, steps)
+    given = C.stored(C.assigned(second, fitted.where("_role = 'first'"), tagged).select(*tagged, "k", "sample", F.col("label").alias("given")))
+    wanted = C.assigned(base, fitted.where("_role = 'reference'"), on).select(*on, "k", "sample", F.col("label").alias("wanted"))
+    both = given.join(wanted, [*on, "k", "sample"])
+    score = T.adjusted_rand(both, "given", "wanted", [*tagged, "k"]).select(*tagged, "k", F.round("ari", 4).alias("ari"))
+    balance = T.cluster_balance(given, "given", [*tagged, "k"]).select(*tagged, "k", (F.col("n_clusters") < 2).cast("int").alias("degen_labels"), F.round("max_fraction", 4).alias("max_fraction"))
+    count = lambda rows, name: rows.groupBy(*tagged).agg(F.count("*").cast("int").alias(name))
+    grid = sides.select(*own, F.explode(F.array(*map(F.lit, methods))).alias("method"), "_few").select(*tagged, F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"), "_few")
+    for part, keys in ((score, [*tagged, "k"]), (balance, [*tagged, "k"]), (count(first, "n_a"), tagged), (count(second, "n_b"), tagged)):
+        grid = grid.join(part, keys, "left")
+    grid = grid.withColumn("_err", F.lit(None).cast("string")) if made is None else grid.join(made.where("err is not null").select(*tagged, F.col("err").alias("_err")), tagged, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return grid.select(*tagged, "k", "ari", "degen_labels", "max_fraction", zero("n_a"), zero("n_b"), F.coalesce("_few", "_err").alias("err"))
+
+
+def transfer(blocks: DataFrame, unit: Sequence[str], side: str, method: str, ks: tuple[int, ...] = (3, 4, 5), seed: int = 49, reference: str = "fixed", starts: int = 20, steps: int = 50) -> DataFrame:
+    """``transfers`` of one method."""
+    return transfers(blocks, unit, side, [method], ks, seed, reference, starts, steps).drop("method")
 
 
 def bootstrap_labels(blocks: DataFrame, unit: Sequence[str], method: str, k: int, replicates: int = 12, seed: int = 49) -> DataFrame:

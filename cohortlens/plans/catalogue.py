@@ -796,11 +796,6 @@ for _name, _method in {"pca_features": "pca", "nmf_features": "nmf", "spectral_f
     _FOUND[_name] = (_features(_method), None)
 
 
-@query()
-def kmeans_transfer(spark, d):
-    return L.transfer(X.blocks(spark, d), ["domain"], "cohort", "kmeans")
-
-
 @query()
 def coassociation_linkage(spark, d):
     return L.linkage_clusters(X.blocks(spark, d), ["cohort"], 4)
@@ -813,7 +808,7 @@ def fusion_linkage(spark, d):
 
 @query()
 def benchmark_grid(spark, d):
-    return B.benchmark(X.blocks(spark, d), "cohort", sorted(L.METHODS), (3, 4, 5))
+    return B.benchmark(X.blocks(spark, d), "cohort", sorted(L.METHODS), (3, 4, 5), least_features=32)
 
 
 @query()
@@ -915,4 +910,4 @@ def daily_event_profile(spark, d):
 
 
 
-from cohortlens.plans import catalogue_files, catalogue_more  # noqa: E402, F401  (register their queries)
+from cohortlens.plans import catalogue_files, catalogue_learners, catalogue_more  # noqa: E402, F401  (register their queries)
