@@ -74,7 +74,7 @@ def standard_points(blocks: DataFrame, unit: Sequence[str]) -> DataFrame:
     return scaled.groupBy(*unit, "sample").agg(F.flatten(side_by_side).alias("features"))
 
 
-def _pass(points: DataFrame, first: int, last: int, work: Callable[[int, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[tuple[int, int], np.ndarray]:
+def add_up(points: DataFrame, first: int, last: int, work: Callable[[int, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[tuple[int, int], np.ndarray]:
     """``work`` gives (part, array) for the rows of one unit at hand; the arrays of a unit and part are added up over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _candidates(points: DataFrame, first: int, last: int, most: int, starts: int
         def total(unit: int, sample: np.ndarray, x: np.ndarray, held=held) -> Iterator[tuple[int, np.ndarray]]:
             yield 0, np.array([distances2(x, held[unit, s]).min(axis=1).sum() for s in range(starts)])
 
-        cost = _pass(points, first, last, total)
+        cost = add_up(points, first, last, total)
 
         def chosen(unit: int, sample: np.ndarray, x: np.ndarray, held=held, cost=cost, step=step) -> list[np.ndarray]:
             out = []
@@ -172,7 +172,7 @@ def _candidates(points: DataFrame, first: int, last: int, most: int, starts: int
         for s in range(starts):
             yield s, np.bincount(distances2(x, held[unit, s]).argmin(axis=1), minlength=len(held[unit, s])).astype(float)
 
-    weights = _pass(points, first, last, nearest)
+    weights = add_up(points, first, last, nearest)
     return {k: (x, np.pad(weights[k], (0, len(x) - len(weights[k])))) for k, x in held.items()}
 
 
@@ -227,7 +227,7 @@ def _fit_units(points: DataFrame, first: int, last: int, ks: Sequence[int], star
 
         if not moving and step < steps:
             continue
-        added = _pass(points, first, last, sums)
+        added = add_up(points, first, last, sums)
         if step == steps:
             break
         moved = set()

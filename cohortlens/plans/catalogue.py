@@ -792,7 +792,7 @@ def _features(method):
     return run
 
 
-for _name, _method in {"pca_features": "pca", "nmf_features": "nmf", "spectral_features": "spectral", "snf_features": "snf", "coassociation": "coassociation", "mcca_lite": "mcca_lite", "mofa_lite": "mofa_lite", "mfa": "mfa", "intnmf": "intnmf", "block_pls": "block_pls", "icluster": "icluster", "mofa": "mofa"}.items():
+for _name, _method in {"pca_features": "pca", "nmf_features": "nmf", "snf_features": "snf", "coassociation": "coassociation", "mcca_lite": "mcca_lite", "mofa_lite": "mofa_lite", "mfa": "mfa", "intnmf": "intnmf", "block_pls": "block_pls", "icluster": "icluster", "mofa": "mofa"}.items():
     _FOUND[_name] = (_features(_method), None)
 
 
