@@ -36,6 +36,8 @@ TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "select", "svg", "math", "object", "canvas", "audio", "video"}
+#: Where raw text ends: in any case of ASCII letters, whatever other letters the page has.
+ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "map", "nobr", "center"}
 #: What a start tag closes, and where the search for it ends.
@@ -110,7 +112,7 @@ def is_template(tag: str, attributes: str) -> int:
 def parse(page: str) -> Node:
     """The tree of blocks of a page."""
     root = at = Node("#page", None)
-    place, link, low = 0, 0, None
+    place, link = 0, 0
     for_text: list[str] = []
     opened: Counter[str] = Counter()  # tags of the blocks that are open, so that no search for one goes in vain
 
@@ -158,11 +160,10 @@ def parse(page: str) -> Node:
         if tag in RAW:
             if closing or m[3].rstrip().endswith("/"):
                 continue
-            low = page.lower() if low is None and len(page) == len(page.lower()) else low
-            end = (low or page).find(f"</{tag}", place)
-            if end < 0:
+            end = ENDS[tag].search(page, place)
+            if end is None:
                 break
-            stop = page.find(">", end)
+            stop = page.find(">", end.start())
             place = size if stop < 0 else stop + 1
             for_text.append(" ")
             continue

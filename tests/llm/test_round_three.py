@@ -216,3 +216,14 @@ def test_cells_hold_every_point_within_their_boxes():
     assert cell.min() >= 0 and cell.max() < 16 and len(set(cell[:1500])) == 1
     leaves = neighbours.leaves_of(x)
     assert sorted(np.concatenate(leaves)) == list(range(5000)) and max(map(len, leaves)) <= neighbours.LEAF
+
+
+# ---------- 4: raw text ends in any case
+
+
+@pytest.mark.parametrize("letter", ["I", "İ", "ß", "K"])
+def test_raw_text_ends_whatever_letters_the_page_has(letter):
+    from cohortlens.llm.html_extract import extract
+
+    page = f"<html><head><TITLE>t</Title></head><body><article><p>First part {letter} of it.</p><SCRIPT>var x = '<p>no</p>';</SCRIPT><p>Second part, after the script.</p><Style>p {{}}</sTYLE><p>Third.</p></article></body></html>"
+    assert extract(page) == f"First part {letter} of it.\nSecond part, after the script.\nThird."
