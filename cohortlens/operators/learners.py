@@ -80,22 +80,6 @@ def clusters(blocks: DataFrame, unit: Sequence[str], method: str, k: int, seed:
     return grouped(blocks, unit, run, "sample long, label int")
 
 
-def linkage_clusters(blocks: DataFrame, unit: Sequence[str], k: int, kind: str = "coassociation") -> DataFrame:
-    """Average linkage on a consensus: co-association of layer clusterings, or the fused network."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        samples, xs = layers_of(pdf)
-        if kind == "coassociation":
-            member = K.coassociation(xs)
-            near = member @ member.T / max(float(member.sum(axis=1).max()), 1.0)
-        else:
-            near = K.fused(xs)
-            near = near / max(float(near.max()), 1e-12)
-        return pd.DataFrame({"sample": samples, "label": K.average_linkage(1 - (near + near.T) / 2, k).astype(int)})
-
-    return grouped(blocks, unit, run, "sample long, label int")
-
-
 def joint_features(blocks: DataFrame, unit: Sequence[str], side: str, method: str) -> DataFrame:
     """Features of a method made for both sides of a unit together, standardised on each side: side, sample, features, err.
 
