@@ -792,10 +792,15 @@ def _features(method):
     return run
 
 
-for _name, _method in {"pca_features": "pca", "nmf_features": "nmf", "mcca_lite": "mcca_lite", "mofa_lite": "mofa_lite", "mfa": "mfa", "intnmf": "intnmf", "block_pls": "block_pls", "icluster": "icluster", "mofa": "mofa"}.items():
+for _name, _method in {"pca_features": "pca", "nmf_features": "nmf", "snf_features": "snf", "mcca_lite": "mcca_lite", "mofa_lite": "mofa_lite", "mfa": "mfa", "intnmf": "intnmf", "block_pls": "block_pls", "icluster": "icluster", "mofa": "mofa"}.items():
     _FOUND[_name] = (_features(_method), None)
 
 
+@query()
+def fusion_linkage(spark, d):
+    return L.linkage_clusters(X.blocks(spark, d), ["cohort"], 4, "fusion")
+
+
 @query()
 def benchmark_grid(spark, d):
     return B.benchmark(X.blocks(spark, d), "cohort", sorted(L.METHODS), (3, 4, 5), least_features=32)
