@@ -4,13 +4,16 @@ A page becomes a tree of its block elements (inline elements only mark links).
 Blocks of templates (navigation, headers, footers, sidebars, notices, adverts,
 forms, reader comments, hidden parts) are pruned by element, role and the words
 of class and id. Forms, and blocks that only such words mark, stay where they
-hold more than half of the page's prose and no article stands beside them: then
-they wrap the article. Every remaining paragraph, that is a block's own run of
+hold more than half of the page's prose, with a title or nearly all of it, and
+no article stands beside them: then they wrap the article. Inside an article, words that as often name a topic
+(legal, rating, warning) only cost a block points: it stays where its own prose
+earns more. Lists of links are menus, but not inside an article under a heading
+or where the links are titles. Every remaining paragraph, that is a block's own run of
 text, passes points for its length and its commas to its ancestors, all to the
 parent and half as much with each level further up. A container's points are
 discounted by the share of its text that stands in links. The best container is
 kept with all its siblings that are no templates and not mostly links, in page
-order; directly in the body, sibling containers must also score well enough.
+order; a container that holds all the text of its parent stands for the parent.
 
 Defined cases: null and empty pages, and pages without text, give the empty
 text; unclosed and misnested tags are closed as browsers do; a comment, script
@@ -35,11 +38,13 @@ from cohortlens.llm.common import map_batches
 TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|[!?/])""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "select", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "select", "svg", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
 #: Where raw text ends: in any case of ASCII letters, whatever other letters the page has.
-ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
+ENDS = {tag: re.compile(f"<(/?){tag}(?=[\\s/>])", re.IGNORECASE | re.ASCII) for tag in RAW}
+#: Of these an inner one ends before the outer one does.
+NESTED = {"svg", "object", "template", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "map", "nobr", "center"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "map", "nobr", "center", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mphantom", "menclose", "mtable", "mtr", "mtd", "semantics"}
 #: What a start tag closes, and where the search for it ends.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"})}
 PRUNED = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset", "head"}
@@ -54,16 +59,24 @@ NEUTRAL = set("area bar block bottom box bottoms container global inner item lef
 NOT_ITSELF = {"with", "has", "no", "without", "hide"}
 #: Words of reader comments: a block of these does not become the article by its length.
 READERS = set("comment comments commentlist discussion disqus reply replies respond responses shoutbox feedback rating ratings".split())
+#: Of those, words that may also wrap an article.
+RATED = {"discussion", "feedback", "rating", "ratings"}
+#: Template words that as often name a topic: inside an article each block of them has to earn its place.
+TOPICS = set("alert feedback follow hidden legal overlay discussion rating ratings recommendations recommended register related search share sharing skip social tags warning".split())
+#: What such a word costs: no share bar or list of tags earns it, a paragraph does.
+COST = 2.5
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: From this many characters an item on, a list of links is one of titles.
+TITLE = 25
 #: How sure it is that a block is a template.
-NO, SOFT, HARD = 0, 1, 2
+NO, TOPIC, SOFT, HARD = 0, 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "pruned", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "down", "pruned", "points", "chars", "linked", "inside")
 
-    def __init__(self, tag: str, up: Node | None, pruned: int = NO):
-        self.tag, self.up, self.pruned = tag, up, pruned
+    def __init__(self, tag: str, up: Node | None, pruned: int = NO, inside: bool = False):
+        self.tag, self.up, self.pruned, self.inside = tag, up, pruned, inside  # inside an article or main
         self.down: list[Node | tuple[str, bool]] = []  # child blocks and (text, in a link) runs
         self.points, self.chars, self.linked = 0.0, 0, 0
 
@@ -83,8 +96,8 @@ def named(value: str) -> list[str]:
     return out
 
 
-def is_template(tag: str, attributes: str) -> int:
-    """Whether a block belongs to the page's frame rather than its article."""
+def is_template(tag: str, attributes: str, inside: bool = False) -> int:
+    """Whether a block belongs to the page's frame rather than its article; ``inside`` an article some words tell less."""
     if tag in PRUNED:
         return HARD
     if tag in ("html", "body"):
@@ -105,7 +118,9 @@ def is_template(tag: str, attributes: str) -> int:
     names = kind + own
     marked = [w for w in names if w in TEMPLATE]
     if marked and not (any(w in BODY for w in names) and not {"comment", "comments", "sidebar", "ad", "ads", "advert", "related", "footer", "nav", "notice"} & set(marked)):
-        return HARD if READERS & set(marked) else max(sure, SOFT)
+        if sure == NO and inside and set(marked) <= TOPICS:
+            return TOPIC
+        return HARD if (READERS - RATED) & set(marked) else max(sure, SOFT)
     return sure
 
 
@@ -160,7 +175,12 @@ def parse(page: str) -> Node:
         if tag in RAW:
             if closing or m[3].rstrip().endswith("/"):
                 continue
-            end = ENDS[tag].search(page, place)
+            end, depth = ENDS[tag].search(page, place), 1
+            while end is not None:
+                depth += 0 if tag not in NESTED and not end[1] else -1 if end[1] else 1
+                if depth == 0:
+                    break
+                end = ENDS[tag].search(page, end.end())
             if end is None:
                 break
             stop = page.find(">", end.start())
@@ -212,13 +232,24 @@ def parse(page: str) -> Node:
                     at = closed_up_to(node.up, at)
         if at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS:  # a block ends an open paragraph
             at = closed_up_to(at.up, at)
-        at = open_block(Node(tag, at, max(is_template(tag, m[3]), HARD if tag == "header" and not opened["article"] else NO)))
+        inside = opened["article"] + opened["main"] > 0
+        at = open_block(Node(tag, at, max(is_template(tag, m[3], inside), HARD if tag == "header" and not opened["article"] else NO), inside))
     flush()
     return root
 
 
+def paragraph_points(text: str, chars: int, linked: int, weight: float = 1.0) -> float:
+    """Points of a run of text: one, one for each comma, one for every 100 characters up to three; less by its links."""
+    commas = text.count(",") + text.count("、") + text.count("，")
+    return (weight + commas + min((chars - linked) / 100, 3)) * (1 - linked / chars)
+
+
 def keep_wrapping(root: Node) -> None:
-    """Blocks that are templates by their words alone, or forms, stay where they wrap the article."""
+    """Blocks that are templates by their words alone, or forms, stay where they wrap the article.
+
+    A wrapper holds more than half of the prose, and a title or nearly all of it.
+    A block of a topic's word stays where its prose earns more than the word costs.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -227,27 +258,56 @@ def keep_wrapping(root: Node) -> None:
             stack += [x for x in node.down if isinstance(x, Node)]
     if not any(n.pruned for n in order):
         return
-    prose, article, side = {id(n): 0 for n in order}, set(), set()
+    prose, holds, side = {id(n): 0 for n in order}, {id(n): False for n in order}, set()
+    earned, linked = {id(n): 0.0 for n in order}, {id(n): 0 for n in order}
     for node in order:  # parents come before children
-        if node.pruned or node.up is not None and id(node.up) in side:
+        if node.pruned > TOPIC or node.up is not None and id(node.up) in side:
             side.add(id(node))
     total = beside = 0
     for node in reversed(order):
-        own = sum(len(t.strip()) for t, linked in (x for x in node.down if isinstance(x, tuple)) if not linked)
-        prose[id(node)] += own
-        total += own
+        for t, a in (x for x in node.down if isinstance(x, tuple)):
+            t = SPACE.sub(" ", t).strip()
+            if a:
+                linked[id(node)] += len(t)
+            elif t:
+                prose[id(node)] += len(t)
+                total += len(t)
+                earned[id(node)] += paragraph_points(t, len(t), 0, 0.0)
         if id(node) not in side and prose[id(node)] and node.tag in ("article", "main"):
             beside += 1
         if node.up is not None:
-            prose[id(node.up)] += prose[id(node)]
+            up = id(node.up)
+            prose[up] += prose[id(node)]
+            earned[up] += earned[id(node)]
+            linked[up] += linked[id(node)]
+            holds[up] |= holds[id(node)] or node.tag in ("article", "main", "h1")
     for node in order:
-        if node.pruned and (prose[id(node)] > 0.5 * total and not beside):
+        own = prose[id(node)]
+        if node.pruned == TOPIC:
+            if earned[id(node)] * own > COST * (own + linked[id(node)]):
+                node.pruned = NO
+        elif node.pruned and own > 0.5 * total and not beside and (own > 0.9 * total or holds[id(node)] or node.tag in ("article", "main")):
             node.pruned = NO
 
 
-def is_menu(node: Node) -> bool:
-    """A list of links that nobody marked as a menu."""
-    return node.tag in ("ul", "ol") and node.chars > 0 and node.linked > 0.9 * node.chars and sum(isinstance(x, Node) for x in node.down) >= 3
+def is_menu(node: Node, place: int) -> bool:
+    """A list of links that nobody marked as a menu; ``place``: among its parent's parts."""
+    items = sum(isinstance(x, Node) for x in node.down) if node.tag in ("ul", "ol") and node.linked > 0.9 * node.chars else 0
+    return node.chars > 0 and items >= 3 and not (node.inside and is_listing(node, place, items))
+
+
+def is_listing(node: Node, place: int, items: int) -> bool:
+    """Whether a list of links in an article is of the article: under a heading, after a colon, or one of titles."""
+    for x in reversed(node.up.down[max(place - 3, 0) : place]):
+        if isinstance(x, Node):
+            if x.tag in HEADINGS and not x.pruned or x.tag == "p" and "".join(blocks_of(x)[-1:]).endswith(":"):
+                return True
+            break
+        if x[0].strip():
+            if x[0].rstrip().endswith(":"):
+                return True
+            break
+    return node.chars >= TITLE * items
 
 
 def blocks_of(node: Node, kept: set[int] | None = None) -> list[str]:
@@ -273,7 +333,7 @@ def blocks_of(node: Node, kept: set[int] | None = None) -> list[str]:
             run.append(x[0])
         elif not (x.pruned and x.tag in INLINE):
             end()
-            if not x.pruned and not is_menu(x) and (kept is None or at is not node or id(x) in kept):
+            if not x.pruned and not is_menu(x, i) and (kept is None or at is not node or id(x) in kept):
                 stack.append((x, 0))
     return out
 
@@ -291,11 +351,7 @@ def score(root: Node) -> list[Node]:
     for node in reversed(order):
         own = [(SPACE.sub(" ", t).strip(), linked) for t, linked in (x for x in node.down if isinstance(x, tuple))]
         chars, linked = sum(len(t) for t, _ in own), sum(len(t) for t, a in own if a)
-        points = 0.0
-        if chars:
-            commas = sum(t.count(",") + t.count("、") + t.count("，") for t, a in own if not a)
-            points = (0.2 if node.tag in HEADINGS else 1) + commas + min((chars - linked) / 100, 3)
-            points *= 1 - linked / chars
+        points = paragraph_points("".join(t for t, a in own if not a), chars, linked, 0.2 if node.tag in HEADINGS else 1.0) if chars else 0.0
         node.chars += chars
         node.linked += linked
         node.points += passed[id(node)]
@@ -333,12 +389,9 @@ def extract(page: str | None) -> str:
         at = at.up
     if best.up is None or best.tag == "article" and not any(isinstance(x, Node) and x is not best and x.tag == "article" for x in best.up.down):
         return "\n".join(blocks_of(best))
-    least, at_top, kept = max(3.0, 0.2 * value(best)), best.up.tag in ("body", "html", "#page"), set()
-    for x in best.up.down:
-        if isinstance(x, Node) and not x.pruned and x.chars:
-            loose = x.linked / x.chars
-            if x is best or loose < 0.5 and (not at_top or x.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", *HEADINGS) or value(x) >= least):
-                kept.add(id(x))
+    while best.up.up is not None and best.up.chars == best.chars:  # a wrapper of nothing else
+        best = best.up
+    kept = {id(x) for x in best.up.down if isinstance(x, Node) and not x.pruned and x.chars and (x is best or x.linked < 0.5 * x.chars)}
     return "\n".join(blocks_of(best.up, kept))
 
 

@@ -227,3 +227,96 @@ def test_raw_text_ends_whatever_letters_the_page_has(letter):
 
     page = f"<html><head><TITLE>t</Title></head><body><article><p>First part {letter} of it.</p><SCRIPT>var x = '<p>no</p>';</SCRIPT><p>Second part, after the script.</p><Style>p {{}}</sTYLE><p>Third.</p></article></body></html>"
     assert extract(page) == f"First part {letter} of it.\nSecond part, after the script.\nThird."
+
+
+# ---------- 4: pages whose article is not marked, or marked by words that also name topics
+
+PROSE = "One sentence, with commas, and enough words to count as prose in any page. " * 3
+
+
+@pytest.mark.parametrize("name", ["legal", "legal-news", "overlay", "share", "tags", "warning", "rating", "hidden-gems", "related-research"])
+def test_topic_words_inside_an_article_cost_points_only(name):
+    from cohortlens.llm.html_extract import extract
+
+    bar = f"<div class='{name}'><a href=x>One thing</a>, <a href=y>another</a></div>"
+    for tag in ("article", "main"):
+        page = f"<{tag}><h1>T</h1><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div>{bar}</{tag}><div class='{name}'><p>{PROSE}</p></div>"
+        assert extract(page) == f"T\n{PROSE.strip()}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div><p>A short coda paragraph.</p></div>", "\n".join([*[PROSE.strip()] * 3, "A short coda paragraph."])),
+        (f"<body><div><div><div><p>{PROSE}</p></div></div></div><h2>End</h2><div><ul><li>one<li>two</ul></div>", f"{PROSE.strip()}\nEnd\none\ntwo"),
+        (f"<article class='discussion'><h1>T</h1><p>{PROSE}</p></article>", f"T\n{PROSE.strip()}"),
+        (f"<div class='rating'><h1>T</h1><p>{PROSE}</p></div><div class=ad>Buy.</div>", f"T\n{PROSE.strip()}"),
+        (f"<div><p>{PROSE}</p></div><div class=discussion><p>{PROSE * 8}</p></div>", PROSE.strip()),
+        (f"<div><p>{PROSE}</p></div><div class=comments><p>{PROSE * 40}</p></div>", PROSE.strip()),
+        ("<article><p>Text.</p><h2>Sources</h2><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul></article>", "Text.\nSources\na\nb\nc"),
+        ("<article><p>These are:</p><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul><p>On.</p><ul><li><a href=1>d</a><li><a href=2>e</a><li><a href=3>f</a></ul></article>", "These are:\na\nb\nc\nOn."),
+        ("<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> is</p>", "so x+1 is"),
+        ("<p>a<svg><g><svg><text>in</text></svg></g><text>out</text></svg>b</p><p>c<svg/>d</p>", "a b\ncd"),
+        ("<p>a</p><script>if (x) '<script>' </script><p>b</p>", "a\nb"),
+    ],
+)
+def test_unmarked_articles_stay_whole(page, text):
+    from cohortlens.llm.html_extract import extract
+
+    assert extract(page) == text
+
+
+def test_pages_without_article_elements_equal_a_brute_force_scorer(spark, sf_dir):
+    """Every page of the table with its article split over plain containers: the best one by sums over all pairs of
+    paragraph and ancestor, lifted while it has its parent's whole text, with every sibling that is no template."""
+    import random
+    import re
+
+    from cohortlens.llm import html_extract as H
+
+    rng, pages = random.Random(4), []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        parts = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1].split("<p>")
+        cut = sorted({1, *(rng.randrange(1, len(parts) + 1) for _ in range(rng.randrange(3)))})
+        groups = ["<p>".join(["", *parts[a:b]]) for a, b in zip(cut, [*cut[1:], len(parts)], strict=True)]
+        body = parts[0] + "".join(f"<div class=x{i}>{g}</div>" if rng.random() < 0.7 else g for i, g in enumerate(groups))
+        wrapped = f"<div>{body}</div>" if rng.random() < 0.5 else body
+        pages.append((r["page_id"], r["url"], r["html"].replace(re.search(r"<article>.*?</article>", r["html"], re.S)[0], wrapped)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+
+    def lines(node):
+        """Runs below a block; these pages have no inline blocks and no lists outside the templates."""
+        out = []
+        for x in node.down:
+            if isinstance(x, tuple):
+                out.append([x[0]]) if not out or not isinstance(out[-1], list) else out[-1].append(x[0])
+            elif not x.pruned:
+                out += [*lines(x)] or [""]
+        return [t for t in (re.sub(r"\s+", " ", "".join(x)).strip() if isinstance(x, list) else x for x in out) if t]
+
+    for page_id, _, page in pages:
+        root = H.parse(page)
+        every, points, chars = [], {}, {}
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if not node.pruned:
+                every.append(node)
+                stack += [x for x in reversed(node.down) if isinstance(x, H.Node)]
+        for n in every:
+            own = "".join(re.sub(r"\s+", " ", x[0]).strip() for x in n.down if isinstance(x, tuple))
+            at = n
+            while at is not None:
+                chars[at] = chars.get(at, 0) + len(own)
+                at = at.up
+            if own:
+                share = (0.2 if n.tag in H.HEADINGS else 1) + own.count(",") + min(len(own) / 100, 3)
+                at = n.up if n.tag == "p" or n.tag in H.HEADINGS else n
+                while at is not None:
+                    points[at] = points.get(at, 0) + share
+                    at, share = at.up, share / 2
+        best = max((n for n in every if chars[n] and n.tag != "p" and n.tag not in H.HEADINGS), key=lambda n: points.get(n, 0))
+        while best.up.up is not None and chars[best.up] == chars[best]:
+            best = best.up
+        assert got[page_id] == "\n".join(lines(best.up))
