@@ -267,19 +267,15 @@ def first_loading(blocks: DataFrame, unit: Sequence[str]) -> DataFrame:
 
 
 def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, draws: int = 50, seed: int = 49) -> DataFrame:
-    """Distributions of ARI: ``split`` (halves assign each other's samples), ``bootstrap`` (two resamples
-    compared on all rows) and ``null`` (random partitions of the same sizes)."""
+    """Distributions of ARI: ``split`` (halves assign each other's samples) and ``bootstrap`` (two resamples
+    compared on all rows); ``resampling.null_rand`` has random partitions."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, xs = layers_of(pdf)
         x = np.hstack(xs)
-        base, _ = K.kmeans(x, k, seed)
         values = []
         for r in range(draws):
             rng = np.random.default_rng([seed, r])
-            if kind == "null":
-                values.append(K.ari(rng.permutation(base), rng.permutation(base)))
-                continue
             if kind == "split":
                 order = rng.permutation(len(x))
                 parts = order[: len(x) // 2], order[len(x) // 2 :]
@@ -293,25 +289,6 @@ def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, dra
     return grouped(blocks, unit, run, "draws int, mean double, sd double, q95 double, q99 double")
 
 
-def rank_correlation_resampled(pairs: DataFrame, unit: Sequence[str], draws: int = 500, seed: int = 49) -> DataFrame:
-    """Spearman with a percentile bootstrap interval and a permutation p, for columns x and y."""
-
-    def ranks(v: np.ndarray) -> np.ndarray:
-        return pd.Series(v).rank().to_numpy()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["x", "y"]).sort_values(["x", "y"])
-        x, y, rng = pdf["x"].to_numpy(), pdf["y"].to_numpy(), np.random.default_rng(seed)
-        rho = float(np.corrcoef(ranks(x), ranks(y))[0, 1])
-        boot = [np.corrcoef(ranks(x[i]), ranks(y[i]))[0, 1] for i in (rng.integers(len(x), size=len(x)) for _ in range(draws))]
-        rx, ry = ranks(x), ranks(y)
-        null = np.array([np.corrcoef(rx, rng.permutation(ry))[0, 1] for _ in range(draws)])
-        p = (np.sum(np.abs(null) >= abs(rho)) + 1) / (draws + 1)
-        return pd.DataFrame([{"n": len(x), "spearman": round(rho, 4), "ci_lo": round(float(np.quantile(boot, 0.025)), 4), "ci_hi": round(float(np.quantile(boot, 0.975)), 4), "perm_p": round(float(p), 4)}])
-
-    return grouped(pairs, unit, run, "n int, spearman double, ci_lo double, ci_hi double, perm_p double")
-
-
 def power_curve(sd: float, deltas: tuple[float, ...], ns: tuple[int, ...], draws: int = 4000, seed: int = 49) -> list[tuple[float, int, float]]:
     """Share of simulated one-sided paired t tests that find each difference at each size."""
     from cohortlens.functions.distributions import t_ppf

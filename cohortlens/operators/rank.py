@@ -22,6 +22,58 @@ def ordinal_rank(by: Sequence[str], value: str, tie: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(value, tie))
 
 
+#: Rows of one range of values: what a window of one task holds.
+ROWS_PER_RANGE = 1_000_000
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, in which nulls are equal; the keys are those of the left."""
+    other = right.select(*[F.col(k).alias(f"_of_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def ranged(df: DataFrame, by: Sequence[str], value: str, out: str = "_range", rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """``out``: the range of values that a row falls into, numbered in their order within a unit; null without a value.
+
+    There are as many as the largest unit needs for ``rows`` rows in each, cut at
+    approximate quantiles; equal values share a range. The cuts are a written
+    table, so that all that is made from them agrees; results do not depend on them.
+    """
+    from cohortlens.operators.clustering import stored
+
+    held = df.where(F.col(value).isNotNull())
+    most = held.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    n = -(-most // rows)
+    if n <= 1:
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), 0))
+    cuts = stored(held.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 10 * n))).alias("_cuts")))
+    cut = matched(df, cuts, list(by), "left") if by else df.crossJoin(F.broadcast(cuts))  # one row
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return cut.withColumn(out, F.when(F.col(value).isNotNull(), below)).drop("_cuts")
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "rank", ranges: str = "_range", weight: Column | None = None, *also: Column) -> DataFrame:
+    """Each distinct value of a unit with its rank from 1 (ties, and rows of whole weights, have the mean of theirs).
+
+    Columns: unit, range, value, ``_n`` (rows or weight), ``also`` (other aggregates of the value's rows), rank. Rows are
+    counted before anything is ordered; a window holds one range of distinct values, another the totals of a unit's ranges.
+    """
+    w = F.lit(1) if weight is None else weight
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, ranges, value).agg(F.sum(w).cast("long").alias("_n"), *also)
+    before = Window.partitionBy(*by).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, ranges).agg(F.sum("_n").alias("_t")).withColumn("_t", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    up_to = Window.partitionBy(*by, ranges).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = matched(counts.withColumn("_to", F.sum("_n").over(up_to)), totals, [*by, ranges])
+    return placed.withColumn(out, F.col("_t") + F.col("_to") - (F.col("_n") - 1) / 2).drop("_t", "_to")
+
+
+def with_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "rank", rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """``avg_rank`` for units of any size: no task orders more than a range of a unit's values."""
+    cut = ranged(df, by, value, "_range", rows)
+    return matched(cut, value_ranks(cut, by, value, out).drop("_n"), [*by, "_range", value], "left").drop("_range")
+
+
 def rank_to_normal(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
     """Each value replaced by the normal quantile of (rank - 0.5) / n."""
     n = F.count(value).over(Window.partitionBy(*by))

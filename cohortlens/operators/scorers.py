@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.distributions import normal_p_two_sided, t_p_two_sided, t_ppf
 from cohortlens.operators.matrix import block_pairs, squared_distance
-from cohortlens.operators.rank import avg_rank
+from cohortlens.operators.rank import avg_rank, matched, ranged, value_ranks, with_ranks
 
 #: Lower bounds of the concordance bands.
 HIGH, MODERATE = 0.8, 0.5
@@ -35,15 +35,16 @@ def correlation_p(df: DataFrame, rho: str = "spearman", n: str = "n") -> DataFra
 
 def platform_ladder(pairs: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Spearman, Pearson, sign concordance and slope of y on x in one table."""
-    ranked = pairs.withColumn("_rx", avg_rank(by, x)).withColumn("_ry", avg_rank(by, y))
+    ranked = with_ranks(with_ranks(pairs, by, x, "_rx"), by, y, "_ry")
     same = (F.signum(x) == F.signum(y)).cast("int")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"), F.corr(x, y).alias("pearson"), F.avg(same).alias("sign_concordance"), F.regr_slope(y, x).alias("slope"))
 
 
 def auc(df: DataFrame, by: Sequence[str], score: str, label: Column) -> DataFrame:
     """Area under the ROC curve by the rank sum, also with the sign fixed, and Mann-Whitney's U."""
-    ranked = df.where(F.col(score).isNotNull()).withColumn("_y", label.cast("int")).withColumn("_r", avg_rank(by, score))
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_y")).alias("_s"), F.sum("_y").alias("n1"), F.sum(1 - F.col("_y")).alias("n0"))
+    held = ranged(df.where(F.col(score).isNotNull()).withColumn("_y", label.cast("int")), by, score)
+    ranked = value_ranks(held, by, score, "_r", "_range", None, F.sum("_y").alias("_n1"), F.sum(1 - F.col("_y")).alias("_n0"))
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_n1")).alias("_s"), F.sum("_n1").alias("n1"), F.sum("_n0").alias("n0"))
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
     out = sums.withColumn("u", u).withColumn("auc", F.col("u") / (F.col("n1") * F.col("n0")))
     return out.withColumn("auc_fixed", F.greatest(F.col("auc"), 1 - F.col("auc"))).drop("_s")
@@ -58,12 +59,16 @@ def mann_whitney_p(df: DataFrame) -> DataFrame:
 
 def adjusted_rand(labels: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Adjusted Rand index of two labellings; equal trivial partitions give 1, other zero denominators 0."""
-    table = labels.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    return rand_of_counts(labels.groupBy(*by, a, b).agg(F.count("*").alias("n")), a, b, by)
+
+
+def rand_of_counts(table: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """``adjusted_rand`` from the counts n of the pairs of labels."""
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
     cells = table.groupBy(*by).agg(F.sum(two("n")).alias("s_ab"), F.sum("n").alias("n"), F.count("*").alias("k_ab"))
     sides = [table.groupBy(*by, c).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(two("m")).alias(f"s_{s}"), F.count("*").alias(f"k_{s}")) for c, s in ((a, "a"), (b, "b"))]
     for s in sides:
-        cells = cells.join(s, list(by)) if by else cells.crossJoin(F.broadcast(s))  # one row each
+        cells = matched(cells, s, list(by)) if by else cells.crossJoin(F.broadcast(s))  # one row each
     expected = F.col("s_a") * F.col("s_b") / F.greatest(two("n"), F.lit(1.0))
     most = (F.col("s_a") + F.col("s_b")) / 2
     same = (F.col("k_ab") == F.col("k_a")) & (F.col("k_ab") == F.col("k_b"))

@@ -812,16 +812,6 @@ def stability_pac(spark, d):
     return T.pac(labels, by=["cohort"]).select("cohort", "n_pairs", *[r4(c) for c in ("pac", "strong", "weak", "median_consensus")])
 
 
-@query()
-def bootstrap_spearman_ci(spark, d):
-    return L.rank_correlation_resampled(_pairs(spark, d), BY, 2000).drop("perm_p")
-
-
-@query()
-def permutation_p(spark, d):
-    return L.rank_correlation_resampled(_pairs(spark, d), BY, 500).select(*BY, "n", "spearman", "perm_p")
-
-
 def _one(spark, d):
     return X.vectors(spark, d).withColumn("unit", F.lit("all"))
 
@@ -879,11 +869,6 @@ def bootstrap_ceiling(spark, d):
     return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "bootstrap", 200)
 
 
-@query()
-def null_ari(spark, d):
-    return L.resampled_ari(X.blocks(spark, d), ["cohort"], 3, "null", 3000)
-
-
 @query()
 def power_curve(spark, d):
     return spark.createDataFrame(L.power_curve(0.15, (0.02, 0.05, 0.1), (10, 22, 50, 100)), "delta double, n int, power double")
