@@ -164,17 +164,21 @@ def entries_in(directory: bytes) -> Iterator[tuple[int, int, int, str]]:
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.ends = json.loads(options["ends"]) if "ends" in options else [None] * len(self.paths)
+        if len(self.ends) != len(self.paths):
+            raise ValueError("ends needs one number for each path")
         self.range_bytes = int(options.get("rangebytes", 16 << 20))
         self.batch_bytes = int(options.get("batchbytes", 8 << 20))
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of ``rangeBytes``; the driver reads the last few bytes of each archive and no entry of a directory."""
+        """Ranges of ``rangeBytes``; the driver opens no archive whose ``ends`` is given, and of others reads the last few bytes."""
         out: list[InputPartition] = []
-        for path in self.paths:
-            fs, local = opened(path)
-            with fs.open_input_file(local) as f:
-                end, _ = tail_of(f)
+        for path, end in zip(self.paths, self.ends, strict=True):
+            if end is None:
+                fs, local = opened(path)
+                with fs.open_input_file(local) as f:
+                    end, _ = tail_of(f)
             out += [Range(path, at, min(at + self.range_bytes, end)) for at in range(0, end, self.range_bytes)]
         return out or [Range("", 0, 0)]
 
@@ -233,7 +237,8 @@ class ArchiveReader(DataSourceReader):
 class ArchiveMedia(DataSource):
     """``spark.read.format("archive_media").option("paths", json list)``.
 
-    Options: ``rangeBytes`` for the planning, ``batchBytes`` for the streaming,
+    Options: ``rangeBytes`` for the planning, ``ends`` (JSON list, as the manifest's
+    ``bytes``: where each archive's members end), ``batchBytes`` for the streaming,
     ``attempts`` for each member.
     """
 
@@ -298,15 +303,15 @@ def describe(members: DataFrame, keep_errors: bool = False) -> DataFrame:
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every text stored as media, read back, and described.
 
-    The manifest has one row for each archive, that is for each input split; it
-    and the length of each archive are all that the driver gathers.
+    The manifest has one row for each archive, that is for each input split; it is
+    all that the driver gathers, and what the ranges are planned from.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "media")
     id_type = docs.schema[doc_id].dataType.simpleString()
     manifest = write_archives(docs.select(F.col(doc_id).cast("string").alias("name"), raw_text(text).alias("raw")), folder)
-    paths = sorted(r["path"] for r in manifest.select("path").collect())
-    out = describe(read_archives(spark, paths))
+    held = sorted((r["path"], r["bytes"]) for r in manifest.select("path", "bytes").collect())
+    out = describe(read_archives(spark, [p for p, _ in held], ends=json.dumps([n for _, n in held])))
     # names are JSON, so that a null id and the text "null" differ
     own_id = F.get_json_object(F.concat(F.lit('{"v":'), F.col("name"), F.lit("}")), "$.v").cast(id_type)
     return out.select(own_id.alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -320,3 +320,27 @@ def test_pages_without_article_elements_equal_a_brute_force_scorer(spark, sf_dir
         while best.up.up is not None and chars[best.up] == chars[best]:
             best = best.up
         assert got[page_id] == "\n".join(lines(best.up))
+
+
+# ---------- 7: planning from the manifest
+
+
+def test_archives_are_planned_without_being_opened(spark, tmp_path, monkeypatch):
+    import json
+
+    from cohortlens.llm import media
+
+    rows = spark.createDataFrame([(f"m{i}", bytes([i % 256]) * (i * 37)) for i in range(60)], "name string, raw binary").repartition(3)
+    held = [(r["path"], r["bytes"]) for r in media.write_archives(rows, f"file://{tmp_path}/arc").collect()]
+    options = {"paths": json.dumps([p for p, _ in held]), "rangebytes": "500"}
+    want = [vars(p) for p in media.ArchiveReader(options).partitions()]
+    reader = media.ArchiveReader(options | {"ends": json.dumps([n for _, n in held])})
+    with monkeypatch.context() as m:
+        m.setattr(media, "opened", None)  # no archive is touched
+        parts = reader.partitions()
+    assert [vars(p) for p in parts] == want and len(parts) > 6
+    found = [json.loads(x["name"]) for p in parts for b in reader.read(p) for x in b.to_pylist()]
+    assert sorted(found) == sorted(f"m{i}" for i in range(60))
+    with pytest.raises(ValueError, match="one number for each path"):
+        media.ArchiveReader(options | {"ends": "[1]"})
+    assert media.ArchiveReader({"paths": "[]", "ends": "[]"}).partitions()[0].path == ""
