@@ -58,6 +58,11 @@ def grouped(blocks: DataFrame, unit: Sequence[str], run: Callable[[tuple, pd.Dat
     return blocks.groupBy(*unit).applyInPandas(kernel, f"{keys}, {columns}")
 
 
+def shared_out(blocks: DataFrame, unit: Sequence[str], part: str, parts: int) -> DataFrame:
+    """Every row once for each part of its unit's work, the parts spread over tasks of their own however few bytes they are."""
+    return blocks.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(4 * parts, *unit, part)
+
+
 def features(blocks: DataFrame, unit: Sequence[str], method: str) -> DataFrame:
     """The feature constructor of a method on every unit: sample and its columns, rounded to 6 places."""
 
@@ -170,21 +175,18 @@ def transfer(blocks: DataFrame, unit: Sequence[str], side: str, method: str, ks:
 
 
 def bootstrap_labels(blocks: DataFrame, unit: Sequence[str], method: str, k: int, replicates: int = 12, seed: int = 49) -> DataFrame:
-    """Labels of bootstrap draws without repeats; draws with fewer than 3 k samples are left out."""
+    """Labels of bootstrap draws without repeats; draws with fewer than 3 k samples are left out. A replicate of a unit is a group."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         samples, xs = layers_of(pdf)
-        out = []
-        for r in range(replicates):
-            at = np.unique(np.random.default_rng([seed, r]).integers(len(samples), size=len(samples)))
-            if len(at) < 3 * k:
-                continue
-            label, _ = K.kmeans(K.standardised(METHODS[method]([x[at] for x in xs])), k, seed + r, starts=5)
-            if len(np.unique(label)) > 1:
-                out.append(pd.DataFrame({"replicate": r, "sample": samples[at], "label": label.astype(int)}))
-        return pd.concat(out) if out else pd.DataFrame({"replicate": [], "sample": [], "label": []})
+        none, r = pd.DataFrame({"sample": [], "label": []}), key[-1]
+        at = np.unique(np.random.default_rng([seed, r]).integers(len(samples), size=len(samples)))
+        if len(at) < 3 * k:
+            return none
+        label, _ = K.kmeans(K.standardised(METHODS[method]([x[at] for x in xs])), k, seed + r, starts=5)
+        return pd.DataFrame({"sample": samples[at], "label": label.astype(int)}) if len(np.unique(label)) > 1 else none
 
-    return grouped(blocks, unit, run, "replicate int, sample long, label int")
+    return grouped(shared_out(blocks, unit, "replicate", replicates), [*unit, "replicate"], run, "sample long, label int")
 
 
 def cross_validated_auc(blocks: DataFrame, unit: Sequence[str], target: str, model: str = "logistic") -> DataFrame:
@@ -266,15 +268,18 @@ def first_loading(blocks: DataFrame, unit: Sequence[str]) -> DataFrame:
     return grouped(blocks, unit, run, "feature long, loading double")
 
 
-def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, draws: int = 50, seed: int = 49) -> DataFrame:
+def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, draws: int = 50, seed: int = 49, together: int = 8) -> DataFrame:
     """Distributions of ARI: ``split`` (halves assign each other's samples) and ``bootstrap`` (two resamples
-    compared on all rows); ``resampling.null_rand`` has random partitions."""
+    compared on all rows); ``resampling.null_rand`` has random partitions.
+
+    Some draws of a unit (``together``) are a group; a group is sent the unit's samples.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, xs = layers_of(pdf)
         x = np.hstack(xs)
-        values = []
-        for r in range(draws):
+        values, own = [], range(key[-1] * together, min((key[-1] + 1) * together, draws))
+        for r in own:
             rng = np.random.default_rng([seed, r])
             if kind == "split":
                 order = rng.permutation(len(x))
@@ -283,10 +288,13 @@ def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, dra
                 parts = tuple(rng.integers(len(x), size=len(x)) for _ in range(2))
             fits = [K.kmeans(x[p], k, seed + 1000 * i, starts=3)[1] for i, p in enumerate(parts)]
             values.append(K.ari(*(K.distances2(x, c).argmin(axis=1) for c in fits)))
-        v = np.array(values)
-        return pd.DataFrame([{"draws": draws, "mean": round(v.mean(), 4), "sd": round(v.std(), 4), "q95": round(np.quantile(v, 0.95), 4), "q99": round(np.quantile(v, 0.99), 4)}])
+        return pd.DataFrame({"ari": values})
 
-    return grouped(blocks, unit, run, "draws int, mean double, sd double, q95 double, q99 double")
+    values = grouped(shared_out(blocks, unit, "_draws", -(-draws // together)), [*unit, "_draws"], run, "ari double")
+    q = F.percentile("ari", F.array(F.lit(0.95), F.lit(0.99)))
+    out = values.groupBy(*unit).agg(F.count("*").cast("int").alias("draws"), F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), q.alias("_q"))
+    r4 = lambda c, name: F.round(c, 4).alias(name)
+    return out.select(*unit, "draws", r4("mean", "mean"), r4("sd", "sd"), r4(F.col("_q")[0], "q95"), r4(F.col("_q")[1], "q99"))
 
 
 def power_curve(sd: float, deltas: tuple[float, ...], ns: tuple[int, ...], draws: int = 4000, seed: int = 49) -> list[tuple[float, int, float]]:
