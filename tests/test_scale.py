@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import kernels as K
 from cohortlens.operators import learners as L
+from cohortlens.operators import matrix as M
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +35,33 @@ def test_draws_are_shared_out(blocks, kind):
 def test_parts_of_a_unit_lie_in_several_tasks(blocks):
     at = L.shared_out(blocks, ["cohort"], "_part", 12).select("cohort", "_part", F.spark_partition_id().alias("task")).distinct()
     assert at.count() == 24 and at.select("task").distinct().count() >= 12
+
+
+def test_a_sample_is_sent_a_bounded_number_of_times(spark):
+    """Every two blocks meet once, in at most ``most`` blocks a unit; small vectors make no more."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(i), rng.normal(size=3).tolist()) for i in range(200)], "sample long, features array<double>")
+
+    def work(i, x, j, y, first):
+        own = i[:, None] < j[None, :] if first["p"] == first["q"] else np.ones((len(i), len(j)), dtype=bool)
+        return {"rows": np.array([len(i)]), "pairs": np.array([own.sum()])}
+
+    for most in (3, 7):
+        met = M.two_blocks(df, [], work, "rows long, pairs long", "features", "sample", most=most, least_rows=10).collect()
+        assert len(met) <= most * (most + 1) / 2 and sum(r["pairs"] for r in met) == 200 * 199 / 2
+
+
+def test_neighbours_and_median_with_copies_and_long_vectors(spark):
+    """Copies lie at 0 from each other, ties go by id, and a vector far from the origin loses no digits."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(30, 9))] * 3) + np.r_[1e5, np.zeros(8)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "sample long, features array<double>")
+    d = M.between(x, x)
+    want = {i: [int(j) for j in np.lexsort((np.arange(90), d[i])) if j != i][:6] for i in range(90)}
+    got = {}
+    for r in M.nearest_samples(df, 6).orderBy("i", "place").collect():
+        assert r["distance"] == d[r["i"], r["j"]]
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == want
+    for bins in (8, 4096):
+        assert M.median_distance(df, bins=bins).first()["sigma"] == pytest.approx(np.median(d[d > 0]), abs=1e-8)
