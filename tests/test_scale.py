@@ -1,5 +1,7 @@
 """Steps whose work must not gather in one task or grow faster than the input."""
 
+import gzip
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from cohortlens.operators import kernels as K
 from cohortlens.operators import learners as L
 from cohortlens.operators import matrix as M
+from cohortlens.operators import scorers as T
+from cohortlens.sources import matrix as FM
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +69,28 @@ def test_neighbours_and_median_with_copies_and_long_vectors(spark):
     assert got == want
     for bins in (8, 4096):
         assert M.median_distance(df, bins=bins).first()["sigma"] == pytest.approx(np.median(d[d > 0]), abs=1e-8)
+
+
+def test_samples_with_the_same_labels_are_one_row(spark, monkeypatch):
+    """Counts of all pairs, from as many rows as there are different rows of labels; equal to a count pair by pair."""
+    rng = np.random.default_rng(8)
+    kinds = np.where(rng.random((9, 6)) < 0.3, np.nan, rng.integers(3, size=(9, 6)))
+    x = kinds[rng.integers(9, size=60)]
+    rows = [(r, s, int(x[s, r])) for s in range(60) for r in range(6) if not np.isnan(x[s, r])]
+    met = []
+    real = T.two_blocks
+    monkeypatch.setattr(T, "two_blocks", lambda blocks, *a, **k: met.append(blocks.count()) or real(blocks, *a, **k))
+    got = T.pac(spark.createDataFrame(rows, "replicate int, sample int, label int")).first()
+    c = [np.nanmean(np.where(np.isnan(x[i]) | np.isnan(x[j]), np.nan, x[i] == x[j])) for i in range(60) for j in range(i) if (~np.isnan(x[i]) & ~np.isnan(x[j])).any()]
+    c = np.array(c)
+    assert met[0] <= 9 and got["n_pairs"] == len(c)
+    assert [got[n] for n in ("pac", "strong", "weak", "median_consensus")] == pytest.approx([((c > 0.1) & (c < 0.9)).mean(), (c > 0.9).mean(), (c < 0.1).mean(), np.median(c)])
+
+
+def test_lines_of_a_gzipped_matrix_are_dealt_to_tasks(spark, tmp_path):
+    """One task reads the file; its cells are made in others."""
+    lines = ["ID\t" + "\t".join(f"s{i}" for i in range(30))] + [f"g{f}\t" + "\t".join(str(f * 100 + i) for i in range(30)) for f in range(40)]
+    (tmp_path / "m.txt.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    out = FM.read_matrix(spark, str(tmp_path / "m.txt.gz"))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["feature"], r["sample"]): r["value"] for r in out.collect()} == {(f"g{f}", f"s{i}"): f * 100 + i for f in range(40) for i in range(30)}
