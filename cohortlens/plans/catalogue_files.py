@@ -34,11 +34,13 @@ def _matrix_file(spark: SparkSession, d: str) -> str:
     """A wide matrix, gzipped, with a comment, a blank line, quotes, gaps, a repeated, a ragged and a badly named row."""
     c = X.cells(spark, d).where(_ONE).select("feature", "sample", F.round("value", 6).alias("v"))
     names = c.agg(F.array_sort(F.collect_set("sample")).alias("samples"))
-    wide = c.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("sample", "v"))).alias("m")).crossJoin(F.broadcast(names))  # one row
+    # every feature has a field for every sample, so that the fields of a row follow from their order
+    full = c.select("feature").distinct().crossJoin(c.select("sample").distinct()).join(c, ["feature", "sample"], "left")
+    wide = full.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "v"))), lambda x: x["v"]).alias("vs"))
     tab = F.lit("\t")
 
     def row(name, plus: float):
-        return F.concat(name, tab, F.array_join(F.transform("samples", lambda s: F.coalesce((F.element_at("m", s) + plus).cast("string"), F.lit("NA"))), "\t"))
+        return F.concat(name, tab, F.array_join(F.transform("vs", lambda v: F.coalesce((v + plus).cast("string"), F.lit("NA"))), "\t"))
 
     quoted = F.concat(F.lit('"g'), F.col("feature").cast("string"), F.lit('"'))
     parts = [

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from cohortlens.functions import scalar as S
 
 
+#: Tasks that share the long lines of a matrix file, which one task reads if it is gzipped.
+SHARED = 64
+
+
 def raw_lines(spark: SparkSession, path: str, lossy: bool = False) -> DataFrame:
     """Lines of text files with their file; comment and blank lines left out.
 
@@ -53,7 +57,8 @@ def read_matrix(spark: SparkSession, path: str, sep: str = "\t", id_pattern: str
         places = F.sequence(F.lit(1), F.col("width") - 1)
         drawn = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(seed), F.get("names", i)).alias("h"), i.alias("i"))))
         head = head.withColumn("chosen", F.transform(F.slice(drawn, 1, sampled), lambda x: x["i"]))
-    cells = body.join(head, "file").withColumn("v", F.split("line", sep))
+    # a few lines hold all cells: they are dealt to tasks before they are split, by number, as their bytes tell little
+    cells = body.join(head, "file").repartition(SHARED).withColumn("v", F.split("line", sep))
     if drop_ragged:
         cells = cells.where(F.size("v") == F.col("width"))
     cells = cells.withColumn("feature", S.clean_id(F.get("v", F.lit(0)))).where(F.col("feature").rlike(id_pattern))
