@@ -159,6 +159,13 @@ def correlation_gap(pairs: DataFrame, same: Column, r: str = "r") -> DataFrame:
     return out.withColumn("gap", F.col("within") - F.col("between"))
 
 
+def correlation_gap_of_groups(sums: DataFrame) -> DataFrame:
+    """``correlation_gap`` from the sums of ``matrix.group_correlations``; pairs without a known group count on neither side."""
+    same = F.col("group_a") == F.col("group_b")
+    mean = lambda c: F.sum(F.when(c, F.col("total"))) / F.sum(F.when(c, F.col("n")))
+    return sums.agg(mean(same).alias("within"), mean(~same).alias("between")).withColumn("gap", F.col("within") - F.col("between"))
+
+
 def paired_vs_baseline(records: DataFrame, keys: Sequence[str], baseline: str, arm: str = "method", score: str = "ari") -> DataFrame:
     """Each arm against the baseline on shared records: difference, gain, t, interval and win rate."""
     base = records.where(F.col(arm) == baseline).select(*keys, F.col(score).alias("_base"))

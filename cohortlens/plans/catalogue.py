@@ -402,11 +402,8 @@ def knn_affinity(spark, d):
 @query(""", c AS (SELECT a.sample AS i, b.sample AS j, corr(a.v, b.v) AS r, any_value(a.batch) = any_value(b.batch) AS same FROM emb a JOIN emb b USING (pos) WHERE a.sample < b.sample GROUP BY a.sample, b.sample)
 SELECT round(avg(CASE WHEN same THEN r END), 4) AS within, round(avg(CASE WHEN NOT same THEN r END), 4) AS "between", round(avg(CASE WHEN same THEN r END) - avg(CASE WHEN NOT same THEN r END), 4) AS gap FROM c""", "emb")
 def correlation_gap(spark, d):
-    v = X.vectors(spark, d).select("sample", "batch", F.posexplode("features").alias("pos", "value"))
-    pairs = M.correlation_network(v.withColumnRenamed("sample", "unit"), by=[], feature="unit", sample="pos")
-    g = X.vectors(spark, d).select("sample", "batch")
-    both = pairs.join(g.select(F.col("sample").alias("feature_a"), F.col("batch").alias("ba")), "feature_a").join(g.select(F.col("sample").alias("feature_b"), F.col("batch").alias("bb")), "feature_b")
-    return T.correlation_gap(both, F.col("ba") == F.col("bb")).select(r4("within"), r4("between"), r4("gap"))
+    sums = M.group_correlations(X.vectors(spark, d).select("sample", "batch", "features"), "batch")
+    return T.correlation_gap_of_groups(sums).select(r4("within"), r4("between"), r4("gap"))
 
 
 @query(""", v AS (SELECT feature, value, batch FROM design WHERE value IS NOT NULL), n AS (SELECT feature, value, sum(batch) AS a, sum(1 - batch) AS b FROM v GROUP BY ALL),
@@ -750,9 +747,9 @@ def core_set_sizes(spark, d):
 @query(""", c AS (SELECT a.sample AS i, b.sample AS j, corr(a.v, b.v) AS r, any_value(a.label) AS la, any_value(b.label) AS lb FROM emb a JOIN emb b USING (pos) WHERE a.sample < b.sample GROUP BY a.sample, b.sample)
 SELECT least(la, lb) AS family_a, greatest(la, lb) AS family_b, count(*) AS n_pairs, round(avg(r), 4) AS mean_r FROM c GROUP BY ALL""", "emb")
 def family_spectra_correlation(spark, d):
-    v = X.vectors(spark, d)
-    pairs = M.correlation_network(v.select(F.col("sample").alias("unit"), F.posexplode("features").alias("pos", "value")), by=[], feature="unit", sample="pos")
-    return V.family_correlation(pairs, v.select(F.col("sample").alias("unit"), F.col("label").alias("family"))).select("family_a", "family_b", "n_pairs", r4("mean_r"))
+    sums = M.group_correlations(X.vectors(spark, d).select("sample", "label", "features"), "label")
+    both = sums.groupBy(F.col("group_a").alias("family_a"), F.coalesce("group_b", "group_a").alias("family_b"))
+    return both.agg(F.sum("n_pairs").alias("n_pairs"), r4(F.sum("total") / F.sum("n"), "mean_r"))
 
 
 @query(""", e AS (SELECT domain AS artefact, concat(pair, method, subset) AS key, ari AS value FROM records WHERE nlay < 3), c AS (SELECT domain AS artefact, concat(pair, method, subset) AS key, CASE WHEN method = 'PROMO' THEN ari + 0.5 ELSE ari END AS value FROM records)

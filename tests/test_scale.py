@@ -94,3 +94,30 @@ def test_lines_of_a_gzipped_matrix_are_dealt_to_tasks(spark, tmp_path):
     out = FM.read_matrix(spark, str(tmp_path / "m.txt.gz"))
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["feature"], r["sample"]): r["value"] for r in out.collect()} == {(f"g{f}", f"s{i}"): f * 100 + i for f in range(40) for i in range(30)}
+
+
+@pytest.mark.parametrize("odd", [None, "gap", "group"])
+def test_correlations_of_groups_equal_all_pairs(spark, monkeypatch, odd):
+    """Sums of unit vectors give what all pairs give, a flat sample included; only gaps and missing groups need the pairs."""
+    rng = np.random.default_rng(9)
+    rows = [(int(s), int(s) % 3, ([2.0] * 6 if s == 4 else rng.normal(s % 3, 1, 6).tolist())) for s in range(25)]
+    if odd == "gap":
+        rows[7][2][3] = None
+    if odd == "group":
+        rows[7] = (7, None, rows[7][2])
+    df = spark.createDataFrame(rows, "sample long, grp long, features array<double>")
+    made, real = [], M.correlation_network
+    monkeypatch.setattr(M, "correlation_network", lambda *a, **k: made.append(1) or real(*a, **k))
+    got = {(r["group_a"], r["group_b"]): r for r in M.group_correlations(df, "grp").collect()}
+    assert bool(made) == bool(odd)
+    want = {}
+    for i, (_, g, x) in enumerate(rows):
+        for _, h, y in rows[:i]:
+            pair = [(a, b) for a, b in zip(x, y) if a is not None and b is not None]
+            r = np.corrcoef(*np.array(pair).T)[0, 1] if len({tuple(x), (2.0,) * 6, tuple(y)}) == 3 else None
+            key = (g if h is None else h, None) if None in (g, h) else (min(g, h), max(g, h))
+            want.setdefault(key, []).append(r)
+    assert set(got) == set(want)
+    for key, rs in want.items():
+        known = [r for r in rs if r is not None]
+        assert (got[key]["n_pairs"], got[key]["n"]) == (len(rs), len(known)) and got[key]["total"] == pytest.approx(sum(known))
