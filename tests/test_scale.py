@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import kernels as K
 from cohortlens.operators import learners as L
 from cohortlens.operators import matrix as M
+from cohortlens.operators import relational as J
 from cohortlens.operators import scorers as T
 from cohortlens.sources import matrix as FM
 
@@ -121,3 +122,22 @@ def test_correlations_of_groups_equal_all_pairs(spark, monkeypatch, odd):
     for key, rs in want.items():
         known = [r for r in rs if r is not None]
         assert (got[key]["n_pairs"], got[key]["n"]) == (len(rs), len(known)) and got[key]["total"] == pytest.approx(sum(known))
+
+
+def test_pairs_of_boxes_are_not_shuffled(spark):
+    """Nothing follows the join of cells, and every pair comes once, whichever cells two boxes share."""
+    rng = np.random.default_rng(4)
+    at, size = rng.integers(-30, 30, (80, 2)), rng.integers(1, 15, (80, 2))
+    rows = [(i, "s", *map(int, (*p, *(p + q)))) for i, (p, q) in enumerate(zip(at, size, strict=True))]
+    out = J.boxes_overlap(spark.createDataFrame(rows, "id int, sheet string, x0 int, y0 int, x1 int, y1 int"), ["sheet"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [sheet" not in plan and "Distinct" not in plan
+    want = {}
+    for i, (p, q) in enumerate(zip(at, at + size, strict=True)):
+        for j in range(i):
+            side = np.minimum(q, at[j] + size[j]) - np.maximum(p, at[j])
+            share = side.prod() / min(size[i].prod(), size[j].prod()) if (side > 0).all() else 0
+            if share > 0.12:
+                want[j, i] = share
+    got = [(r["a_id"], r["b_id"], r["share"]) for r in out.collect()]
+    assert len(got) == len(want) and {g[:2]: g[2] for g in got} == pytest.approx(want)
