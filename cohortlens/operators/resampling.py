@@ -36,6 +36,8 @@ from cohortlens.session import make_importable
 
 ROUNDS = 48
 PRIME = (1 << 31) - 1
+#: Draws and rows of a group that counts pairs of labels.
+DRAWS, SLICE = 100, 1 << 16
 
 
 def let(x: Column, f) -> Column:
@@ -176,16 +178,38 @@ def null_rand(labels: DataFrame, by: Sequence[str], sample: str = "sample", labe
     """unit, _draw, ari: the labels against themselves in a random order, for each draw.
 
     The label at a shuffled place follows from the sizes of the labels (an array as
-    long as there are labels); contingency counts of all draws are one aggregation.
+    long as there are labels). Some draws of a slice of a unit are a group, which
+    gives the counts of its pairs of labels; no row is made for a row and draw.
     """
     rows = stored(positions(labels.select(*by, F.col(sample).alias("_row"), F.col(label).alias("_l")), by, "_row", range_rows))
     sizes = rows.groupBy(*by, "_l").agg(F.count("*").alias("_m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_l", "_m"))).alias("_sizes"))
-    spread = drawn(rows.select(*by, "_l", "_p", "_size"), draws, seed, rounds)
-    spread = matched(spread, sizes, list(by)) if by else spread.crossJoin(F.broadcast(sizes))  # one row
-    # the places that are left after each label in turn; the label is the one at which they run out
-    none = F.lit(None).cast(rows.schema["_l"].dataType)
-    other = F.aggregate("_sizes", F.struct(F.col("_to").alias("left"), none.alias("l")), lambda s, x: F.struct((s["left"] - x["_m"]).alias("left"), F.when((s["left"] >= 0) & (s["left"] < x["_m"]), x["_l"]).otherwise(s["l"]).alias("l")), lambda s: s["l"])
-    counts = stored(spread.select(*by, "_draw", "_l", other.alias("_o")).groupBy(*by, "_draw", "_l", "_o").agg(F.count("*").alias("n")))
+    codes = sizes.select(*by, F.col("_sizes")["_m"].alias("_ms"), F.posexplode("_sizes").alias("_code", "_s")).select(*by, "_ms", "_code", F.col("_s._l").alias("_l"))
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+    names, chunks = list(by), -(-draws // DRAWS)
+
+    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = key[len(names)].as_py() * DRAWS, None
+        keys = [x[first : first + DRAWS] for x in keys_of(draws, seed, rounds)]
+        for b in batches:
+            place, n, code = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_p", "_size", "_code"))
+            ends = np.cumsum(b.column("_ms")[0].as_py())
+            many = len(ends)
+            total = np.zeros((len(keys[0]), many * many), dtype=np.int64) if total is None else total
+            for at in range(0, len(place), 2000):
+                own = slice(at, at + 2000)
+                other = np.searchsorted(ends, shuffled(place[own], n[own], *keys), side="right")
+                cell = np.arange(len(total))[:, None] * many * many + code[own] * many + other
+                total += np.bincount(cell.ravel(), minlength=total.size).reshape(total.shape)
+        draw_, cell = np.nonzero(total)
+        same = [pa.array([k.as_py()] * len(cell), k.type) for k in key[: len(names)]]
+        found = [pa.array((draw_ + first).astype(np.int32)), pa.array((cell // many).astype(np.int32)), pa.array((cell % many).astype(np.int32)), pa.array(total[draw_, cell])]
+        yield pa.RecordBatch.from_arrays([*same, *found], names=[*names, "_draw", "_l", "_o", "n"])
+
+    make_importable(rows.sparkSession)
+    held = matched(rows, codes, [*by, "_l"]).select(*by, "_p", "_size", "_code", "_ms", F.pmod("_p", F.ceil(F.col("_size") / SLICE)).alias("_slice"))
+    spread = held.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(4 * chunks, *by, "_chunk", "_slice")
+    parts = spread.groupBy(*by, "_chunk", "_slice").applyInArrow(counted, f"{kinds}_draw int, _l int, _o int, n long")
+    counts = stored(parts.groupBy(*by, "_draw", "_l", "_o").agg(F.sum("n").alias("n")))
     return rand_of_counts(counts, "_l", "_o", [*by, "_draw"]).select(*by, "_draw", "ari")
 
 

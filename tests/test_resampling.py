@@ -138,6 +138,17 @@ def test_null_rand_equals_the_kernel(spark):
         assert got == pytest.approx([K.ari(label, np.sort(label)[t]) for t in to])
 
 
+def test_null_rand_makes_no_row_for_a_row_and_draw(spark, monkeypatch):
+    """Some draws of a slice of a unit are counted where they are made."""
+    monkeypatch.setattr(Q, "drawn", None)
+    monkeypatch.setattr(Q, "SLICE", 16)
+    rows = [(i, "xyz"[int(v)] if v < 3 else None) for i, v in enumerate(RNG.integers(0, 4, 70))]
+    out = Q.null_rand(spark.createDataFrame(rows, "sample long, label string"), [], draws=230).collect()
+    label = np.array(["xyz".find(v) if v else -1 for _, v in rows])
+    to = Q.shuffled(np.arange(70), np.full(70, 70), *Q.keys_of(230, 49))
+    assert [r["ari"] for r in sorted(out, key=lambda r: r["_draw"])] == pytest.approx([K.ari(label, np.sort(label)[t]) for t in to])
+
+
 def test_nothing_gives_nothing(pairs):
     none = pairs.where("false")
     assert Q.bootstrap_spearman(none, ["g"], "row", draws=3).count() == 0
