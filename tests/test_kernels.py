@@ -78,6 +78,46 @@ def test_average_linkage_and_pca():
         assert (np.diff(share) <= 1e-12).all()
 
 
+def whole_matrix_linkage(d, k):
+    """Every merge looks for the least distance in the whole matrix."""
+    n = len(d)
+    d, size, member = d.astype(float).copy(), np.ones(n), np.arange(n)
+    np.fill_diagonal(d, np.inf)
+    for _ in range(n - min(k, n)):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[[i, j]] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        member[member == j] = i
+    return np.unique(member, return_inverse=True)[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_looks_at_few_rows(seed, monkeypatch):
+    """The merges are those of the whole matrix, ties included, without a search of it for each."""
+    rng = np.random.default_rng(seed)
+    d = rng.integers(1, 5, size=(60, 60)).astype(float) if seed % 2 else rng.random((60, 60))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    want, searched, plain = [whole_matrix_linkage(d, k) for k in (1, 4, 60)], [], np.argmin
+    monkeypatch.setattr(np, "argmin", lambda a, *args, **kw: (searched.append(a.size), plain(a, *args, **kw))[1])
+    assert all((K.average_linkage(d, k) == w).all() for k, w in zip((1, 4, 60), want, strict=True))
+    assert all(size < 60 * 60 for size in searched)
+
+
+def test_fusion_is_the_dense_recurrence_without_dense_factors(planted):
+    xs = [*planted[1], planted[1][0][:, :5]]
+    local = [K.knn_affinity(x, 10) for x in xs]
+    np.testing.assert_allclose(K.times(K.levels(local[0]), xs[1], 7), local[0] @ xs[1], atol=1e-12)
+    now = list(local)
+    for _ in range(20):
+        nxt = [s @ (sum(p for j, p in enumerate(now) if j != i) / 2) @ s.T for i, s in enumerate(local)]
+        now = [(p + p.T) / 2 + np.eye(len(p)) * 1e-3 for p in nxt]
+        now = [p / p.sum(axis=1, keepdims=True) for p in now]
+    np.testing.assert_allclose(K.fused(xs), sum(now) / 3, atol=1e-12)
+
+
 def test_harmonised_mixes_batches():
     rng = np.random.default_rng(5)
     batch = np.tile([0, 1], 60)
