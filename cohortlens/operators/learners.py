@@ -11,10 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import clustering as C
+from cohortlens.operators import harmony as H
 from cohortlens.operators import kernels as K
 from cohortlens.operators import scorers as T
 
@@ -251,15 +252,27 @@ def ranked_components(blocks: DataFrame, unit: Sequence[str], covariate: str, ke
     return grouped(blocks, unit, run, "place int, component int, r double")
 
 
+#: Samples of a unit that one group corrects; larger units go through blocks of samples.
+SAMPLES = 20_000
+
+
 def harmony(blocks: DataFrame, unit: Sequence[str], batch: str) -> DataFrame:
-    """Batch-corrected components of each unit."""
+    """Batch-corrected components of each unit: a group for each, and for large units passes over blocks of samples."""
+    sizes = blocks.groupBy(*unit).agg(F.count("*").alias("_n"), F.max(F.size("features")).alias("_d"))
+    large = sizes.where((F.col("_n") > SAMPLES) & (F.col("_n") >= F.col("_d"))).collect()
+    apart, rest = [], blocks
+    for r in large:
+        own = reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(r[c])) for c in unit])
+        out = H.corrected(blocks.where(own), batch, k=50)
+        apart.append(out.select(*[F.lit(r[c]).cast(blocks.schema[c].dataType).alias(c) for c in unit], "sample", "features"))
+        rest = rest.where(~own)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
         z = K.harmonised(np.array(pdf["features"].tolist(), dtype=float), pdf[batch].to_numpy(), k=50)
         return pd.DataFrame({"sample": pdf["sample"].to_numpy(), "features": np.round(z, 6).tolist()})
 
-    return grouped(blocks, unit, run, "sample long, features array<double>")
+    return reduce(DataFrame.unionByName, apart, grouped(rest, unit, run, "sample long, features array<double>"))
 
 
 def first_loading(blocks: DataFrame, unit: Sequence[str]) -> DataFrame:
