@@ -107,9 +107,20 @@ def quantile_normalise_gaps(cells: DataFrame, by: Sequence[str] = ("cohort", "la
 
 
 def mad(cells: DataFrame, by: Sequence[str] = ("cohort", "layer", "feature"), value: str = "value") -> DataFrame:
-    """Median absolute deviation from the median, for each group."""
-    middle = cells.groupBy(*by).agg(F.median(value).alias("_m"))
-    return cells.join(middle, list(by)).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    """Median absolute deviation from the median, for each group.
+
+    Values come together by group once, as an array that is sorted, and again by the
+    distance from its middle: no counts of distinct values are built, sent and merged.
+    """
+
+    def middle(x: Column) -> Column:
+        n = F.size(x)
+        return (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2
+
+    dealt = cells.select(*by, F.col(value).cast("double").alias("_v")).repartition(*by)
+    held = dealt.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_all")).withColumn("_m", middle(F.col("_all")))
+    apart = held.select(*by, F.sort_array(F.transform("_all", lambda x: F.abs(x - F.col("_m")))).alias("_apart"))
+    return apart.select(*by, middle(F.col("_apart")).alias("mad"))
 
 
 def top_mad(cells: DataFrame, n: int, by: Sequence[str] = ("cohort", "layer"), feature: str = "feature", value: str = "value") -> DataFrame:

@@ -5,8 +5,8 @@ feature, sample and value, the job writes
 
 - ``cells``: repeated measurements averaged, on the log2 scale; partitioned by
   cohort and layer;
-- ``coverage`` and ``variability``: the samples that have each feature, and the
-  median absolute deviation of the features that all cohorts cover and its place;
+- ``coverage`` and ``variability``: the samples that have each feature, with mean and
+  deviation, and the median absolute deviation of the features that all cohorts cover and its place;
 - ``scaled``: the features that are among the most variable of every cohort,
   standardised within each cohort; partitioned by cohort and layer;
 - ``quality``: size, quantiles and value domain of each cohort and layer;
@@ -58,14 +58,17 @@ def measured(table: DataFrame, s: Settings) -> DataFrame:
     named = named.where(F.col("cohort").isNotNull() & F.col("layer").isNotNull() & F.col("feature").isNotNull() & F.col("sample").isNotNull())
     if s.cohorts:
         named = named.where(F.col("cohort").cast("string").isin(*s.cohorts))
-    cells = J.dedup_mean(named, ["cohort", "layer", "feature", "sample"]).withColumn("value", F.col("value").cast("double"))
+    # dealt out before they are averaged: most cells are measured once or a few times, so that means of parts
+    # would save little and be merged again; and the samples that ``coverage`` counts each stand in one place
+    dealt = named.repartition("cohort", "layer", "sample")
+    cells = J.dedup_mean(dealt, ["cohort", "layer", "feature", "sample"]).withColumn("value", F.col("value").cast("double"))
     return cells.withColumn("value", S.finite(F.log2("value"))).where("value is not null")
 
 
 def coverage(cells: DataFrame) -> DataFrame:
-    """For each feature of a cohort and layer the samples that have it, and those there are."""
+    """For each feature of a cohort and layer the samples that have it, those there are, and mean and deviation of its values."""
     size = cells.groupBy("cohort", "layer").agg(F.countDistinct("sample").alias("n_samples"))
-    return cells.groupBy("cohort", "layer", "feature").agg(F.count("*").alias("n")).join(size, ["cohort", "layer"])
+    return M.moments(cells, ["cohort", "layer", "feature"]).join(size, ["cohort", "layer"])
 
 
 def run(spark: SparkSession, s: Settings) -> dict[str, int]:
@@ -77,15 +80,16 @@ def run(spark: SparkSession, s: Settings) -> dict[str, int]:
     if (cells := stored(spark, at["cells"])) is None:
         raise ValueError(f"no measurement in {s.input}")
     coverage(cells).write.mode("overwrite").parquet(at["coverage"])
-    covered = J.in_all(spark.read.parquet(at["coverage"]).where(F.col("n") >= s.completeness * F.col("n_samples")), "feature", "cohort", ["layer"])
+    features = spark.read.parquet(at["coverage"])
+    covered = J.in_all(features.where(F.col("n") >= s.completeness * F.col("n_samples")), "feature", "cohort", ["layer"])
     R.top_mad(cells.join(covered, ["layer", "feature"], "left_semi"), s.most_variable).write.mode("overwrite").parquet(at["variability"])
-    kept = cells.join(J.in_all(spark.read.parquet(at["variability"]), "feature", "cohort", ["layer"]), ["layer", "feature"], "left_semi")
-    scaled = M.zscore(kept, ["cohort", "layer", "feature"]).select("cohort", "layer", "feature", "sample", "z")
+    kept = features.join(J.in_all(spark.read.parquet(at["variability"]), "feature", "cohort", ["layer"]), ["layer", "feature"], "left_semi")
+    scaled = M.zscore_by(cells, kept, ["cohort", "layer", "feature"]).select("cohort", "layer", "feature", "sample", "z")
     scaled.write.partitionBy("cohort", "layer").mode("overwrite").parquet(at["scaled"])
     p = J.numeric_profile(cells, ["cohort", "layer"])
     p.withColumn("domain", S.value_domain(F.col("q05"), F.col("q95"), F.col("low"), F.col("high"))).write.mode("overwrite").parquet(at["quality"])
     # the profiles of features kept; the places kept are those of the published tables
-    profile = J.profile(kept).withColumn("value", F.round("value", 6))
+    profile = kept.select("cohort", "layer", "feature", F.round("mean", 6).alias("value"))
     pairs = T.spearman(J.aligned_pairs(profile), ["layer", "cohort_a", "cohort_b"]).withColumn("band", T.band(F.col("spearman")))
     pairs.write.partitionBy("layer").mode("overwrite").parquet(at["concordance"])
     # a partitioned table without a row has no file: there may be no pair of cohorts, or no feature that all have

@@ -9,6 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.operators import matrix as M
+from cohortlens.operators import rank as R
 from jobs import common, harmonise_cohorts, identifier_ledger, registry
 from test_catalogue import rows_of
 
@@ -178,3 +180,40 @@ def test_command_line(spark, sf_dir, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.identifier_ledger", "--config", f"{tmp_path}/s.json", "--output", f"{tmp_path}/out"], cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "new documents" in done.stderr
     assert spark.read.parquet(f"{tmp_path}/out/ledger").agg(F.countDistinct("doc_id")).first()[0] == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+# ---------- what grows with the measurements
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_averaged_once_behind_one_shuffle(spark, sf_dir):
+    s = harmonise_cohorts.Settings(input="", output="", **registry.CELLS)
+    plan = planned(harmonise_cohorts.measured(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), s))
+    # no sums of parts are kept, sent and merged
+    assert plan.count("Exchange") == 1 and "avg(" not in plan[plan.index("Exchange") :]
+
+
+def test_scaled_cells_and_profiles_come_from_the_stored_moments(spark, sf_dir, tmp_path):
+    s = harmonise_cohorts.Settings(input=f"{sf_dir}/lineitem.parquet", output=f"{tmp_path}/out", **registry.CELLS, completeness=0.05, most_variable=40)
+    harmonise_cohorts.run(spark, s)
+    cells, features, scaled = (spark.read.parquet(f"{s.output}/{t}") for t in ("cells", "coverage", "scaled"))
+    by = ["cohort", "layer", "feature"]
+    assert features.count() == cells.select(*by).distinct().count()
+    new = M.zscore_by(cells, features, by)
+    assert "Window" not in planned(new) and "Exchange hashpartitioning" not in planned(new)
+    apart = M.zscore(cells, by).withColumnRenamed("z", "wanted").join(new.select(*by, "sample", "z"), [*by, "sample"], "full")
+    assert apart.count() == cells.count() and apart.where("z is null or wanted is null or abs(z - wanted) > 1e-9").count() == 0
+    assert scaled.count() > 10 and scaled.join(new, [*by, "sample"], "left_anti").count() == 0
+    flat = spark.createDataFrame([("a", "l", 1, s, 0.1) for s in range(3)], "cohort string, layer string, feature int, sample int, value double")
+    assert {abs(round(r["z"], 12)) for r in M.zscore_by(flat, M.moments(flat, by), by).collect()} == {0.0}
+
+
+def test_median_deviations_take_one_shuffle(spark):
+    values = {1: [1.0, None, 4.0], 2: [None], 3: [float("inf"), 1.0, 2.0], 4: [5.0], 5: [1.0, 2.0, 4.0, 9.0, 9.0, 7.5]}
+    cells = spark.createDataFrame([("a", "l", f, v) for f, held in values.items() for v in held], "cohort string, layer string, feature int, value double")
+    found = R.mad(cells)
+    assert {r["feature"]: r["mad"] for r in found.collect()} == {1: 1.5, 2: None, 3: 1.0, 4: 0.0, 5: 3.25}
+    assert planned(R.mad(cells)).count("Exchange") == 1
