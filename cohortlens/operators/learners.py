@@ -290,22 +290,24 @@ def resampled_ari(blocks: DataFrame, unit: Sequence[str], k: int, kind: str, dra
     """Distributions of ARI: ``split`` (halves assign each other's samples) and ``bootstrap`` (two resamples
     compared on all rows); ``resampling.null_rand`` has random partitions.
 
-    Some draws of a unit (``together``) are a group; a group is sent the unit's samples.
+    Some draws of a unit (``together``) are a group, whose models are fitted in common passes over the rows; a group is
+    sent the unit's samples.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, xs = layers_of(pdf)
         x = np.hstack(xs)
-        values, own = [], range(key[-1] * together, min((key[-1] + 1) * together, draws))
-        for r in own:
+        parts = []
+        for r in range(key[-1] * together, min((key[-1] + 1) * together, draws)):
             rng = np.random.default_rng([seed, r])
             if kind == "split":
                 order = rng.permutation(len(x))
-                parts = order[: len(x) // 2], order[len(x) // 2 :]
+                parts += order[: len(x) // 2], order[len(x) // 2 :]
             else:
-                parts = tuple(rng.integers(len(x), size=len(x)) for _ in range(2))
-            fits = [K.kmeans(x[p], k, seed + 1000 * i, starts=3)[1] for i, p in enumerate(parts)]
-            values.append(K.ari(*(K.distances2(x, c).argmin(axis=1) for c in fits)))
+                parts += [rng.integers(len(x), size=len(x)) for _ in range(2)]
+        fits = K.kmeans_of_parts(x, parts, k, [seed + 1000 * (i % 2) for i in range(len(parts))], starts=3)
+        labels = [K.distances2(x, c).argmin(axis=1) for c in fits]
+        values = [K.ari(a, b) for a, b in zip(labels[::2], labels[1::2], strict=True)]
         return pd.DataFrame({"ari": values})
 
     values = grouped(shared_out(blocks, unit, "_draws", -(-draws // together)), [*unit, "_draws"], run, "ari double")

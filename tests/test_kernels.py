@@ -144,3 +144,16 @@ def test_power_and_bias():
     assert curve.p.is_monotonic_increasing
     bias = dict(L.selection_bias((2, 8)))
     assert abs(bias[2] - 0.5642) < 0.02 and abs(bias[8] - 1.4236) < 0.02
+
+
+def test_kmeans_of_parts_is_kmeans_of_each_part():
+    rng = np.random.default_rng(3)
+    for n, d, apart in ((60, 5, 0), (300, 8, 3), (5, 2, 0)):
+        x = rng.normal(size=(n, d)) + apart * rng.integers(3, size=n)[:, None]
+        if n == 5:  # fewer distinct rows than clusters
+            x[:] = x[0]
+            x[1] += 1
+        parts = [rng.permutation(n)[: n // 2] if i % 2 else rng.integers(n, size=n) for i in range(6)]
+        for p, got, seed in zip(parts, K.kmeans_of_parts(x, parts, 3, list(range(6)), 3, rows=64), range(6), strict=True):
+            want = K.kmeans(x[p], 3, seed, starts=3)[1]
+            assert np.allclose(sorted(map(tuple, got.round(7))), sorted(map(tuple, want.round(7))), atol=1e-6)
