@@ -141,3 +141,19 @@ def test_pairs_of_boxes_are_not_shuffled(spark):
                 want[j, i] = share
     got = [(r["a_id"], r["b_id"], r["share"]) for r in out.collect()]
     assert len(got) == len(want) and {g[:2]: g[2] for g in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("around", [0.01, -0.4])
+def test_neighbours_and_median_in_common_passes(spark, around):
+    """Equal to the separate passes with several blocks, copies and a bracket that misses the middle."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 4))
+    x[100:160] = x[0]
+    df = spark.createDataFrame([("u" if i < 1400 else "v", i, v.tolist()) for i, v in enumerate(x)], "unit string, sample long, features array<double>").cache()
+    near, sigma = M.near_and_median(df, 6, ["unit"], around=around)
+    want = {(r["unit"], r["i"], r["place"]): (r["j"], r["distance"]) for r in M.nearest_samples(df, 6, ["unit"]).collect()}
+    assert {(r["unit"], r["i"], r["place"]): (r["j"], r["distance"]) for r in near.collect()} == want
+    got = {r["unit"]: r["sigma"] for r in sigma.collect()}
+    for unit, own in (("u", x[:1400]), ("v", x[1400:])):
+        d = np.round(np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2)), 9)
+        assert got[unit] == pytest.approx(np.median(d[d > 0]), abs=1e-8)
