@@ -157,3 +157,16 @@ def test_neighbours_and_median_in_common_passes(spark, around):
     for unit, own in (("u", x[:1400]), ("v", x[1400:])):
         d = np.round(np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2)), 9)
         assert got[unit] == pytest.approx(np.median(d[d > 0]), abs=1e-8)
+
+
+def test_boxes_of_the_same_corners_are_compared_once(spark):
+    """Copies of boxes are a class: the join of cells has a row for two classes, the result for two boxes."""
+    corners = [(0, 0, 4, 4), (1, 1, 5, 5), (20, 20, 24, 24)]
+    rows = [(i, "s", *corners[i % 3]) for i in range(30)]
+    boxes = spark.createDataFrame(rows, "id int, sheet string, x0 int, y0 int, x1 int, y1 int")
+    for together in (512, 4):
+        out = J.boxes_overlap(boxes, ["sheet"], places=4, together=together)
+        got = {(r["a_id"], r["b_id"]): r["share"] for r in out.collect()}
+        want = {(i, j): 1.0 if i % 3 == j % 3 else 0.5625 for i in range(30) for j in range(i + 1, 30) if i % 3 == j % 3 or {i % 3, j % 3} == {0, 1}}
+        assert out.count() == len(got) and got == want
+    assert "Generate explode(a_ids" in out._jdf.queryExecution().optimizedPlan().toString()
